@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
+#: A word: any run without ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -31,3 +33,43 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def only(df: DataFrame, **types: str) -> DataFrame:
     """The named columns with these types and nothing else, so that no extra column can clash."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
+
+
+def by_pandas(df: DataFrame, each, columns: str) -> DataFrame:
+    """mapInPandas with doc_id as a string meanwhile: pandas would make floats of ids with nulls among them."""
+    out = df.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(each, f"doc_id string, {columns}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def components(edges: DataFrame, scratch) -> DataFrame:
+    """node, root: the smallest node that undirected edges (a, b) reach from it; nodes with edges only.
+
+    Each round hangs every neighbour on the smallest node seen from a centre, larger neighbours first and
+    smaller ones next, until no edge changes. Groups are only aggregated, never gathered, and each round
+    is a written table.
+    """
+    cur = scratch.save(
+        edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "e0"
+    )
+    n, mark = 0, None
+    while True:
+        both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = scratch.save(large, f"l{n}")
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        joined = large.join(down.hint("merge"), "hi")
+        small = joined.select("hi", F.col("m").alias("lo")).union(
+            joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        )
+        nxt = scratch.save(small.distinct(), f"e{n + 1}")
+        new = nxt.agg(F.count(F.lit(1)), F.sum(F.hash("hi", "lo").cast("long"))).first()
+        scratch.drop(f"e{n}", f"l{n}")
+        n += 1
+        if tuple(new) == mark:
+            break
+        mark, cur = tuple(new), nxt
+    pairs = nxt.groupBy("hi").agg(F.min("lo").alias("root"))
+    return scratch.save(
+        pairs.select(F.col("hi").alias("node"), "root").union(pairs.select(F.col("root").alias("node"), "root").distinct()), "roots"
+    )

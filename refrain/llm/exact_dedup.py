@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from refrain.llm.common import ascii_lower, only, text_or_empty
 from refrain.session import Scratch
 
-#: Digests a shard holds, about: it bounds a task's memory, and the number of shards follows the data.
+#: Digests a shard holds at most, about: it bounds a task's memory, and the number of shards follows the data.
 SHARD_DIGESTS = 50_000
+#: Shards per shuffle partition at least, so that a partition's load evens out.
+SHARDS_EACH = 4
 #: Mean number of digests that share a displacement.
 BUCKET_DIGESTS = 3
 
@@ -48,9 +50,20 @@ def _sharded(groups: DataFrame, shards: int) -> DataFrame:
     return groups.withColumn("shard", (lead % shards).cast("int"))
 
 
-def _words(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Three independent 64-bit values of each digest; the first 4 bytes have chosen the shard."""
-    return tuple(np.ascontiguousarray(digest[:, a : a + 8]).view("<u8")[:, 0] for a in (8, 16, 24))
+#: Fixed odd multipliers and the 64-bit mask of the slot hash.
+_M1, _M2, _M3, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
+
+
+def _words(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit values of each digest; the first 4 bytes have chosen the shard."""
+    return tuple(np.ascontiguousarray(digest[:, a : a + 8]).view("<u8")[:, 0] for a in (8, 16))
+
+
+def _slot(b: int, d: int, n: int) -> int:
+    """The slot that displacement ``d`` gives to value ``b``: a new even spread for every d."""
+    x = (b ^ (d * _M1 & _ALL)) * _M2 & _ALL
+    x = (x ^ x >> 32) * _M3 & _ALL
+    return (x ^ x >> 29) % n
 
 
 def build_mph(digest: np.ndarray) -> np.ndarray:
@@ -64,13 +77,12 @@ def build_mph(digest: np.ndarray) -> np.ndarray:
     displace = np.zeros(buckets, np.int64)
     if not n:
         return displace
-    a, b, c = _words(digest)
+    a, b = _words(digest)
     bucket = (a % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     size = np.bincount(bucket, minlength=buckets)
     start = np.concatenate([[0], np.cumsum(size)])
-    base = (b % np.uint64(n)).astype(np.int64).tolist()
-    step = (c % np.uint64(max(1, n - 1))).astype(np.int64).tolist()
+    base = b.tolist()
     taken, free = bytearray(n), 0
     order = order.tolist()
     for k in np.argsort(-size, kind="stable").tolist():
@@ -84,7 +96,7 @@ def build_mph(digest: np.ndarray) -> np.ndarray:
             continue
         d = 0
         while True:
-            slots = {(base[i] + d * (step[i] + 1) + d * d) % n for i in own}
+            slots = {_slot(base[i], d, n) for i in own}
             if len(slots) == len(own) and not any(taken[s] for s in slots):
                 break
             d += 1
@@ -96,10 +108,12 @@ def build_mph(digest: np.ndarray) -> np.ndarray:
 
 def slots_of(digest: np.ndarray, displace: np.ndarray, n: int) -> np.ndarray:
     """The slot that each digest would have; for nonmembers it is some slot or other."""
-    a, b, c = _words(digest)
+    a, b = _words(digest)
     d = displace[(a % np.uint64(len(displace))).astype(np.int64)]
-    base, step = (b % np.uint64(n)).astype(np.int64), (c % np.uint64(max(1, n - 1))).astype(np.int64) + 1
-    return np.where(d < 0, -d - 1, (base + d * step + d * d) % n)
+    m1, m2, m3, s32, s29 = (np.uint64(v) for v in (_M1, _M2, _M3, 32, 29))
+    x = (b ^ (d.astype(np.uint64) * m1)) * m2
+    x = (x ^ x >> s32) * m3
+    return np.where(d < 0, -d - 1, ((x ^ x >> s29) % np.uint64(n)).astype(np.int64))
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -154,7 +168,8 @@ def groups(spark: SparkSession, rows: DataFrame, historical, scratch: Scratch) -
     """
     old = scratch.save(per_digest(rows.where(historical)), "history")
     new = scratch.save(per_digest(rows.where(~historical)), "batch")
-    shards = max(1, -(-max(old.count(), new.count()) // SHARD_DIGESTS))
+    least = SHARDS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(least, -(-max(old.count(), new.count()) // SHARD_DIGESTS))
     index = build_index(spark, old, scratch, shards)
     looked = _sharded(new, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_lookup, GROUPS)
     return scratch.save(looked, "groups")
