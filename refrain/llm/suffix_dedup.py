@@ -38,8 +38,9 @@ HOT = 48
 #: Windows of a run, and windows that are hashed at once.
 RUN = 1024
 BLOCK = 1 << 17
-#: Bytes of a suffix array.
-SHARD_BYTES = 1 << 20
+#: Bytes of a suffix array, and rows of an output batch, about.
+SHARD_BYTES = 1 << 19
+ROWS = 10_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -190,10 +191,17 @@ def covered(contents: list[bytes], length: int = LENGTH) -> list[list[tuple[int,
 
 
 def _emit_runs(length: int):
+    layout = ["doc", "key", "content", "start", "windows", "self_like"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, *r) for d, t in zip(b["doc"], b["text"], strict=True) for r in runs_of((t or "").encode(), length)]
-            yield pd.DataFrame(rows, columns=["doc", "key", "content", "start", "windows", "self_like"])
+            rows = []
+            for d, t in zip(b["doc"], b["text"], strict=True):
+                rows.extend((d, *r) for r in runs_of((t or "").encode(), length))
+                if len(rows) > ROWS:
+                    yield pd.DataFrame(rows, columns=layout)
+                    rows = []
+            yield pd.DataFrame(rows, columns=layout)
 
     return run
 
@@ -216,7 +224,7 @@ def _fetch(length: int):
                     else:
                         rows.append((a["key"], a["content"], own, None, None))
                     size += len(own) if not a["hot"] else a["windows"] * 64
-                    if size > 1 << 22:
+                    if size > 1 << 20:
                         yield _fetched(rows)
                         rows, size = [], 0
             if rows:
@@ -316,7 +324,7 @@ def repeated_spans(d: DataFrame, scratch: Scratch, length: int = LENGTH) -> Data
         F.coalesce("spans", all_of_it), lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))
     )
     gone = gone.select("doc", shifted.alias("spans"))
-    return gone.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return gone.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
