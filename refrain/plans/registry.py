@@ -1,4 +1,234 @@
-"""All queries by name, with SQL where SQL can express them."""
+"""All queries by name, with SQL where SQL can express them.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The tables stand for the catalog: a customer is a group, an order an item, a line item a removed segment
+(its line number and quantity give start and end); a document is a transcript and its source a group.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refrain.functions import lexicon, scalar
+from refrain.operators import catalog, detection, intervals, sequences
+from refrain.session import table
+
+AS_OF = "1998-08-02 00:00:00"
+
+
+def _groups(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+
+
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+def _spans(spark, sf_dir):
+    start = (F.col("l_linenumber") * 40).cast("double")
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("id"), start.alias("start"), (start + F.col("l_quantity")).alias("end"), F.col("l_suppkey").alias("other"))
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")
+
+
+def group_progress(spark, sf_dir):
+    return catalog.progress(_groups(spark, sf_dir), _items(spark, sf_dir), "c_custkey", F.col("o_orderstatus") == "F")
+
+
+def group_eta(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    p = catalog.progress(_groups(spark, sf_dir), items, "c_custkey", F.col("o_orderstatus") == "F")
+    started = items.groupBy("c_custkey").agg(F.min("o_orderdate").alias("started"))
+    return catalog.eta(p.join(started, "c_custkey"), "started", F.lit(AS_OF)).select("c_custkey", "eta_s")
+
+
+def newest_groups(spark, sf_dir):
+    last = _items(spark, sf_dir).groupBy("c_custkey").agg(F.max("o_orderdate").alias("newest"))
+    return last.orderBy(F.col("newest").desc_nulls_last(), "c_custkey").limit(6)
+
+
+def system_stats(spark, sf_dir):
+    n = _items(spark, sf_dir).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("o_orderstatus") == "F").alias("processed"))
+    s = _spans(spark, sf_dir).agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum(F.col("end") - F.col("start")) / 3600, 4).alias("hours"))
+    return n.join(s)  # two rows of totals, one each
+
+
+def queue_completed(spark, sf_dir):
+    done = _items(spark, sf_dir).where("o_orderstatus = 'F'").orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey").limit(10)
+    saved = _spans(spark, sf_dir).groupBy(F.col("id").alias("o_orderkey")).agg(F.sum(F.col("end") - F.col("start")).alias("saved"))
+    out = done.join(saved, "o_orderkey", "left").join(_groups(spark, sf_dir), "c_custkey")
+    return out.select("o_orderkey", "c_name", F.coalesce("saved", F.lit(0.0)).alias("saved"))
+
+
+def pending_items(spark, sf_dir):
+    items = _items(spark, sf_dir).withColumn("path", F.when(F.col("o_orderstatus") != "O", F.lit("p")))
+    return catalog.pending(items, "path", "o_orderdate", F.lit("1997-01-01").cast("timestamp")).select("c_custkey", "o_orderkey")
+
+
+def ingest_new(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    out = catalog.new_items(items, items.where("o_orderstatus = 'F'"), ["c_custkey", "o_orderkey"], "o_orderdate", F.lit("1997-01-01").cast("timestamp"))
+    return out.select("c_custkey", "o_orderkey")
+
+
+def delete_groups(spark, sf_dir):
+    gone = _groups(spark, sf_dir).where("c_custkey % 7 = 0")
+    seg = _spans(spark, sf_dir).withColumnRenamed("id", "o_orderkey")
+    left = catalog.delete_group(_groups(spark, sf_dir), _items(spark, sf_dir), seg, gone, "c_custkey", "o_orderkey")
+    rows = [d.agg(F.lit(n).alias("tab"), F.count(F.lit(1)).alias("n")) for d, n in zip(left, ("groups", "items", "segments"), strict=True)]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def interval_union(spark, sf_dir):
+    return intervals.union(_spans(spark, sf_dir), ["id"], 2.0)
+
+
+def interval_complement(spark, sf_dir):
+    u = intervals.union(_spans(spark, sf_dir), ["id"], 0.0).withColumn("whole", F.lit(400.0))
+    return intervals.complement(u, ["id"], "whole").select("id", "start", "end")
+
+
+def splice_positions(spark, sf_dir):
+    u = intervals.union(_spans(spark, sf_dir), ["id"], 0.0)
+    return intervals.splices(u, ["id"]).select("id", "start", "end", "splice")
+
+
+def region_sources(spark, sf_dir):
+    return detection.regions(_spans(spark, sf_dir)).select("id", "start", "end", "n_matches")
+
+
+def bridged_regions(spark, sf_dir):
+    r = detection.regions(_spans(spark, sf_dir)).withColumns({"method": F.lit("audio_repeat"), "confidence": F.lit(0.9), "excerpt": F.lit("")})
+    return detection.bridged(r, 30.0).select("id", "start", "end", "n_matches", "method")
+
+
+def ad_scores(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    d = _docs(spark, sf_dir)
+    return d.select("id", lexicon.strong_hits(t).alias("strong"), lexicon.weak_hits(t).alias("weak"), lexicon.word_count(t).alias("words"), lexicon.is_ad(t).alias("ad"), lexicon.is_strong_ad(t).alias("strong_ad"))
+
+
+def word_runs(spark, sf_dir):
+    return sequences.word_runs(_docs(spark, sf_dir))
+
+
+def repeated_share(spark, sf_dir):
+    return sequences.repeated_share(_docs(spark, sf_dir)).select("id", F.round("share", 6).alias("share"))
+
+
+def _fingerprints(spark, sf_dir):
+    """A hash per word of the documents: the hash stream of an item."""
+    d = _docs(spark, sf_dir)
+    words = d.select("grp", "id", F.posexplode(scalar.tokens(F.col("text"))).alias("pos", "w"))
+    h = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long")
+    return words.select("grp", "id", "pos", h.alias("h"))
+
+
+def _quads(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("grp", "id", F.posexplode(scalar.shingles(scalar.tokens(F.col("text")), 4)).alias("pos", "w"))
+    return d.select("grp", "id", "pos", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 15), 16, 10).cast("long").alias("h"))
+
+
+def offset_clusters(spark, sf_dir):
+    return sequences.offsets(sequences.votes(_quads(spark, sf_dir)))
+
+
+def error_runs(spark, sf_dir):
+    offs = sequences.offsets(sequences.votes(_quads(spark, sf_dir)))
+    return sequences.error_runs(offs, _fingerprints(spark, sf_dir))
+
+
+def detect_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: hash streams matched inside groups, judged, bridged and cut, for all items at once."""
+    fp = _fingerprints(spark, sf_dir)
+    found = intervals.greedy(error_runs(spark, sf_dir), ["a", "b"]).select(F.col("a").alias("id"), F.col("b").alias("other"), "start", "end")
+    lengths = fp.groupBy("id").agg((F.count(F.lit(1)) / sequences.RATE).alias("length"))
+    segs = _docs(spark, sf_dir).select("id", F.posexplode(F.split("text", r"\n")).alias("idx", "text"))
+    order = segs.withColumn("n", F.size(scalar.tokens(F.col("text"))))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id").orderBy("idx")
+    segs = order.withColumn("end", F.sum("n").over(w) / sequences.RATE).withColumn("start", F.col("end") - F.col("n") / sequences.RATE)
+    return detection.detect(found, segs.select("id", "idx", "start", "end", "text").where("trim(text) <> ''"), lengths)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        group_progress, group_eta, newest_groups, system_stats, queue_completed, pending_items, ingest_new, delete_groups,
+        interval_union, interval_complement, splice_positions, region_sources, bridged_regions, ad_scores, word_runs,
+        repeated_share, offset_clusters, error_runs, detect_cuts,
+    )
+}
+
+_PROGRESS = """
+SELECT c_custkey, c_name, count(o_orderkey)::BIGINT AS total, (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS processed,
+       round(coalesce(count(*) FILTER (o_orderstatus = 'F') / nullif(count(o_orderkey), 0)::DOUBLE, 0) * 100, 1) AS progress_pct,
+       min(o_orderdate) AS started
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL
+"""
+_SPANS = "SELECT l_orderkey AS id, l_linenumber * 40.0::DOUBLE AS s, l_linenumber * 40.0::DOUBLE + l_quantity AS e, l_suppkey AS other FROM lineitem"
+
+
+def _union(gap: float) -> str:
+    return f"""sp AS ({_SPANS}),
+m AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
+k AS (SELECT *, sum(CASE WHEN s > reach + {gap} OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM m),
+u AS (SELECT id, part, min(s) AS s, max(e) AS e, count(*)::BIGINT AS n FROM k GROUP BY id, part)"""
+
+
+_TOK = r"regexp_extract_all(lower(text), '[a-z0-9'']+')"
+
+
+def _grams(n: int) -> str:
+    return f"""t AS (SELECT source AS grp, doc_id AS id, {_TOK} AS w FROM documents),
+s AS (SELECT grp, id, i - 1 AS i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - {n - 2})) AS i FROM t WHERE len(w) >= {n}))"""
+
+
+def _phrases(phrases: list[str]) -> str:
+    return "+".join(f"contains(low, '{p}')::INT" for p in phrases)
+
+
+SQL = {
+    "group_progress": f"SELECT * EXCLUDE (started) FROM ({_PROGRESS})",
+    "group_eta": f"""SELECT c_custkey, CASE WHEN processed > 0 THEN
+        trunc((epoch(TIMESTAMP '{AS_OF}') - epoch(started)) / processed * (total - processed))::BIGINT END AS eta_s
+        FROM ({_PROGRESS}) WHERE total > 0""",
+    "newest_groups": "SELECT o_custkey AS c_custkey, max(o_orderdate) AS newest FROM orders GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 6",
+    "system_stats": f"""SELECT (SELECT count(*) FROM orders) AS items, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS processed,
+        count(*) AS segments, round(sum(e - s) / 3600, 4) AS hours FROM ({_SPANS})""",
+    "queue_completed": f"""WITH d AS (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 10)
+        SELECT o_orderkey, c_name, coalesce((SELECT sum(e - s) FROM ({_SPANS}) WHERE id = o_orderkey), 0.0) AS saved
+        FROM d JOIN customer ON c_custkey = o_custkey""",
+    "pending_items": "SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1997-01-01'",
+    "ingest_new": """SELECT DISTINCT o_custkey AS c_custkey, o_orderkey FROM orders o WHERE (o_orderdate IS NULL OR o_orderdate >= TIMESTAMP '1997-01-01')
+        AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_orderstatus = 'F' AND x.o_custkey = o.o_custkey AND x.o_orderkey = o.o_orderkey)""",
+    "delete_groups": """SELECT 'groups' AS tab, count(*) AS n FROM customer WHERE c_custkey % 7 <> 0
+        UNION ALL SELECT 'items', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)
+        UNION ALL SELECT 'segments', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 7 = 0)""",
+    "interval_union": f'WITH {_union(2.0)} SELECT id, s AS "start", e AS "end", n FROM u',
+    "interval_complement": f"""WITH {_union(0.0)}, g AS (
+        SELECT id, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), 0.0::DOUBLE) AS a, s AS b FROM u
+        UNION ALL SELECT id, max(e), 400.0::DOUBLE FROM u GROUP BY id) SELECT id, a AS "start", b AS "end" FROM g WHERE b > a""",
+    "splice_positions": f"""WITH {_union(0.0)} SELECT id, s AS "start", e AS "end", greatest(s - coalesce(sum(e - s) OVER
+        (PARTITION BY id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0)::DOUBLE AS splice FROM u""",
+    "region_sources": f"""WITH {_union(2.0)} SELECT u.id, u.s AS "start", u.e AS "end", count(DISTINCT other)::INT AS n_matches
+        FROM u JOIN sp ON sp.id = u.id AND sp.e > u.s AND sp.s < u.e GROUP BY ALL""",
+    "ad_scores": f"""WITH a AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS low FROM documents), b AS (
+        SELECT id, ({_phrases(lexicon.STRONG)} + len(regexp_extract_all(low, '{lexicon.DOTCOM}')))::INT AS strong, ({_phrases(lexicon.WEAK)})::INT AS weak,
+        greatest(len(regexp_extract_all(low, '\\S+')), 1)::INT AS words FROM a)
+        SELECT *, strong >= 1 AND (3 * strong + weak) / words * 100 >= 1.5 AS ad, strong >= 2 AND (3 * strong + weak) / words * 100 >= 2.0 AS strong_ad FROM b""",
+    "word_runs": f"""WITH {_grams(10)}, h AS (SELECT l.id AS a, r.id AS b, l.i AS i, l.i - r.i AS diag FROM s l JOIN s r ON l.grp = r.grp AND l.g = r.g AND l.id < r.id),
+        z AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, diag ORDER BY i) AS isle FROM h)
+        SELECT a, b, min(i)::INT AS i, (min(i) - diag)::INT AS j, count(*) + 9 AS words FROM z GROUP BY a, b, diag, isle HAVING count(*) + 9 >= 18""",
+    "repeated_share": f"""WITH {_grams(4)}, h AS (SELECT grp, g, min(id) <> max(id) AS shared FROM s GROUP BY grp, g)
+        SELECT id, round(avg(shared::INT), 6) AS share FROM s JOIN h USING (grp, g) GROUP BY id""",
+    "offset_clusters": f"""WITH {_grams(4)}, v AS (SELECT l.id AS a, r.id AS b, l.i - r.i AS off, count(*) AS votes FROM s l JOIN s r ON l.grp = r.grp AND l.g = r.g AND l.id <> r.id GROUP BY ALL),
+        n AS (SELECT *, CASE WHEN off - lag(off) OVER (PARTITION BY a, b ORDER BY off) <= 2 THEN 0 ELSE 1 END AS new FROM v),
+        p AS (SELECT *, sum(new) OVER (PARTITION BY a, b ORDER BY off ROWS UNBOUNDED PRECEDING) AS part FROM n),
+        c AS (SELECT a, b, part, (array_agg(off ORDER BY votes DESC, off))[1] AS off, sum(votes)::BIGINT AS votes FROM p GROUP BY a, b, part HAVING sum(votes) >= 8)
+        SELECT a, b, off::INT AS off, votes FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, off) <= 40""",
+}
