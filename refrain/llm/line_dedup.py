@@ -25,16 +25,17 @@ LEAST_DOCS = 3
 BATCHES = 3
 FAN = 2
 
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, f"^{SPACE}|{SPACE}$", ""))
+    return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
 def long_lines(docs: DataFrame) -> DataFrame:
     """doc, doc_id, pos, h: the md5 of every line key of LEAST_CHARS code points or more."""
     lines = docs.select("doc", "doc_id", F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
+    lines = lines.where(F.length("line") >= LEAST_CHARS)  # a key is no longer than its line
     lines = lines.select("doc", "doc_id", "pos", line_key(F.col("line")).alias("key"))
     hashed = F.unhex(F.md5(F.col("key").cast("binary"))).alias("h")
     return lines.where(F.length("key") >= LEAST_CHARS).select("doc", "doc_id", "pos", hashed)
