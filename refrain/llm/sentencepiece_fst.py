@@ -31,6 +31,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words remembered by a worker.
 WORDS = 200_000
+#: Pairs of pieces whose acceptance is remembered by a worker.
+PAIRS = 1_000_000
 #: Ids of an output batch, about.
 BATCH_IDS = 1 << 20
 
@@ -64,7 +66,7 @@ class Transducer:
         self.longest = max(map(len, self.pieces), default=1)
         self.by_words = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
         self.low = min(self.score, default=0.0) - 10.0
-        self.follows = lru_cache(maxsize=WORDS)(self._follows)
+        self.follows = lru_cache(maxsize=PAIRS)(self._follows)
         self.words: dict[str, tuple[int, ...]] = {}
         self.trie = self._trie()
 
@@ -120,6 +122,8 @@ class Transducer:
             if not states[at]:
                 continue
             for end, weight, ids in self._arcs(text, at):
+                if self.bpe and states[end]:
+                    continue  # merging is a function: one piece at most ends a prefix's path here
                 piece = text[at:end]
                 name = piece if self.bpe else ""
                 for last, (cost, *_rest) in states[at].items():
