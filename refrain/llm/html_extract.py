@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -52,6 +52,8 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 PAGES = 500
 TREES, DEPTH, BINS, RATE = 50, 3, 24, 0.3
+#: Elements that the trees look at at once, about.
+ELEMENTS = 1 << 12
 
 
 class Dom(HTMLParser):
@@ -316,10 +318,41 @@ def kept_elements(dom: Dom, log_odds: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None, trees: Boosted) -> str:
-    if not html:
-        return ""
-    dom = parse(html)
-    kept = kept_elements(dom, trees.log_odds(features(dom)))
+    return next(main_texts([html], trees))
+
+
+def main_texts(pages: Iterable[str | None], trees: Boosted) -> Iterator[str]:
+    """The pages' texts in order; the trees look at about ELEMENTS elements of several pages at once."""
+    held: list[tuple[Dom, np.ndarray] | None] = []
+    size = 0
+    for html in pages:
+        if html:
+            dom = parse(html)
+            held.append((dom, features(dom)))
+            size += len(dom.tag)
+        else:
+            held.append(None)
+        if size >= ELEMENTS:
+            yield from _texts(held, trees)
+            held, size = [], 0
+    yield from _texts(held, trees)
+
+
+def _texts(held: list[tuple[Dom, np.ndarray] | None], trees: Boosted) -> Iterator[str]:
+    rows = [x[1] for x in held if x]
+    odds = trees.log_odds(np.concatenate(rows)) if rows else np.zeros(0)
+    at = 0
+    for x in held:
+        if not x:
+            yield ""
+            continue
+        dom = x[0]
+        yield _joined(dom, kept_elements(dom, odds[at : at + len(dom.tag)]))
+        at += len(dom.tag)
+
+
+def _joined(dom: Dom, kept: np.ndarray) -> str:
+    """The kept elements' text, block by block."""
     kept[0] &= not kept[1:].any()  # bare text beside elements is not in the article; a page of text alone is
     blocks, cur = [], []
     for e, piece in [*dom.pieces, (0, None)]:
@@ -339,7 +372,7 @@ def extract_html(pages: DataFrame) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = b[["page_id", "url"]].copy()
-            out["text"] = [main_text(h, trees) for h in b["html"]]
+            out["text"] = list(main_texts(b["html"], trees))
             yield out
 
     p = only(pages, page_id="string", url="string", html="string")
