@@ -7,8 +7,9 @@ gives the ids. For unigram models an arc weighs the negative score. For BPE mode
 not weights, so a pair acceptor is composed as well: it lets a piece follow another only if merging their
 joined text gives back just these two. One path is left then, the one that merging makes.
 
-A piece never has a white-space mark behind other characters, so a text falls into words at such places
-and each word is a problem of its own; common words are remembered, up to a bound.
+Where two neighbouring characters stand together in no piece, no arc crosses, so a text falls apart there and
+each part is a problem of its own; common parts are remembered, up to a bound. White space is such a place,
+and in scripts without spaces most places are.
 
 Models with a character map of their own are refused. Defined cases: null and empty texts have no ids;
 repeated rows come back each; empty tables give none; extra columns are ignored.
@@ -31,6 +32,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words remembered by a worker.
 WORDS = 200_000
+#: Characters of the longest word remembered.
+LONGEST = 64
 #: Pairs of pieces whose acceptance is remembered by a worker.
 PAIRS = 1_000_000
 #: Ids of an output batch, about.
@@ -64,11 +67,15 @@ class Transducer:
         self.score = [p.score for p in m.pieces]
         self.bpe = m.trainer_spec.model_type == pb.TrainerSpec.BPE
         self.longest = max(map(len, self.pieces), default=1)
-        self.by_words = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
+        self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.by_words = not any(pair[0] != MARK and pair[1] == MARK for pair in self.joined)
         self.low = min(self.score, default=0.0) - 10.0
         self.follows = lru_cache(maxsize=PAIRS)(self._follows)
         self.words: dict[str, tuple[int, ...]] = {}
         self.trie = self._trie()
+        self.path = self.accepted if self.bpe else self.cheapest
+        #: A piece's longest proper prefix among the pieces; where there is none, its first character is next.
+        self.shorter = {p: q for p in self.pieces if (q := next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.pieces), None))}
 
     def _trie(self) -> dict:
         root: dict = {}
@@ -108,54 +115,102 @@ class Transducer:
             if None in node:
                 single |= k == at + 1
                 i = node[None]
-                yield k, (1.0 if self.bpe else -self.score[i]), (i,)
+                yield k, -self.score[i], (i,)
         if not single:
-            raw = text[at].encode("utf-8", "surrogatepass")
-            ids = tuple(self.of_byte[b] for b in raw) if self.of_byte else (self.unknown,)
-            yield at + 1, (1.0 if self.bpe else -self.low), ids
-
-    def shortest(self, text: str) -> tuple[int, ...]:
-        """The cheapest path over (place, last piece); last pieces matter to the pair acceptor only."""
-        states: list[dict[str, tuple[float, int, str, tuple[int, ...]]]] = [{} for _ in range(len(text) + 1)]
-        states[0][""] = (0.0, -1, "", ())
+            yield at + 1, -self.low, self._bytes(text[at])
+
+    def _bytes(self, char: str) -> tuple[int, ...]:
+        raw = char.encode("utf-8", "surrogatepass")
+        return tuple(self.of_byte[b] for b in raw) if self.of_byte else (self.unknown,)
+
+    def cheapest(self, text: str) -> tuple[int, ...]:
+        """Unigram: the cheapest path over places."""
+        states: list[tuple[float, int, tuple[int, ...]] | None] = [(0.0, -1, ())] + [None] * len(text)
         for at in range(len(text)):
-            if not states[at]:
+            if states[at] is None:
                 continue
             for end, weight, ids in self._arcs(text, at):
-                if self.bpe and states[end]:
-                    continue  # merging is a function: one piece at most ends a prefix's path here
-                piece = text[at:end]
-                name = piece if self.bpe else ""
-                for last, (cost, *_rest) in states[at].items():
-                    if self.bpe and last and not self.follows(last, piece):
-                        continue
-                    held = states[end].get(name)
-                    if held is None or cost + weight < held[0]:
-                        states[end][name] = (cost + weight, at, last, ids)
+                cost = states[at][0] + weight
+                if states[end] is None or cost < states[end][0]:
+                    states[end] = (cost, at, ids)
         at = len(text)
-        name = min(states[at], key=lambda k: states[at][k][0])
         out: list[tuple[int, ...]] = []
         while at:
-            _, before, last, ids = states[at][name]
+            _, at, ids = states[at]
             out.append(ids)
-            at, name = before, last
         return tuple(i for ids in reversed(out) for i in ids)
 
+    def _longest_at(self, text: str, at: int) -> str:
+        """The longest arc from a place."""
+        node, end = self.trie, at + 1
+        for k in range(at, len(text)):
+            node = node.get(text[k])
+            if node is None:
+                break
+            if None in node:
+                end = k + 1
+        return text[at:end]
+
+    def accepted(self, text: str) -> tuple[int, ...]:
+        """BPE: the one path that the pair acceptor leaves, composed as the search needs it, longest arcs first.
+
+        Merging is a function, so one piece at most ends an accepted path at a place: a place whose arcs all
+        fail is dead whatever leads to it.
+        """
+        follows, shorter = self.follows, self.shorter
+        took: list[str] = []
+        dead: set[int] = set()
+        at, last, n = 0, "", len(text)
+        piece = self._longest_at(text, 0)
+        while True:
+            while piece and (at + len(piece) in dead or (last and not follows(last, piece))):
+                piece = shorter.get(piece) or piece[:-1] and piece[0]
+            if piece:
+                took.append(piece)
+                at, last = at + len(piece), piece
+                if at >= n:
+                    break
+                piece = self._longest_at(text, at)
+            else:
+                dead.add(at)
+                piece = took.pop()
+                at, last = at - len(piece), took[-1] if took else ""
+                piece = shorter.get(piece) or piece[:-1] and piece[0]
+        ids: list[int] = []
+        for p in took:
+            i = self.pieces.get(p)
+            if i is None:
+                ids += self._bytes(p)
+            else:
+                ids.append(i)
+        return tuple(ids)
+
+    def _known(self, part: str, path) -> tuple[int, ...]:
+        """The ids of a part, remembered if it is short."""
+        ids = self.words.get(part)
+        if ids is None:
+            ids = path(part)
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            if len(part) <= LONGEST:
+                self.words[part] = ids
+        return ids
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Cut where no piece joins two neighbours."""
+        joined, out, start = self.joined, [], 0
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in joined:
+                out += self._known(word[start:k], self.path)
+                start = k
+        return tuple(out) + self._known(word[start:], self.path) if start else self.path(word)
+
     def encode(self, text: str) -> list[int]:
         text = self.normalise(text)
-        if not self.by_words:
-            return list(self.shortest(text))
         out: list[int] = []
-        words = self.words
-        for w in _WORD.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = self.shortest(w)
-                if len(words) >= WORDS:
-                    words.clear()
-                if len(w) <= 64:
-                    words[w] = ids
-            out += ids
+        known = self.words.get
+        for w in _WORD.findall(text) if self.by_words else [text] * bool(text):
+            out += known(w) or self._known(w, self._word)
         return out
 
     def decode(self, ids: list[int]) -> str:
