@@ -38,3 +38,31 @@ def delete_group(groups: DataFrame, items: DataFrame, segments: DataFrame, gone:
     left = items.join(gone.select(group), group, "left_anti")
     lost = items.join(gone.select(group), group, "left_semi").select(item)
     return groups.join(gone.select(group), group, "left_anti"), left, segments.join(lost, item, "left_anti")
+
+
+def shown(items: DataFrame, got: Column, date: str, cutoff: Column) -> DataFrame:
+    """What a group's page lists: items already there, of any or no date, and recent ones."""
+    return items.where(got | (F.col(date) >= cutoff))
+
+
+def queue(items: DataFrame, waiting: Column, date: str, key: str, most: int = 20) -> DataFrame:
+    """The ``most`` newest waiting items; the first is being worked on and leaves the list after the cut."""
+    top = items.where(waiting).orderBy(F.col(date).desc_nulls_last(), key).limit(most)
+    return top.orderBy(F.col(date).desc_nulls_last(), key).offset(1)
+
+
+def listed(items: DataFrame, group: str, key: str, date: str) -> DataFrame:
+    """group, keys, n: a group's items in order of date (undated first), as one string."""
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(date).cast("timestamp").cast("double"), F.lit(float("-inf"))).alias("d"), key)))
+    return items.groupBy(group).agg(F.array_join(F.transform(order, lambda x: x[key].cast("string")), ",").alias("keys"), F.count(F.lit(1)).alias("n"))
+
+
+def reprocess(items: DataFrame, done: Column, key: str, only: DataFrame | None = None) -> DataFrame:
+    """Processed items to be done again: all, or those that ``only`` names."""
+    again = items.where(done)
+    return again if only is None else again.join(only.select(key), key, "left_semi")
+
+
+def replace_items(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """The segment table with all of an item's old rows replaced by its fresh ones."""
+    return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from refrain.functions import lexicon, scalar
 from refrain.operators import catalog, detection, intervals, sequences
 from refrain.session import table
+from refrain.sources import feeds
 
 AS_OF = "1998-08-02 00:00:00"
 
@@ -155,12 +156,91 @@ def detect_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.detect(found, segs.select("id", "idx", "start", "end", "text").where("trim(text) <> ''"), lengths)
 
 
+def group_detail(spark, sf_dir):
+    got = F.col("o_orderstatus") != "O"
+    d = catalog.shown(_items(spark, sf_dir), got, "o_orderdate", F.lit("1997-06-01").cast("timestamp"))
+    label = F.when(F.col("o_orderstatus") == "F", "Processed").when(got, "Pending").otherwise("pending_download")
+    return d.select("c_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), label.alias("label"))
+
+
+def item_detail(spark, sf_dir):
+    length = F.col("end") - F.col("start")
+    d = _spans(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("segments"), F.sum(length).alias("saved"), F.min("start").alias("first"))
+    return d.select("id", "segments", "saved", F.round(F.col("saved") / 60, 1).alias("saved_min"), scalar.clock(F.col("first")).alias("first_at"))
+
+
+def queue_pending(spark, sf_dir):
+    q = catalog.queue(_items(spark, sf_dir), F.col("o_orderstatus") == "O", "o_orderdate", "o_orderkey")
+    return q.join(_groups(spark, sf_dir), "c_custkey").select("o_orderkey", "c_name")
+
+
+def unprocessed_items(spark, sf_dir):
+    return catalog.listed(_items(spark, sf_dir).where("o_orderstatus = 'P'"), "c_custkey", "o_orderkey", "o_orderdate")
+
+
+def reprocess_items(spark, sf_dir):
+    chosen = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return catalog.reprocess(_items(spark, sf_dir), F.col("o_orderstatus") == "F", "o_orderkey", chosen).select("c_custkey", "o_orderkey")
+
+
+def replaced_segments(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    merged = intervals.union(s, ["id"], 0.0).where("n > 1").select("id", "start", "end")
+    return catalog.replace_items(s.select("id", "start", "end"), merged, "id")
+
+
+def file_names(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", scalar.file_name(F.col("page_id"), F.coalesce("url", F.lit(""))).alias("file"))
+
+
+def cleaned_feeds(spark, sf_dir):
+    groups = _groups(spark, sf_dir).select(F.col("c_custkey").alias("group"), F.col("c_name").alias("name"))
+    done = _items(spark, sf_dir).where("o_orderstatus = 'F'")
+    key = F.col("o_orderkey").cast("string")
+    items = done.select(
+        F.col("c_custkey").alias("group"), F.lpad(key, 10, "0").alias("guid"), F.concat(F.lit("Q&A "), key).alias("title"),
+        F.concat(F.lit("/audio/"), key).alias("audio_url"), F.lit(60).alias("duration_s"), F.col("o_orderdate").alias("pub_date"),
+    )
+    return feeds.feeds(groups, items)
+
+
+def _turns(spark, sf_dir):
+    start = (F.col("turn") * 40).cast("double")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("idx"), start.alias("start"), (start + 35).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def overlap_text(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    whole = turns.groupBy("id").agg(F.lit(10.0).alias("start"), (F.max("end") - 40).alias("end"))
+    return intervals.text_between(whole, turns, ["id"]).select("id", "text")
+
+
+def region_classify(spark, sf_dir):
+    r = detection.classified(detection.regions(_spans(spark, sf_dir)), _turns(spark, sf_dir), detection.Params(confirm_below=2))
+    return r.select("id", "start", "end", "n_matches", "method", "confidence")
+
+
+def pair_exclusion(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    lengths = s.select("id").distinct().withColumn("length", F.lit(100.0))
+    return detection.without_compilations(s, lengths).select("id", "other", "start", "end")
+
+
+def event_sessions(spark, sf_dir):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").where("ts is not null").select("user_id", at.alias("start"), (at + F.coalesce(F.col("value"), F.lit(0.0)).cast("long") * 1000000).alias("end"))
+    return intervals.union(e, ["user_id"], 1_800_000_000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         group_progress, group_eta, newest_groups, system_stats, queue_completed, pending_items, ingest_new, delete_groups,
         interval_union, interval_complement, splice_positions, region_sources, bridged_regions, ad_scores, word_runs,
-        repeated_share, offset_clusters, error_runs, detect_cuts,
+        repeated_share, offset_clusters, error_runs, detect_cuts, group_detail, item_detail, queue_pending,
+        unprocessed_items, reprocess_items, replaced_segments, file_names, cleaned_feeds, overlap_text,
+        region_classify, pair_exclusion, event_sessions,
     )
 }
 
@@ -231,4 +311,42 @@ SQL = {
         p AS (SELECT *, sum(new) OVER (PARTITION BY a, b ORDER BY off ROWS UNBOUNDED PRECEDING) AS part FROM n),
         c AS (SELECT a, b, part, (array_agg(off ORDER BY votes DESC, off))[1] AS off, sum(votes)::BIGINT AS votes FROM p GROUP BY a, b, part HAVING sum(votes) >= 8)
         SELECT a, b, off::INT AS off, votes FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, off) <= 40""",
+    "group_detail": """SELECT o_custkey AS c_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
+        CASE o_orderstatus WHEN 'F' THEN 'Processed' WHEN 'P' THEN 'Pending' ELSE 'pending_download' END AS label
+        FROM orders WHERE o_orderstatus <> 'O' OR o_orderdate >= TIMESTAMP '1997-06-01'""",
+    "item_detail": f"""SELECT id, count(*) AS segments, sum(e - s) AS saved, round(sum(e - s) / 60, 1) AS saved_min,
+        printf('%02d:%02d', floor(min(s) / 60)::INT, floor(min(s) % 60)::INT) AS first_at FROM ({_SPANS}) GROUP BY id""",
+    "queue_pending": """WITH q AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O')
+        SELECT o_orderkey, c_name FROM q JOIN customer ON c_custkey = o_custkey WHERE r BETWEEN 2 AND 20""",
+    "unprocessed_items": """SELECT o_custkey AS c_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate NULLS FIRST, o_orderkey) AS keys, count(*) AS n
+        FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""",
+    "reprocess_items": """SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'
+        AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
+    "replaced_segments": f"""WITH {_union(0.0)}, f AS (SELECT id, s, e FROM u WHERE n > 1)
+        SELECT id, s AS "start", e AS "end" FROM f UNION ALL SELECT id, s, e FROM sp WHERE id NOT IN (SELECT id FROM f)""",
+    "file_names": r"""SELECT page_id, page_id || '_' || left(md5(coalesce(url, '')), 8) || CASE WHEN x IN ('.mp3', '.m4a', '.wav', '.ogg', '.aac') THEN x ELSE '.mp3' END AS file
+        FROM (SELECT *, regexp_extract(lower(split_part(coalesce(url, ''), '?', 1)), '(\.[a-z0-9]+)$', 1) AS x FROM pages)""",
+    "cleaned_feeds": """WITH i AS (SELECT o_custkey, string_agg('<item><title>Q&amp;A ' || o_orderkey || '</title><guid>' || lpad(o_orderkey::VARCHAR, 10, '0') ||
+        '</guid><itunes:duration>60</itunes:duration><enclosure url="/audio/' || o_orderkey || '" type="audio/mpeg"/></item>', ''
+        ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+        SELECT c_custkey AS "group", '<rss version="2.0"><channel><title>' || c_name || '</title>' || coalesce(x, '') || '</channel></rss>' AS xml
+        FROM customer LEFT JOIN i ON o_custkey = c_custkey""",
+    "overlap_text": """WITH t AS (SELECT conv_id AS id, turn, turn * 40.0 AS s, turn * 40.0 + 35 AS e, coalesce(text, '') AS text FROM conversations),
+        w AS (SELECT id, max(e) - 40 AS top FROM t GROUP BY id)
+        SELECT id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM t JOIN w USING (id) WHERE e > 10 AND s < top GROUP BY id""",
+    "region_classify": f"""WITH {_union(2.0)}, r AS (SELECT u.id, u.s, u.e, count(DISTINCT other)::INT AS n FROM u JOIN sp ON sp.id = u.id AND sp.e > u.s AND sp.s < u.e GROUP BY ALL),
+        t AS (SELECT conv_id AS id, turn, turn * 40.0 AS s, turn * 40.0 + 35 AS e, coalesce(text, '') AS text FROM conversations),
+        x AS (SELECT r.id, r.s, r.e, r.n, r.id IN (SELECT id FROM t) AS has, lower(coalesce(string_agg(text, ' ' ORDER BY turn, text), '')) AS low
+              FROM r LEFT JOIN t ON t.id = r.id AND t.e > r.s AND t.s < r.e GROUP BY ALL),
+        y AS (SELECT *, ({_phrases(lexicon.STRONG)} + len(regexp_extract_all(low, '{lexicon.DOTCOM}'))) AS strong, ({_phrases(lexicon.WEAK)}) AS weak,
+              greatest(len(regexp_extract_all(low, '\\S+')), 1) AS words FROM x),
+        z AS (SELECT id, s AS "start", e AS "end", n AS n_matches, CASE WHEN n >= 2 THEN 'audio_repeat' WHEN has AND trim(low) <> '' AND strong >= 1 AND (3 * strong + weak) / words * 100 >= 1.5
+              THEN 'audio_repeat+transcript' END AS method FROM y)
+        SELECT *, CASE WHEN n_matches >= 2 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence FROM z WHERE method IS NOT NULL""",
+    "pair_exclusion": f"""WITH sp AS ({_SPANS}), bad AS (SELECT id, other FROM sp GROUP BY id, other HAVING sum(e - s) > 35 AND other IN (SELECT id FROM sp))
+        SELECT id, other, s AS "start", e AS "end" FROM sp WHERE e - s <= 300 AND (id, other) NOT IN (SELECT (id, other) FROM bad)""",
+    "event_sessions": """WITH sp AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + trunc(coalesce(value, 0))::BIGINT * 1000000 AS e FROM events WHERE ts IS NOT NULL),
+        m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
+        k AS (SELECT *, sum(CASE WHEN s > reach + 1800000000 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM m)
+        SELECT user_id, min(s) AS "start", max(e) AS "end", count(*) AS n FROM k GROUP BY user_id, part""",
 }

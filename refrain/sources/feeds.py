@@ -36,10 +36,27 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return out.where("text <> ''")
 
 
-def feed_items(items: DataFrame) -> DataFrame:
-    """group, xml: an item element per row (guid, title, audio_url, length_s), escaped."""
-    def safe(c):
-        return F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def _escaped(c: str):
+    text = F.col(c).cast("string")
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
 
-    xml = F.concat(F.lit("<item><title>"), safe("title"), F.lit("</title><guid>"), safe("guid"), F.lit('</guid><enclosure url="'), F.replace(safe("audio_url"), F.lit('"'), F.lit("&quot;")), F.lit('" type="audio/mpeg"/></item>'))
-    return items.select("group", xml.alias("xml"))
+def feed_items(items: DataFrame) -> DataFrame:
+    """Adds xml: an item element per row (guid, title, audio_url, duration_s), escaped."""
+    parts = [
+        F.lit("<item><title>"), _escaped("title"), F.lit("</title><guid>"), _escaped("guid"), F.lit("</guid><itunes:duration>"),
+        F.coalesce(F.col("duration_s").cast("string"), F.lit("0")), F.lit('</itunes:duration><enclosure url="'), _escaped("audio_url"),
+        F.lit('" type="audio/mpeg"/></item>'),
+    ]
+    return items.withColumn("xml", F.concat(*parts))
+
+
+def feeds(groups: DataFrame, items: DataFrame) -> DataFrame:
+    """group, xml: a channel per group (group, name), its items newest first and undated ones last; groups without items too."""
+    newest = F.array_sort(F.collect_list(F.struct((-F.col("pub_date").cast("timestamp").cast("double")).alias("age"), "guid", "xml")))
+    listed = feed_items(items).groupBy("group").agg(F.array_join(F.transform(F.filter(newest, lambda x: x["age"].isNotNull()), lambda x: x["xml"]), "").alias("dated"), F.array_join(F.transform(F.filter(newest, lambda x: x["age"].isNull()), lambda x: x["xml"]), "").alias("undated"))
+    head = F.concat(F.lit('<rss version="2.0"><channel><title>'), _escaped("name"), F.lit("</title>"))
+    body = F.concat(F.coalesce("dated", F.lit("")), F.coalesce("undated", F.lit("")))
+    return groups.join(listed, "group", "left").select("group", F.concat(head, body, F.lit("</channel></rss>")).alias("xml"))
