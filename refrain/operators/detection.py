@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions import lexicon
 from refrain.operators import intervals
+from refrain.session import Scratch
 
 
 @dataclass(frozen=True)
@@ -76,18 +77,76 @@ def bridged(regs: DataFrame, gap: float) -> DataFrame:
     ).drop("part")
 
 
-def cuts(regs: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
-    """Clamped to the item, run to its end if that is near, shortest ones dropped, times to 2 places."""
-    r = regs.join(lengths.select("id", "length"), "id")
-    last = F.max("end").over(Window.partitionBy("id")) == F.col("end")
+def file_tails(regs: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
+    """The last region runs to the item's near end if nothing or something marked is said there. Items without segments stay."""
+    last = F.col("end") == F.max("end").over(Window.partitionBy("id"))
     left = F.col("length") - F.col("end")
-    tail = last & (left > 0.5) & (left <= p.tail_eof_snap)
+    near = regs.join(lengths.select("id", "length"), "id").withColumn("near", last & (left > 0.5) & (left <= p.tail_eof_snap))
+    ends = near.where("near").select("id", F.col("end").alias("start"), F.col("length").alias("end")).distinct()
+    said = intervals.text_between(ends, segments, ["id"]).select("id", F.col("text").alias("__said"))
+    told = segments.select("id").distinct().withColumn("__told", F.lit(True))
+    r = near.join(said, "id", "left").join(told, "id", "left")
+    quiet = F.coalesce(F.trim("__said"), F.lit("")) == ""
+    tail = F.col("near") & F.coalesce("__told", F.lit(False)) & (quiet | (lexicon.strong_hits(F.col("__said")) > 0))
     r = r.withColumn("method", F.when(tail, F.concat("method", F.lit("+eof_tail"))).otherwise(F.col("method")))
-    r = r.withColumn("end", F.when(tail, F.col("length")).otherwise(F.least("end", "length"))).withColumn("start", F.greatest("start", F.lit(0.0)))
-    r = r.where(F.col("end") - F.col("start") >= p.min_cut)
+    return r.withColumn("end", F.when(tail, F.col("length")).otherwise(F.col("end"))).select(*regs.columns)
+
+
+def clamped(regs: DataFrame, lengths: DataFrame) -> DataFrame:
+    r = regs.join(lengths.select("id", "length"), "id")
+    return r.withColumns({"start": F.greatest("start", F.lit(0.0)), "end": F.least("end", "length")}).select(*regs.columns)
+
+
+def emitted(regs: DataFrame, p: Params = Params()) -> DataFrame:
+    """Without the shortest, times to 2 places."""
+    r = regs.where(F.col("end") - F.col("start") >= p.min_cut)
     return r.select("id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "n_matches", "method", "confidence", "excerpt")
 
 
+def script_evidence(runs: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
+    """Repeated words as evidence. runs: id, other, start, end; unions of them that read as adverts and are not overlong.
+
+    A pair whose runs make up too much of the shorter item gives none.
+    """
+    u = intervals.union(runs.select("id", "other", "start", "end"), ["id", "other"], 2.0).drop("n")
+    own, other = lengths.select("id", F.col("length").alias("la")), lengths.select(F.col("id").alias("other"), F.col("length").alias("lb"))
+    total = u.groupBy("id", "other").agg(F.sum(F.col("end") - F.col("start")).alias("shared")).join(own, "id").join(other, "other")
+    fair = u.join(total.where(F.col("shared") <= F.least("la", "lb") * p.max_pair_fraction).select("id", "other"), ["id", "other"], "left_semi")
+    fair = fair.where(F.col("end") - F.col("start") <= p.max_run)
+    text = intervals.text_between(fair.select("id", "start", "end").distinct(), segments, ["id"])
+    return fair.join(text.where(lexicon.is_ad(F.col("text"))).select("id", "start", "end"), ["id", "start", "end"], "left_semi").select("id", "other", "start", "end")
+
+
 def detect(evidence: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
+    """The plain form: what is found, judged and bridged, without work on the edges."""
     found = classified(regions(without_compilations(evidence, lengths, p)), segments, p)
-    return cuts(bridged(found, p.bridge_free), lengths, p)
+    return emitted(clamped(file_tails(bridged(found, p.bridge_free), segments, lengths, p), lengths), p)
+
+
+def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, lengths: DataFrame, groups: DataFrame, p: Params = Params()) -> DataFrame:
+    """The full form, for all items at once: script evidence and blocks too, edges walked, trimmed, snapped and freed of live talk.
+
+    evidence, runs: id, other, start, end. segments: id, idx, start, end, text. lengths: id, length. groups: id, grp.
+    """
+    from refrain.operators import edges
+
+    # Each step reads its input several times, so each is a written table: a plan of all of them would grow by powers.
+    scratch = Scratch(evidence.sparkSession, "detect")
+    heard = without_compilations(evidence, lengths, p)
+    every = scratch.save(heard.unionByName(script_evidence(runs, segments, lengths, p)), "evidence")
+    found = scratch.save(classified(regions(every), segments, p), "found")
+    found = scratch.save(found.unionByName(edges.standalone(found, segments)), "blocks")
+    r = scratch.save(edges.extended(bridged(found, p.bridge_free), segments, lengths), "extended")
+    r = scratch.save(edges.outro_tails(r, segments, lengths), "outro")
+    r = scratch.save(bridged(clamped(file_tails(r, segments, lengths, p), lengths), 0.5), "merged")
+    r = scratch.save(edges.without_weak_edges(r, segments, every, lengths), "trimmed")
+    r = scratch.save(edges.snapped(r, segments, lengths), "snapped")
+    return emitted(edges.without_live_talk(r, edges.live(segments, groups)), p)
+
+
+def report(cuts: DataFrame, lengths: DataFrame, feed: DataFrame) -> DataFrame:
+    """id, n_regions, total_cut, expected: every item, with the excess of its length over the feed's (id, said) if there is one."""
+    n = cuts.groupBy("id").agg(F.count(F.lit(1)).alias("n_regions"), F.round(F.sum(F.col("end") - F.col("start")), 1).alias("total_cut"))
+    over = F.col("length") - F.col("said")
+    r = lengths.join(n, "id", "left").join(feed, "id", "left")
+    return r.select("id", F.coalesce("n_regions", F.lit(0)).alias("n_regions"), F.coalesce("total_cut", F.lit(0.0)).alias("total_cut"), F.when(over > 0, F.round(over, 1)).alias("expected"))

@@ -6,12 +6,12 @@ The tables stand for the catalog: a customer is a group, an order an item, a lin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refrain.functions import lexicon, scalar
-from refrain.operators import catalog, detection, intervals, sequences
-from refrain.session import table
+from refrain.operators import catalog, detection, edges, intervals, sequences
+from refrain.session import Scratch, table
 from refrain.sources import feeds
 
 AS_OF = "1998-08-02 00:00:00"
@@ -142,18 +142,66 @@ def error_runs(spark, sf_dir):
     return sequences.error_runs(offs, _fingerprints(spark, sf_dir))
 
 
-def detect_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: hash streams matched inside groups, judged, bridged and cut, for all items at once."""
-    fp = _fingerprints(spark, sf_dir)
-    found = intervals.greedy(error_runs(spark, sf_dir), ["a", "b"]).select(F.col("a").alias("id"), F.col("b").alias("other"), "start", "end")
-    lengths = fp.groupBy("id").agg((F.count(F.lit(1)) / sequences.RATE).alias("length"))
+def _lines(spark, sf_dir):
+    """The documents' lines as segments: a word lasts as long as an item of the hash stream."""
     segs = _docs(spark, sf_dir).select("id", F.posexplode(F.split("text", r"\n")).alias("idx", "text"))
-    order = segs.withColumn("n", F.size(scalar.tokens(F.col("text"))))
-    from pyspark.sql import Window
-
+    segs = segs.withColumn("n", F.size(scalar.tokens(F.col("text"))))
     w = Window.partitionBy("id").orderBy("idx")
-    segs = order.withColumn("end", F.sum("n").over(w) / sequences.RATE).withColumn("start", F.col("end") - F.col("n") / sequences.RATE)
-    return detection.detect(found, segs.select("id", "idx", "start", "end", "text").where("trim(text) <> ''"), lengths)
+    segs = segs.withColumn("end", F.sum("n").over(w) / sequences.RATE).withColumn("start", F.col("end") - F.col("n") / sequences.RATE)
+    return segs.select("id", "idx", "start", "end", "text").where("trim(text) <> ''")
+
+
+def _lengths(spark, sf_dir):
+    n = F.size(scalar.tokens(F.coalesce("text", F.lit(""))))
+    return _docs(spark, sf_dir).groupBy("id").agg((F.max(n) / sequences.RATE).alias("length"))
+
+
+def _heard(spark, sf_dir):
+    return intervals.greedy(error_runs(spark, sf_dir), ["a", "b"]).select(F.col("a").alias("id"), F.col("b").alias("other"), "start", "end")
+
+
+def detect_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash streams matched inside groups, judged, bridged and cut, for all items at once."""
+    return detection.detect(_heard(spark, sf_dir), _lines(spark, sf_dir), _lengths(spark, sf_dir))
+
+
+def _script(spark, sf_dir):
+    runs = word_runs(spark, sf_dir)
+    sides = [runs.select(F.col(a).alias("id"), F.col(b).alias("other"), F.col(at).alias("p"), "words") for a, b, at in (("a", "b", "i"), ("b", "a", "j"))]
+    both = sides[0].union(sides[1])
+    return both.select("id", "other", (F.col("p") / sequences.RATE).alias("start"), ((F.col("p") + F.col("words") - 1) / sequences.RATE).alias("end"))
+
+
+def refined_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the full detection, with script evidence and work on the edges."""
+    scratch = Scratch(spark, "refined")
+    heard = scratch.save(_heard(spark, sf_dir), "heard")
+    segs, lengths = scratch.save(_lines(spark, sf_dir), "segments"), scratch.save(_lengths(spark, sf_dir), "lengths")
+    groups = _docs(spark, sf_dir).select("id", "grp").distinct()
+    return detection.detect_refined(heard, _script(spark, sf_dir), segs, lengths, groups)
+
+
+def detection_report(spark, sf_dir):
+    lengths = _lengths(spark, sf_dir)
+    return detection.report(detect_cuts(spark, sf_dir), lengths, lengths.select("id", (F.col("length") - 10).alias("said")))
+
+
+def _spoken(spark, sf_dir):
+    """Turns as segments, and spans to set right against them: quarter seconds only, exact in both engines."""
+    turns = _turns(spark, sf_dir)
+    whole = turns.groupBy("id").agg((F.max("end") + 5).alias("length"))
+    spans = turns.where("idx % 3 = 1").select("id", (F.col("start") + F.col("id") % 7 - 3.25).alias("start"), (F.col("end") + F.col("id") % 11).alias("end"))
+    return turns, whole, spans.distinct()
+
+
+def speech_snap(spark, sf_dir):
+    turns, whole, spans = _spoken(spark, sf_dir)
+    return edges.snapped(spans, turns, whole).select("id", "start", "end")
+
+
+def live_turns(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    return edges.live(turns, turns.select("id", (F.col("id") % 10).alias("grp")).distinct()).select("id", "idx", "live")
 
 
 def group_detail(spark, sf_dir):
@@ -240,7 +288,7 @@ QUERIES = {
         interval_union, interval_complement, splice_positions, region_sources, bridged_regions, ad_scores, word_runs,
         repeated_share, offset_clusters, error_runs, detect_cuts, group_detail, item_detail, queue_pending,
         unprocessed_items, reprocess_items, replaced_segments, file_names, cleaned_feeds, overlap_text,
-        region_classify, pair_exclusion, event_sessions,
+        region_classify, pair_exclusion, event_sessions, refined_cuts, detection_report, speech_snap, live_turns,
     )
 }
 
@@ -349,4 +397,11 @@ SQL = {
         m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
         k AS (SELECT *, sum(CASE WHEN s > reach + 1800000000 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM m)
         SELECT user_id, min(s) AS "start", max(e) AS "end", count(*) AS n FROM k GROUP BY user_id, part""",
+    "speech_snap": """WITH t AS (SELECT conv_id AS id, turn, turn * 40.0::DOUBLE AS s, turn * 40.0::DOUBLE + 35 AS e FROM conversations),
+        w AS (SELECT id, max(e) + 5 AS length FROM t GROUP BY id),
+        p AS (SELECT DISTINCT id, s + id % 7 - 3.25::DOUBLE AS a, e + id % 11 AS b FROM t WHERE turn % 3 = 1),
+        c AS (SELECT p.id, a, b, length, (SELECT t.s FROM t WHERE t.id = p.id AND abs(t.s - b) <= 2.5 ORDER BY abs(t.s - b), t.s LIMIT 1) AS onset,
+              (SELECT t.e FROM t WHERE t.id = p.id AND abs(t.e - a) <= 2.5 ORDER BY abs(t.e - a), t.e DESC LIMIT 1) AS stop FROM p JOIN w USING (id))
+        SELECT id, CASE WHEN a > 0.5 AND stop IS NOT NULL AND (stop > a OR NOT EXISTS (SELECT 1 FROM t WHERE t.id = c.id AND t.s < a AND t.e > stop)) THEN stop ELSE a END AS "start",
+               CASE WHEN b < length - 0.5 AND onset IS NOT NULL AND (onset < b OR NOT EXISTS (SELECT 1 FROM t WHERE t.id = c.id AND t.s < onset AND t.e > b)) THEN onset ELSE b END AS "end" FROM c""",
 }
