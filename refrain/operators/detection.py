@@ -23,16 +23,25 @@ class Params:
     min_cut: float = 5.0
 
 
-def without_compilations(evidence: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
-    """Evidence (id, other, start, end) without pairs that share too much and without overlong runs."""
+def excluded_pairs(evidence: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
+    """id, other, shared: pairs whose evidence (id, other, start, end) makes up too much of the shorter item."""
     total = evidence.groupBy("id", "other").agg(F.sum(F.col("end") - F.col("start")).alias("shared"))
     own = lengths.select("id", F.col("length").alias("la"))
     other = lengths.select(F.col("id").alias("other"), F.col("length").alias("lb"))
     bad = total.join(own, "id").join(other, "other").where(F.col("shared") > F.least("la", "lb") * p.max_pair_fraction)
-    kept = evidence.join(bad.select("id", "other"), ["id", "other"], "left_anti")
+    return bad.select("id", "other", "shared")
+
+
+def _fair(evidence: DataFrame, excluded: DataFrame, p: Params) -> DataFrame:
+    kept = evidence.join(excluded.select("id", "other"), ["id", "other"], "left_anti")
     return kept.where(F.col("end") - F.col("start") <= p.max_run)
 
 
+def without_compilations(evidence: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
+    """Evidence (id, other, start, end) without pairs that share too much and without overlong runs."""
+    return _fair(evidence, excluded_pairs(evidence, lengths, p), p)
+
+
 def regions(evidence: DataFrame, gap: float = 2.0) -> DataFrame:
     """id, start, end, n_matches, srcs: unions of evidence with their distinct sources."""
     u = intervals.union(evidence.select("id", "start", "end"), ["id"], gap).drop("n")
@@ -127,13 +136,15 @@ def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, le
     """The full form, for all items at once: script evidence and blocks too, edges walked, trimmed, snapped and freed of live talk.
 
     evidence, runs: id, other, start, end. segments: id, idx, start, end, text. lengths: id, length. groups: id, grp.
+    Pairs that the evidence excludes as compilations leave the runs and the judgement of live talk too.
     """
     from refrain.operators import edges
 
     # Each step reads its input several times, so each is a written table: a plan of all of them would grow by powers.
     scratch = Scratch(evidence.sparkSession, "detect")
-    heard = without_compilations(evidence, lengths, p)
-    every = scratch.save(heard.unionByName(script_evidence(runs, segments, lengths, p)), "evidence")
+    excluded = scratch.save(excluded_pairs(evidence, lengths, p), "excluded")
+    said = runs.join(excluded.select("id", "other"), ["id", "other"], "left_anti")
+    every = scratch.save(_fair(evidence, excluded, p).unionByName(script_evidence(said, segments, lengths, p)), "evidence")
     found = scratch.save(classified(regions(every), segments, p), "found")
     found = scratch.save(found.unionByName(edges.standalone(found, segments)), "blocks")
     r = scratch.save(edges.extended(bridged(found, p.bridge_free), segments, lengths), "extended")
@@ -141,12 +152,19 @@ def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, le
     r = scratch.save(bridged(clamped(file_tails(r, segments, lengths, p), lengths), 0.5), "merged")
     r = scratch.save(edges.without_weak_edges(r, segments, every, lengths), "trimmed")
     r = scratch.save(edges.snapped(r, segments, lengths), "snapped")
-    return emitted(edges.without_live_talk(r, edges.live(segments, groups)), p)
+    return emitted(edges.without_live_talk(r, edges.live(segments, groups, excluded)), p)
 
 
-def report(cuts: DataFrame, lengths: DataFrame, feed: DataFrame) -> DataFrame:
-    """id, n_regions, total_cut, expected: every item, with the excess of its length over the feed's (id, said) if there is one."""
+def report(cuts: DataFrame, lengths: DataFrame, feed: DataFrame, excluded: DataFrame) -> DataFrame:
+    """id, n_regions, total_cut, expected, excluded_pairs: every item, with the excess of its length over the feed's (id, said) if there is one.
+
+    excluded: from ``excluded_pairs``; an item's are listed as (other, shared).
+    """
     n = cuts.groupBy("id").agg(F.count(F.lit(1)).alias("n_regions"), F.round(F.sum(F.col("end") - F.col("start")), 1).alias("total_cut"))
+    left_out = excluded.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("other", F.round("shared", 1).alias("shared")))).alias("excluded_pairs"))
     over = F.col("length") - F.col("said")
-    r = lengths.join(n, "id", "left").join(feed, "id", "left")
-    return r.select("id", F.coalesce("n_regions", F.lit(0)).alias("n_regions"), F.coalesce("total_cut", F.lit(0.0)).alias("total_cut"), F.when(over > 0, F.round(over, 1)).alias("expected"))
+    r = lengths.join(n, "id", "left").join(feed, "id", "left").join(left_out, "id", "left")
+    return r.select(
+        "id", F.coalesce("n_regions", F.lit(0)).alias("n_regions"), F.coalesce("total_cut", F.lit(0.0)).alias("total_cut"), F.when(over > 0, F.round(over, 1)).alias("expected"),
+        F.coalesce("excluded_pairs", F.array().cast(left_out.schema["excluded_pairs"].dataType)).alias("excluded_pairs"),
+    )

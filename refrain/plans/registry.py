@@ -182,8 +182,10 @@ def refined_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detection_report(spark, sf_dir):
-    lengths = _lengths(spark, sf_dir)
-    return detection.report(detect_cuts(spark, sf_dir), lengths, lengths.select("id", (F.col("length") - 10).alias("said")))
+    scratch = Scratch(spark, "report")
+    heard, lengths = scratch.save(_heard(spark, sf_dir), "heard"), _lengths(spark, sf_dir)
+    cuts = detection.detect(heard, _lines(spark, sf_dir), lengths)
+    return detection.report(cuts, lengths, lengths.select("id", (F.col("length") - 10).alias("said")), detection.excluded_pairs(heard, lengths))
 
 
 def _spoken(spark, sf_dir):
