@@ -9,7 +9,8 @@ what is worth more than nothing. What never is text (scripts, styles, forms, mar
 
 The trees are fitted once on generated pages (PAGES of them, fixed seed, bounded), whose labels are known.
 
-Defined cases: null, empty and textless pages give an empty text; unclosed and stray tags are tolerated;
+Defined cases: null, empty and textless pages give an empty text; unclosed and stray tags are tolerated (text-only
+elements as scripts end as HTML has it); bare text goes with the body, also where the page leaves the body's tags out;
 repeated rows come back each; empty tables give none; extra columns are ignored.
 """
 
@@ -31,6 +32,8 @@ from refrain.llm.common import only
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style noscript template title form button select textarea svg iframe object canvas".split())
+HEADED = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+CONTROLS = frozenset("option optgroup fieldset legend datalist output meter progress".split()) | UNSEEN
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 KINDS = ("html body", "main article", "section div", "p", "h1 h2 h3 h4 h5 h6", "nav menu", "aside", "header", "footer", "ul ol dl", "li dt dd", "table thead tbody tr td th", "blockquote pre figure figcaption", "a", "form dialog")
 CLOSED_BY = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside nav header footer main blockquote pre form figure hr".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "option": frozenset(["option"])}
@@ -59,22 +62,72 @@ ELEMENTS = 1 << 12
 class Dom(HTMLParser):
     """The elements in page order: parent, tag, attribute words; and the text pieces with their element.
 
-    A piece is (element, text); a block's edge is a piece of None.
+    A piece is (element, text); a block's edge is a piece of None. html and body are there even if the page leaves
+    their tags out, as HTML has it, and stay open to its end; so all text stands in body.
+
+    unseen: what is open from an unseen element on. A head ends before the first tag or text that may not stand in it,
+    other unseen elements end with their nearest open ancestor at the latest. Those that their own end tag does not
+    end are in ``unclosed`` (numbers of unseen elements); if those are given as ``loose``, they end before the first block too.
     """
 
-    def __init__(self):
+    def __init__(self, loose: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.tokens, self.label = [-1], ["#"], [frozenset()], [False]
-        self.open, self.unseen = [0], []
+        self.open = [0]
+        self.unseen: list[tuple[str, int]] = []
+        self.loose, self.unclosed, self.met = loose, set(), 0
+        self.has: set[str] = set()
+        self.implied: set[int] = set()
         self.pieces: list[tuple[int, str | None]] = []
 
+    def _reveal(self, k: int) -> None:
+        """What is open from the kth unseen on ends, by another tag than its own."""
+        self.unclosed.update(i for _, i in self.unseen[k:] if i)
+        del self.unseen[k:]
+
+    def _end_loose(self) -> None:
+        while k := next((k for k in range(len(self.unseen), 0, -1) if self.unseen[k - 1][1]), 0):
+            if self.unseen[k - 1][1] not in self.loose:
+                break
+            self._reveal(k - 1)
+
+    def _push(self, tag, attrs) -> None:
+        words = {w.lower() for k, v in attrs if k in ("class", "id", "role", "aria-label", "itemprop") for w in _WORDS.findall(v or "")}
+        self.parent.append(self.open[-1])
+        self.tag.append(tag)
+        self.tokens.append(frozenset(_TOKEN[w] for w in words if w in _TOKEN))
+        self.label.append(any(k == "data-main" for k, _ in attrs))
+        self.open.append(len(self.tag) - 1)
+
+    def _imply(self, *tags: str) -> None:
+        for tag in tags:
+            if tag not in self.has:
+                self.has.add(tag)
+                self._push(tag, ())
+                self.implied.add(self.open[-1])
+
     def handle_starttag(self, tag, attrs):
+        number = 0
+        if tag in UNSEEN:
+            self.met += 1
+            number = self.met
+        if self.unseen:
+            if self.unseen[0][0] == "head" and (tag == "body" or len(self.unseen) == 1 and tag not in HEADED):
+                self._reveal(0)
+            elif self.loose and tag not in INLINE and tag not in VOID and tag not in CONTROLS:
+                self._end_loose()
         if self.unseen:
-            if tag in UNSEEN:
-                self.unseen.append(tag)
+            if tag not in VOID:
+                self.unseen.append((tag, number))
             return
-        if tag == "body" and "body" in (self.tag[i] for i in self.open):
+        if tag in self.has:
             return
+        if tag == "body":
+            self._imply("html")
+        elif tag not in HEADED and tag not in ("html", "head"):
+            self._imply("html", "body")
+        if tag in ("html", "body"):
+            self.has.add(tag)
         while len(self.open) > 1:
             # An open element ends here if the new one closes it, with the inline ones inside it.
             k = len(self.open) - 1
@@ -86,49 +139,71 @@ class Dom(HTMLParser):
         if tag not in INLINE:
             self.pieces.append((self.open[-1], None))
         if tag in UNSEEN:
-            self.unseen.append(tag)
+            self.unseen.append((tag, number))
             return
-        if tag in VOID:
-            return
-        words = {w.lower() for k, v in attrs if k in ("class", "id", "role", "aria-label", "itemprop") for w in _WORDS.findall(v or "")}
-        self.parent.append(self.open[-1])
-        self.tag.append(tag)
-        self.tokens.append(frozenset(_TOKEN[w] for w in words if w in _TOKEN))
-        self.label.append(any(k == "data-main" for k, _ in attrs))
-        self.open.append(len(self.tag) - 1)
+        if tag not in VOID:
+            self._push(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in UNSEEN and self.unseen:
-            self.unseen.pop()
+        if self.unseen:
+            if self.unseen[-1][0] == tag:
+                self.unseen.pop()
         elif tag not in VOID and not self.unseen and self.tag[self.open[-1]] == tag and tag not in INLINE and tag not in _KIND:
             self.open.pop()
 
     def handle_endtag(self, tag):
         if self.unseen:
-            if tag in self.unseen:
-                while self.unseen.pop() != tag:
-                    pass
-            return
+            k = next((k for k in range(len(self.unseen) - 1, -1, -1) if self.unseen[k][0] == tag), None)
+            if k is not None:
+                self._reveal(k + 1)
+                self.unseen.pop()
+                return
+            if not self._opened(tag):
+                return
+            self._reveal(0)
         if tag not in INLINE:
             self.pieces.append((self.open[-1], None))
+        if k := self._opened(tag):
+            del self.open[k + (tag in ("html", "body")) :]
+            self._reopen()
+
+    def _opened(self, tag) -> int:
+        """The place of the open element that the end tag ends; 0 if there is none."""
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] == tag:
-                del self.open[k:]
-                break
+                return k
             if tag in INLINE and self.tag[self.open[k]] not in INLINE:
                 break
+        return 0
+
+    def _reopen(self) -> None:
+        """Behind the end of html, body goes on."""
+        if self.tag[self.open[-1]] == "html" and "body" in self.has:
+            self.open.append(self.tag.index("body"))
 
     def handle_data(self, data):
+        if [x[0] for x in self.unseen] == ["head"] and data.strip():
+            self._reveal(0)
         if not self.unseen:
+            if "body" not in self.has and data.strip():
+                self._imply("html", "body")
             self.pieces.append((self.open[-1], data))
 
+    def close(self):
+        super().close()
+        self._reveal(0)
+
 
 def parse(html: str) -> Dom:
-    dom = Dom()
-    dom.feed(html)
-    dom.close()
-    return dom
+    loose: frozenset[int] = frozenset()
+    while True:
+        dom = Dom(loose)
+        dom.feed(html)
+        dom.close()
+        if dom.unclosed <= loose:
+            return dom
+        loose |= dom.unclosed
 
 
 def features(dom: Dom) -> np.ndarray:
@@ -307,7 +382,8 @@ def kept_elements(dom: Dom, log_odds: np.ndarray) -> np.ndarray:
     """The best set of elements that is closed upwards."""
     n = len(dom.parent)
     worth = log_odds.copy()
-    worth[0] = 1e-6  # the root over all elements says nothing
+    # The root over all elements says nothing, nor do a body that the page does not name and what is over it.
+    worth[[0, *dom.implied, *(dom.parent[i] for i in dom.implied)]] = 1e-6
     for i in range(n - 1, 0, -1):
         worth[dom.parent[i]] += max(worth[i], 0.0)
     kept = np.zeros(n, bool)
@@ -353,7 +429,7 @@ def _texts(held: list[tuple[Dom, np.ndarray] | None], trees: Boosted) -> Iterato
 
 def _joined(dom: Dom, kept: np.ndarray) -> str:
     """The kept elements' text, block by block."""
-    kept[0] &= not kept[1:].any()  # bare text beside elements is not in the article; a page of text alone is
+    kept |= all(t in ("#", "html", "body") or t in INLINE and t != "a" for t in dom.tag)  # a page of text alone is whole
     blocks, cur = [], []
     for e, piece in [*dom.pieces, (0, None)]:
         if piece is None:

@@ -235,6 +235,30 @@ def test_html(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[2]["n_chars"] == 0
 
 
+def test_html_with_tags_left_out(spark):
+    article = "<article><h1>Big news</h1><p>A paragraph of text, with some words in it, and more of them.</p><p>Another one, which says more.</p></article>"
+    text = "Big news A paragraph of text, with some words in it, and more of them. Another one, which says more."
+    body = "<html><head><title>T</title></head><body>"
+    pages = {
+        f"<html><head><title>T</title><body>{article}": text,
+        f"<head><meta charset=x><title>T</title>{article}": text,
+        f"<html><head><noscript><link rel=x><body>{article}</body></html>": text,
+        f"{body}<div class='search'><form action=x><input name=q><label>Find</label></div>{article}</body></html>": text,
+        f"{body}<form action=x><input name=q><label>Find</label>{article}</body></html>": text,
+        f"{body}<nav><button>Menu</nav>{article}</body></html>": text,
+        f"{body}<select><option>a<option>b{article}</body></html>": text,
+        f"{body}<noscript><img src=x>{article}</body></html>": text,
+        f"{body}<form><div><p>Gone</p></div></form>{article}</body></html>": text,
+        f"Some words first. {article}": f"Some words first. {text}",
+        f"{body}{article}</body></html> Trailing words.": f"{text} Trailing words.",
+        "Hello <b>world</b>": "Hello world",
+        "just text": "just text",
+    }
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'u' AS url", "html")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_html(df).collect()}
+    assert [got[i] for i in range(len(pages))] == list(pages.values())
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for f in (exact_dedup, suffix_dedup.suffix_dedup, simhash.simhash_dedup, mixing.mix_sources, language_id.language_id, line_dedup.line_dedup, token_counts.token_counts, sentencepiece_fst.encoded):
