@@ -34,14 +34,18 @@ RADIUS = 0.5
 #: Code points whose n-grams are hashed at once.
 BLOCK = 1 << 16
 
-#: Which of the basic plane's code points are letters; those above it count as letters.
+#: Which of the basic plane's code points are letters; those above it are looked up as they come.
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
 def ngram_counts(text: str) -> np.ndarray | None:
     """Counts of hashed 1- to 3-grams; None if there is no letter."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _LETTER[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+    letter = _LETTER[np.minimum(code, 0xFFFF)]
+    high = code > 0xFFFF
+    if high.any():
+        points, at = np.unique(code[high], return_inverse=True)
+        letter[high] = np.array([chr(c).isalpha() for c in points])[at]
     if not letter.any():
         return None
     code = np.where(letter, code, np.uint32(32))

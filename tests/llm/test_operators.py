@@ -164,6 +164,14 @@ def test_language_id(spark, docs, sf):
     assert all(0 <= r["score"] <= 1 for r in own.values())
 
 
+def test_language_id_above_the_basic_plane(spark):
+    rows_ = [(i, f"some plain words of text number {i}", "en") for i in range(1, 30)] + [(101, "\U0001f600\U0001f680\U0001f389", None), (102, "\U00010400\U00020000", None)]
+    own = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).collect()}
+    assert (own[101]["lang_pred"], own[101]["score"], own[101]["rejected"]) == ("und", 0.0, True)
+    assert own[102]["lang_pred"] == "en"
+    assert (language_id.ngram_counts("ab \U0001f600 cd") == language_id.ngram_counts("ab ! cd")).all()
+
+
 def test_line_dedup(docs):
     def key(line):
         return line.strip(" \t\n\r\x0b\x0c").translate({c: c + 32 for c in range(65, 91)})
