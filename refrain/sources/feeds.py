@@ -7,25 +7,52 @@ from pyspark.sql import functions as F
 
 from refrain.functions.scalar import duration_seconds, feed_date, or_default
 
+LINKS = "array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>"
 ITEM = (
-    "title string, guid struct<_VALUE:string,_isPermaLink:string>, link string, description string, summary string, "
+    f"title string, guid struct<_VALUE:string,_isPermaLink:string>, link {LINKS}, `atom:link` {LINKS}, description string, summary string, "
     "pubDate string, updated string, enclosure array<struct<_url:string,_type:string>>, `itunes:duration` string"
 )
+ENTRY = f"title string, id string, link {LINKS}, summary string, published string, updated string, `itunes:duration` string"
 TRANSCRIPT = "transcription array<struct<offsets:struct<`from`:bigint,`to`:bigint>,text:string>>"
 
 
+def _first(links, kept, part: str):
+    return F.get(F.filter(links, lambda x: F.coalesce(kept(x), F.lit(False)) & x[part].isNotNull()), F.lit(0))[part]
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """guid, title, description, pub_date, audio_url, duration_s; entries without audio are dropped."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
-    sound = F.filter(F.coalesce("enclosure", F.array().cast("array<struct<_url:string,_type:string>>")), lambda x: F.startswith(x["_type"], F.lit("audio/")))
-    url = F.get(sound, F.lit(0))["_url"]
-    return items.select(
-        F.coalesce(F.col("guid._VALUE"), F.col("link"), url).alias("guid"),
-        or_default(F.col("title"), "Unknown Episode").alias("title"),
-        F.coalesce("description", "summary", F.lit("")).alias("description"),
-        F.coalesce(feed_date(F.col("pubDate")), feed_date(F.col("updated"))).alias("pub_date"),
-        url.alias("audio_url"), duration_seconds(F.col("itunes:duration")).alias("duration_s"),
-    ).where("audio_url is not null")
+    """guid, title, description, pub_date, audio_url, duration_s of RSS items and Atom entries.
+
+    Audio is the first enclosure of an audio type, else the first link of one; entries without audio are dropped.
+    """
+    xml = spark.read.format("xml")
+    items = xml.option("rowTag", "item").schema(ITEM).load(path)
+    entries = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path)
+    none = F.array().cast(LINKS)
+
+    def sounds(x):
+        return F.startswith(x["_type"], F.lit("audio/"))
+
+    def page(links):
+        return F.coalesce(_first(links, lambda x: F.lit(True), "_VALUE"), _first(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate", "_href"))
+
+    links = F.concat(F.coalesce("link", none), F.coalesce("atom:link", none))
+    url = F.coalesce(_first(F.col("enclosure"), sounds, "_url"), _first(links, sounds, "_href"))
+    rss = items.select(
+        F.coalesce(F.col("guid._VALUE"), page(links), url).alias("guid"), "title", F.coalesce("description", "summary").alias("description"),
+        F.coalesce(feed_date(F.col("pubDate")), feed_date(F.col("updated"))).alias("pub_date"), url.alias("audio_url"), "itunes:duration",
+    )
+    # An entry's enclosures are links too; they come first.
+    own = F.coalesce("link", none)
+    url = F.coalesce(_first(own, lambda x: (x["_rel"] == "enclosure") & sounds(x), "_href"), _first(own, sounds, "_href"))
+    atom = entries.select(
+        F.coalesce("id", page(own), url).alias("guid"), "title", F.col("summary").alias("description"),
+        F.coalesce(feed_date(F.col("published")), feed_date(F.col("updated"))).alias("pub_date"), url.alias("audio_url"), "itunes:duration",
+    )
+    return rss.unionByName(atom).where("audio_url is not null").select(
+        "guid", or_default(F.col("title"), "Unknown Episode").alias("title"), F.coalesce("description", F.lit("")).alias("description"),
+        "pub_date", "audio_url", duration_seconds(F.col("itunes:duration")).alias("duration_s"),
+    )
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

@@ -102,3 +102,20 @@ def test_feed_and_ingest(spark, tmp_path):
         spark.createDataFrame([(x,) for x in n], "g string").coalesce(1).write.mode("append").parquet(src)
         ingest(spark.readStream.schema("g string").parquet(src), out, str(tmp_path / "cp"), ["g"]).awaitTermination()
     assert pairs(spark.read.parquet(out), "g") == [("a",), ("b",), ("c",)]
+
+
+def test_feed_links_and_entries(spark, tmp_path):
+    (tmp_path / "r.xml").write_text(
+        '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>P</title>'
+        '<item><title>E1</title><link>http://h/1</link><atom:link href="http://h/1.mp3" type="audio/mpeg"/></item>'
+        '<item><title>E2</title><guid>g2</guid><link>http://h/2</link><enclosure url="http://h/2.mp3" type="audio/mpeg"/></item>'
+        "<item><title>E3</title><link>http://h/3</link></item></channel></rss>"
+    )
+    (tmp_path / "a.xml").write_text(
+        '<feed xmlns="http://www.w3.org/2005/Atom"><title>P</title><entry><title>A1</title><id>i1</id><summary>S</summary>'
+        '<published>2024-01-01T10:00:00+02:00</published><link href="http://h/p"/><link rel="enclosure" type="audio/mpeg" href="http://h/a.mp3"/></entry>'
+        '<entry><title>A2</title><id>i2</id><link href="http://h/q"/></entry></feed>'
+    )
+    assert pairs(feeds.read_feed(spark, str(tmp_path / "r.xml")), "guid", "audio_url") == [("g2", "http://h/2.mp3"), ("http://h/1", "http://h/1.mp3")]
+    got = [(x["guid"], x["audio_url"], x["description"], str(x["pub_date"])) for x in feeds.read_feed(spark, str(tmp_path / "a.xml")).collect()]
+    assert got == [("i1", "http://h/a.mp3", "S", "2024-01-01 08:00:00")]
