@@ -35,6 +35,14 @@ def only(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with marks behind it until no column of ``df`` has that name in any case."""
+    held = {c.lower() for c in df.columns}
+    while base.lower() in held:
+        base += "_"
+    return base
+
+
 def by_pandas(df: DataFrame, each, columns: str) -> DataFrame:
     """mapInPandas with doc_id as a string meanwhile: pandas would make floats of ids with nulls among them."""
     out = df.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(each, f"doc_id string, {columns}")
@@ -46,29 +54,32 @@ def components(edges: DataFrame, scratch) -> DataFrame:
 
     Each round hangs every neighbour on the smallest node seen from a centre, larger neighbours first and
     smaller ones next, until no edge changes. Groups are only aggregated, never gathered, and each round
-    is a written table.
+    is a written table. The smallest nodes are written apart, so that both sides of a join are plain shuffles
+    and a centre with very many neighbours is split where the planner finds it skewed.
     """
     cur = scratch.save(
         edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "e0"
     )
-    n, mark = 0, None
+    n, held = 0, cur.count()
     while True:
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"m{n}")
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = scratch.save(large, f"l{n}")
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        down = scratch.save(large.groupBy("hi").agg(F.min("lo").alias("m")), f"d{n}")
         joined = large.join(down.hint("merge"), "hi")
         small = joined.select("hi", F.col("m").alias("lo")).union(
             joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         )
         nxt = scratch.save(small.distinct(), f"e{n + 1}")
-        new = nxt.agg(F.count(F.lit(1)), F.sum(F.hash("hi", "lo").cast("long"))).first()
-        scratch.drop(f"e{n}", f"l{n}")
+        # Both are sets of edges: as many, and none that the other has not, are the same.
+        now = nxt.count()
+        same = now == held and not nxt.join(cur.hint("merge"), ["hi", "lo"], "left_anti").head(1)
+        scratch.drop(f"e{n}", f"m{n}", f"l{n}", f"d{n}")
         n += 1
-        if tuple(new) == mark:
+        if same:
             break
-        mark, cur = tuple(new), nxt
+        held, cur = now, nxt
     pairs = nxt.groupBy("hi").agg(F.min("lo").alias("root"))
     return scratch.save(
         pairs.select(F.col("hi").alias("node"), "root").union(pairs.select(F.col("root").alias("node"), "root").distinct()), "roots"

@@ -19,13 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.common import ascii_lower, only, text_or_empty
+from refrain.llm.common import ascii_lower, free_name, only, text_or_empty
 from refrain.session import Scratch
 
 #: Digests a shard holds at most, about: it bounds a task's memory, and the number of shards follows the data.
 SHARD_DIGESTS = 50_000
 #: Shards per shuffle partition at least, so that a partition's load evens out.
 SHARDS_EACH = 4
+#: Copies of a repeated row that are unfolded at once.
+COPIES = 4_096
 #: Mean number of digests that share a displacement.
 BUCKET_DIGESTS = 3
 
@@ -192,26 +194,35 @@ def exact_dedup(docs: DataFrame, historical=None) -> DataFrame:
     copies = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     # Hot digests: a plain sort-merge join, which AQE splits on the side of the rows.
     joined = copies.join(found.hint("merge"), "digest")
-    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # A row that came very often is unfolded in two steps, so that no list is longer than COPIES or its number of lists.
+    last = F.floor((F.col("copies") - 1) / F.lit(COPIES))
+    each = joined.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    own = F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("block") * COPIES)
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), own)))
     return each.select(
         "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("block") == 0) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents whose row stays, with all their columns as they came."""
+    """The documents whose row stays, with all their columns as they came.
+
+    Of rows that repeat id and text one stays; an empty table keeps none; columns of any name come through.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     rows = scratch.save(digests(docs), "digests")
     found = groups(spark, rows, _is_history(), scratch)
-    stay = found.select(F.col("keep_id").alias("__id"), F.col("digest").alias("__digest"))
-    own = docs.withColumn("__own", F.unhex(F.sha2(ascii_lower(text_or_empty()), 256)))
+    scratch.drop("history", "batch", "index")
+    ident, digest, own_digest = (free_name(docs, c) for c in ("keep_id", "keep_digest", "own_digest"))
+    stay = found.select(F.col("keep_id").alias(ident), F.col("digest").alias(digest))
+    own = docs.withColumn(own_digest, F.unhex(F.sha2(ascii_lower(text_or_empty()), 256)))
     # By id first: ids are spread evenly where digests are not.
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.col(own_digest) == F.col(digest))
     once = own.join(stay, on, "left_semi")
     repeats = rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
     if repeats:
-        once = once.dropDuplicates(["doc_id", "__own"])
+        once = once.dropDuplicates(["doc_id", own_digest])
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refrain.llm.common import WORD, only, text_or_empty
+from refrain.llm.common import WORD, free_name, only, text_or_empty
 from refrain.session import Scratch
 
 #: Rows of a range, about.
@@ -59,7 +59,7 @@ def everything_by(order):
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per document."""
+    """doc_id, size, source_size, target, taken, source: one row per document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     d = only(docs, doc_id="long", text="string", source="string")
@@ -76,6 +76,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     starts = scratch.save(
         sums_of.select("a.source", "range", "start", "source_size", "target"), "starts"
     )
+    scratch.drop("sums")
     inside = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     on = F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.range") == F.col("s.range"))
@@ -85,22 +86,23 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     rest = budget - whole * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("inside")))
     taken = (whole * F.col("size") + cut).cast("long").alias("taken")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken)
+    return placed.select("doc_id", "size", "source_size", "target", taken, "source")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns, as often as they are taken.
 
     Documents stay whole: the one at a source's cut is kept as a whole document, so a source may exceed
-    its target by less than that one. A document without words is kept once.
+    its target by less than that one. A document without words is kept once. Rows that repeat id and size
+    share how often they are taken; an empty table gives none; columns of any name come through.
     """
-    n = mix_sources(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__size", words_in(text_or_empty()))
-    on = F.col("__id").eqNullSafe(F.col("n.doc_id")) & (F.col("__size") == F.col("n.size"))
-    times = F.when(F.col("n.size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("n.size"))).cast("int")
-    joined = own.alias("d").join(n.alias("n"), on).where(times > 0)
-    joined = joined.withColumn("__time", F.explode(F.sequence(F.lit(1), times)))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    ident, size, time, own_id, own_size = (free_name(docs, c) for c in ("mix_id", "mix_size", "mix_time", "row_id", "row_size"))
+    n = mix_sources(docs).groupBy(F.col("doc_id").alias(ident), F.col("size").alias(size)).agg(F.max("taken").alias("taken"))
+    times = F.when(F.col(size) == 0, 1).otherwise(F.ceil(F.col("taken") / F.col(size))).cast("int")
+    n = n.select(ident, size, times.alias(time))
+    own = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_size, words_in(text_or_empty()))
+    joined = own.join(n, F.col(own_id).eqNullSafe(F.col(ident)) & (F.col(own_size) == F.col(size))).where(F.col(time) > 0)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(time))).alias(time)).drop(time)
 
 
 #: DuckDB SQL for the rows of ``mix_sources``.
@@ -129,8 +131,8 @@ WITH RECURSIVE d AS (
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, source, size, source_size, target,
+SELECT doc_id, size, source_size, target,
        ((CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END) * size
-        + greatest(0, least(size, (CASE WHEN source_size > 0 THEN budget % source_size ELSE 0 END) - before)))::BIGINT AS taken
+        + greatest(0, least(size, (CASE WHEN source_size > 0 THEN budget % source_size ELSE 0 END) - before)))::BIGINT AS taken, source
 FROM p
 """

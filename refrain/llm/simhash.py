@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import by_pandas, components, only
+from refrain.llm.common import by_pandas, components, free_name, only
 from refrain.session import Scratch
 
 THRESHOLD = 4
@@ -179,6 +179,7 @@ def near_components(docs: DataFrame, name: str = "simhash") -> DataFrame:
     named = named.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = scratch.save(named.join(tops, "root").select("fp", "component_id"), "ids")
+    scratch.drop("distinct", "links", "roots")
     return rows.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -192,9 +193,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Documents with all their columns, of each component the one with the smallest doc_id.
 
     Rows that repeat id and text stay once; documents without an id stay if their component has none with
-    an id, once per text.
+    an id, once per text. Null and blank texts are one group with all that link to fingerprint zero. An empty
+    table keeps none; columns of any name come through.
     """
     found = near_components(docs, "simhash-keep")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    ident = free_name(docs, "stay_id")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(ident)).distinct()
+    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

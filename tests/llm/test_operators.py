@@ -292,3 +292,53 @@ def test_pipeline_stages(spark, docs):
     for r in taken:
         if r["doc_id"] != 40:
             assert mixed[r["doc_id"]] == (1 if not r["size"] else -(-r["taken"] // r["size"])), r
+
+
+def test_pipeline_on_clashing_names_and_empty_tables(spark):
+    """Columns that are called as helpers might be come through untouched, and empty tables stay empty."""
+    names = ["keep_id", "own_digest", "__own", "__id", "mix_id", "mix_time", "taken", "size", "stay_id", "component_id"]
+    texts = ["the quick brown fox jumps over the dog", "a wholly other line of plain words here", None, ""]
+    made = [(i, t, "en", "ab"[i % 2], 1, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts * 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    df = spark.createDataFrame(made, schema)
+    held = {r["doc_id"]: tuple(r) for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert got and all(tuple(r) == held[r["doc_id"]] for r in got), name
+    none = df.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+
+
+def test_pipeline_run(spark, sf):
+    """The whole pipeline: the rows of its stages one after the other, with the library's ids."""
+    import sentencepiece
+
+    docs = table(spark, sf, "documents")
+    want = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        want = stage(spark, want, sf)
+    texts = Counter((r["doc_id"], r["text"]) for r in want.collect())
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.vocabulary_path(sentencepiece_fst.MODEL))
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out) == Counter({(d, tuple(sp.encode(t or ""))): n for (d, t), n in texts.items()})
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    from refrain.llm.common import components
+    from refrain.session import Scratch
+
+    edges = [(1, i) for i in range(2, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "star")).collect()}
+    assert got == {i: 1 for i in range(1, 300)} | {i: 1000 for i in range(1000, 1041)}
+
+
+def test_exact_dedup_unfolds_many_copies(spark, monkeypatch):
+    from refrain.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "COPIES", 3)
+    df = spark.createDataFrame([(1, "same")] * 10 + [(2, "SAME")] * 7, "doc_id long, text string")
+    out = exact_dedup(df).collect()
+    assert len(out) == 17 and sum(r["kept"] for r in out) == 1 and {r["keep_id"] for r in out} == {2}
