@@ -5,11 +5,13 @@ weighted by sublinear TF times IDF, then normalised. A language has several cent
 k-means over its training vectors. A text gets the language of the centroid with the largest cosine. Texts
 whose best cosine lies below the learned radius are rejected by distance.
 
-The fit takes SAMPLE labelled rows at most, those with the smallest hash of their id; that bound is the
-one limit here, and whole texts are used. A prediction sees the text alone.
+The fit takes SAMPLE labelled rows at most, those with the smallest hash of their id and text; that bound is
+the one limit here, and whole texts are used. Counting, document frequencies and the k-means of each language
+run in tasks; the driver gets the IDF and the centroids alone. A prediction sees the text alone.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without labelled rows all
-texts are ``und``; repeated rows come back each; empty tables give none; extra columns are ignored.
+texts are ``und``; repeated rows come back each (the fit takes them once); of equally near centroids the first
+by language and number wins; empty tables give none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refrain.llm.common import by_pandas, only
+from refrain.session import Scratch
 
 DIMS = 4096
 #: Labelled rows that the fit takes at most.
@@ -80,7 +83,7 @@ class Model:
     radius: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts) * self.idf)
+        return _unit(np.log1p(counts).astype(np.float32) * self.idf)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         counts = ngram_counts(text) if text else None
@@ -104,45 +107,73 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-
-
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's places and counts; texts without a letter teach nothing."""
     for b in batches:
-        counts = [ngram_counts(t) if t else None for t in b["text"]]
-        packed = [None if c is None else np.minimum(c, 2**31 - 1).astype("<i4").tobytes() for c in counts]
-        yield pd.DataFrame({"lang": b["lang"], "counts": packed})
+        rows = []
+        for o, lang, text in zip(b["o"], b["lang"], b["text"], strict=True):
+            counts = ngram_counts(text) if text else None
+            if counts is not None:
+                places = np.flatnonzero(counts)
+                rows.append((o, lang, places.astype("<i4").tobytes(), np.log1p(counts[places]).astype("<f4").tobytes()))
+        yield pd.DataFrame(rows, columns=["o", "lang", "places", "weights"])
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(place, n): in how many of these texts a place occurs; the last row, -1, counts the texts."""
+    n, texts = np.zeros(DIMS, np.int64), 0
+    for b in batches:
+        texts += len(b)
+        for p in b["places"]:
+            n[np.frombuffer(p, "<i4")] += 1
+    yield pd.DataFrame({"place": [*range(DIMS), -1], "n": [*n.tolist(), texts]})
+
+
+def _centroids(idf: np.ndarray):
+    """Per language its centroids and its smallest training cosine; a group is a part of the bounded sample."""
+
+    def fitted(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("o")
+        x = np.zeros((len(own), DIMS), np.float32)
+        for i, (p, w) in enumerate(zip(own["places"], own["weights"], strict=True)):
+            at = np.frombuffer(p, "<i4")
+            x[i, at] = np.frombuffer(w, "<f4") * idf[at]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        c = _kmeans(x, CENTROIDS)
+        least = float(np.max(x @ c.T, axis=1).min())
+        return pd.DataFrame({"lang": own["lang"].iloc[0], "k": range(len(c)), "centroid": [v.astype("<f4").tobytes() for v in c], "least": least})
+
+    return fitted
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    d = only(docs, doc_id="long", text="string", lang="string").where(for_training())
-    order = F.xxhash64("doc_id", F.xxhash64("text"))
+    """The model of a bounded sample. Counting and k-means run in tasks; the driver gets IDF and centroids only."""
+    scratch = Scratch(docs.sparkSession, "language-fit")
+    d = only(docs, doc_id="long", text="string", lang="string").where(for_training() & F.col("text").isNotNull())
+    d = d.withColumn("o", F.xxhash64("doc_id", F.xxhash64("text")))
     # Ids and hashes are ranked, not texts; then the few texts are fetched by their hash.
-    ranked = d.where(F.col("text").isNotNull()).select(order.alias("o")).orderBy("o").limit(sample)
-    last = ranked.agg(F.max("o")).first()[0]
-    none = Model(np.zeros(DIMS), np.zeros((0, DIMS)), (), np.zeros(0))
+    last = d.select("o").orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    none = Model(np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), (), np.zeros(0))
     if last is None:
         return none
-    rows = d.where(F.col("text").isNotNull() & (order <= last)).select("lang", "text")
-    found = [r for r in rows.mapInPandas(_counted, "lang string, counts binary").take(sample) if r["counts"]]
-    if not found:
+    rows = d.where(F.col("o") <= last).select("o", "lang", "text")
+    found = rows.mapInPandas(_counted, "o long, lang string, places binary, weights binary")
+    found = scratch.save(found.dropDuplicates(["o", "lang"]), "sample")
+    seen = {r["place"]: r["n"] for r in found.select("places").mapInPandas(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    texts = seen.pop(-1, 0)
+    if not texts:
+        scratch.drop("sample")
         return none
-    found.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    counts = np.array([np.frombuffer(r["counts"], "<i4") for r in found])
-    langs = np.array([r["lang"] for r in found])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = _unit(np.log1p(counts) * idf)
-    centroids, names, radius = [], [], []
-    for lang in sorted(set(langs)):
-        own = x[langs == lang]
-        c = _kmeans(own, CENTROIDS)
-        centroids.append(c)
-        names += [lang] * len(c)
-        radius += [RADIUS * float(np.max(own @ c.T, axis=1).min())] * len(c)
-    return Model(idf, np.concatenate(centroids), tuple(names), np.array(radius))
+    idf = (np.log((1 + texts) / (1 + np.array([seen[i] for i in range(DIMS)]))) + 1).astype(np.float32)
+    fitted = found.groupBy("lang").applyInPandas(_centroids(idf), "lang string, k int, centroid binary, least double").collect()
+    scratch.drop("sample")
+    fitted.sort(key=lambda r: (r["lang"], r["k"]))
+    centroids = np.array([np.frombuffer(r["centroid"], "<f4") for r in fitted])
+    return Model(idf, centroids, tuple(r["lang"] for r in fitted), np.array([RADIUS * r["least"] for r in fitted]))
 
 
 def for_training():
