@@ -1,17 +1,22 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code is its signs, 64 bits, in SEGMENTS of 16. Codes are indexed by the value of each segment. A
-query grows its radius r from 0: it looks up the values that differ from its own in r bits. After radius r
-in all segments, every code at Hamming distance below SEGMENTS * (r + 1) has been seen and verified in full;
-a query is done when k neighbours lie within that. Only the values that exist are probed: at most 65,536 per
-segment, a table of bounded size. Distinct codes are indexed, with how many rows have them, so a vector that
-very many rows share is one entry.
-
-A code is taken in the round of its nearest segment, and there in the first such segment: once in all.
-
-Defined cases: null vectors and ids have no code and are left out; a missing element counts as negative;
-ties go to the smaller vec_id; rows that repeat vector and id count each, and only a query's own row is left
-out, once; a table with fewer rows gives fewer neighbours; empty tables give none; extra columns are ignored.
+A vector's code is its signs, 64 bits, in SEGMENTS of 16. Codes are indexed by the value of each segment. The
+search grows by steps: step t looks, in segment t mod SEGMENTS, at the values that differ from the query's own
+in t div SEGMENTS bits. A code at distance t or less is seen by step t at the latest, so a query is done as soon
+as its kth verified neighbour lies within t. Steps 0 to FIRST - 1 are taken at once, then one segment at a time,
+so that the last and dearest radius is tried in as few segments as may be. Distinct codes are indexed, with how
+many rows have them, so a vector that very many rows share is one entry.
+
+The index is dealt by segment and the leading bits of its value to blocks, a block by hash to parts of PART codes
+at most, and the queries of a block to parts of PART queries. A query goes to the blocks whose leading bits differ
+from its own in no more bits than the step's radius. A part holds its codes sorted by value, finds the values at
+the step's very distance and verifies their codes, all in arrays, and puts out the k best a query at most that are
+no farther than its kth so far. No pairs go through a join.
+
+Defined cases: null vectors and ids have no code and are left out; a missing element counts as negative; vectors
+of more than BITS elements are an error; ties go to the smaller vec_id; rows that repeat vector and id count each,
+and only a query's own row is left out, once; a table with fewer rows gives fewer neighbours; empty tables give
+none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +33,16 @@ from refrain.session import Scratch
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
+#: Steps that the first round takes at once: radius 0 to 2 in all segments.
+FIRST = 3 * SEGMENTS
+#: The distance of no code.
+NOWHERE = BITS + 1
+#: Codes, and queries, of a part.
+PART = 1 << 15
+#: Leading bits of a value that name its block, at least and at most.
+BLOCK_BITS = (5, 12)
+#: Entries of the arrays that compare a part's queries with its values at once, about.
+CELLS = 1 << 21
 K = 10
 #: Queries are the rows whose id is divisible by this.
 EVERY = 20
@@ -40,26 +56,87 @@ def codes(vectors: DataFrame) -> DataFrame:
     code = bit[0]
     for b in bit[1:]:
         code = code.bitwiseOR(b)
-    return d.select("vec_id", code.alias("code"))
+    wide = F.raise_error(F.lit(f"a vector has more than {BITS} elements")).cast("long")
+    return d.select("vec_id", F.when(F.size("e") > BITS, wide).otherwise(code).alias("code"))
 
 
 def segment(code, i):
     return F.shiftrightunsigned(code, i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
 
-def _probes(values: dict[int, np.ndarray], radius: int):
-    """(code, segment, value): existing values at this very distance from the query's own."""
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Part:
+    """A part's codes by the value of one segment."""
+
+    def __init__(self, seg: int, code: np.ndarray, n: np.ndarray, least: np.ndarray):
+        own = _value(code, seg)
+        order = np.argsort(own, kind="stable")
+        self.seg, self.code, self.n, self.least = seg, code[order], n[order], least[order]
+        self.value, self.start, self.count = np.unique(own[order], return_index=True, return_counts=True)
+
+    def near(self, q: np.ndarray, kth: np.ndarray, steps: range, k: int) -> pd.DataFrame:
+        """The k best codes of every query that these steps see first, here, and that are not beyond its kth."""
+        found = []
+        each = max(1, CELLS // max(1, len(self.code)))
+        for at in range(0, len(q), each):
+            own = q[at : at + each]
+            apart = np.bitwise_count(_value(own, self.seg)[:, None] ^ self.value[None, :])
+            radii = [t // SEGMENTS for t in steps if t % SEGMENTS == self.seg]
+            row, val = np.nonzero(np.isin(apart, radii))
+            # The codes of the values found, one entry each.
+            times = self.count[val]
+            row = np.repeat(row, times)
+            place = np.repeat(self.start[val] - np.cumsum(times) + times, times) + np.arange(len(row))
+            other = own[row] ^ self.code[place]
+            distance = np.bitwise_count(other)
+            ok = distance <= kth[at : at + each][row]
+            row, place, other, distance = row[ok], place[ok], other[ok], distance[ok]
+            first = np.min([np.bitwise_count(_value(other, i)).astype(np.int64) * SEGMENTS + i for i in range(SEGMENTS)], axis=0)
+            ok = (first >= steps.start) & (first < steps.stop) & (first % SEGMENTS == self.seg)
+            row, place, distance = row[ok], place[ok], distance[ok]
+            order = np.lexsort((self.least[place], distance, row))
+            row, place, distance = row[order], place[order], distance[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            ok = nth < k
+            row, place, distance = row[ok], place[ok], distance[ok]
+            found.append((own[row], self.code[place], distance.astype(np.int32), self.n[place], self.least[place]))
+        q, code, distance, n, least = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"q": q.view(np.int64), "code": code.view(np.int64), "distance": distance, "n": n, "least": least})
+
+
+def _value(code: np.ndarray, seg: int) -> np.ndarray:
+    return (code >> np.uint64(seg * WIDTH)) & np.uint64((1 << WIDTH) - 1)
+
+
+def _searched(steps: range, k: int):
+    """Rows sorted by part, its codes (kind 0) before its queries (kind 1); a part's codes are held, queries stream."""
+    key = ["seg", "block", "i", "j"]
+
+    def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, part = None, [], None
         for b in batches:
-            for q in b["q"].to_numpy(np.int64):
-                for s, held in values.items():
-                    own = (int(q) >> (s * WIDTH)) & ((1 << WIDTH) - 1)
-                    near = held[np.bitwise_count(held ^ np.uint16(own)) == radius]
-                    if len(near):
-                        yield pd.DataFrame({"q": q, "seg": s, "val": near.astype(np.int32)})
-
-    return probe
+            if not len(b):
+                continue
+            names, kind = b[key].to_numpy(np.int64), b["kind"].to_numpy()
+            code, n, least, kth = (b[c].to_numpy(np.int64) for c in ("code", "n", "least", "kth"))
+            new = np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1) | (kind[1:] != kind[:-1])])
+            edges = [*np.flatnonzero(new).tolist(), len(b)]
+            for s, e in zip(edges, edges[1:], strict=False):
+                name = tuple(names[s].tolist())
+                if name != now:
+                    now, held, part = name, [], None
+                if kind[s] == 0:
+                    held.append((code[s:e].view(np.uint64), n[s:e], least[s:e]))
+                elif held:
+                    if part is None:
+                        part = _Part(name[0], *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield part.near(code[s:e].view(np.uint64), kth[s:e], steps, k)
+
+    return searched
+
+
+def _places(code: str, bits: int, segs) -> list:
+    """Structs of segment and block (the value's leading bits), one for each segment."""
+    return [F.struct(F.lit(i).alias("seg"), F.shiftright(segment(F.col(code), i), WIDTH - bits).alias("block")) for i in segs]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -68,42 +145,65 @@ def search(index: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> Da
     ``index``: code, n (rows that have it), least (their smallest id). ``queries``: q, distinct.
     """
     spark = index.sparkSession
-    each = index.select("code", "n", "least", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), segment(F.col("code"), i).alias("val")) for i in range(SEGMENTS)])).alias("s"))
-    table = scratch.save(each.select("s.seg", "s.val", "code", "n", "least"), "index")
-    values: dict[int, np.ndarray] = {i: np.zeros(0, np.uint16) for i in range(SEGMENTS)}
-    for r in table.groupBy("seg").agg(F.collect_set("val").alias("v")).collect():  # at most 65,536 each
-        values[r["seg"]] = np.sort(np.array(r["v"], np.uint16))
-    open_, best, done = queries, None, []
-    nearest = Window.partitionBy("q").orderBy("distance", "least")
-    for radius in range(WIDTH + 1):
-        probes = open_.mapInPandas(_probes(values, radius), "q long, seg int, val int")
-        x = F.col("q").bitwiseXOR(F.col("code"))
-        apart = [F.bit_count(segment(x, i)) for i in range(SEGMENTS)]
-        first = F.lit(SEGMENTS)
-        for i in reversed(range(SEGMENTS)):
-            first = F.when(apart[i] == radius, i).otherwise(first)
-        found = probes.join(table.hint("merge"), ["seg", "val"])
-        found = found.where((F.least(*apart) == radius) & (first == F.col("seg")))
-        found = found.select("q", "code", F.bit_count(x).cast("int").alias("distance"), "n", "least")
-        found = found if best is None else found.union(best)
-        ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).drop("rank")
-        best = scratch.save(ranked, f"best{radius}")
-        proven = F.sum(F.when(F.col("distance") < SEGMENTS * (radius + 1), F.col("n")).otherwise(0))
-        full = best.groupBy("q").agg(proven.alias("proven")).where(F.col("proven") >= k).select("q")
-        closed = scratch.save(open_.join(full, "q", "left_semi"), f"closed{radius}")
-        done.append(best.join(closed, "q", "left_semi"))
-        best = best.join(closed, "q", "left_anti")
-        open_ = scratch.save(open_.join(closed, "q", "left_anti"), f"open{radius}")
-        if not open_.head(1):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(max(BLOCK_BITS[0], (index.count() // PART).bit_length()), BLOCK_BITS[1])
+    each = index.select("code", "n", "least", F.explode(F.array(*_places("code", bits, range(SEGMENTS)))).alias("s"))
+    each = each.select("s.seg", "s.block", "code", "n", "least")
+    own = queries.select(F.explode(F.array(*_places("q", bits, range(SEGMENTS)))).alias("s")).select("s.seg", "s.block")
+    codes_in, queries_in = _by_block(each, bits), _by_block(own, bits)
+    none = F.lit(0).cast("long")
+    # Every query has a row without a code that stays to the end, beyond all others.
+    best = queries.select("q", none.alias("code"), F.lit(NOWHERE).alias("distance"), none.alias("n"), none.alias("least"), F.lit(False).alias("full"), F.lit(NOWHERE).cast("long").alias("kth"))
+    done, steps = [], range(0, FIRST)
+    of_query = Window.partitionBy("q")
+    while True:
+        radius, segs = (steps.stop - 1) // SEGMENTS, sorted({t % SEGMENTS for t in steps})
+        near = [m for m in range(1 << bits) if m.bit_count() <= radius]
+        plan = _plan(spark, codes_in, queries_in, near, segs)
+        asks = best.where(F.col("distance") == NOWHERE).select("q", "kth", F.explode(F.array(*_places("q", bits, segs))).alias("s"))
+        asks = asks.select("q", "kth", "s.seg", "s.block", F.explode(F.array(*[F.lit(m) for m in near])).alias("mask"))
+        asks = asks.select("q", "kth", "seg", F.col("block").bitwiseXOR(F.col("mask")).alias("block")).join(plan, ["seg", "block"])
+        asks = asks.select("seg", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.pmod(F.xxhash64("q"), F.col("shares")).cast("int").alias("j"), F.lit(1).alias("kind"), F.col("q").alias("code"), none.alias("n"), none.alias("least"), "kth")
+        held = each.where(F.col("seg").isin(segs)).join(plan, ["seg", "block"])
+        held = held.select("seg", "block", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("j"), F.lit(0).alias("kind"), "code", "n", "least", none.alias("kth"))
+        dealt = held.union(asks).repartition(tasks, "seg", "block", "i", "j").sortWithinPartitions("seg", "block", "i", "j", "kind")
+        found = dealt.mapInPandas(_searched(steps, k), "q long, code long, distance int, n long, least long")
+        ranked = found.union(best.select(*found.columns)).withColumn("rank", F.row_number().over(of_query.orderBy("distance", "least")))
+        ranked = ranked.where((F.col("rank") <= k) | (F.col("distance") == NOWHERE))
+        proven = F.sum(F.when(F.col("distance") < steps.stop, F.col("n")).otherwise(0)).over(of_query)
+        kth = F.coalesce(F.max(F.when(F.col("rank") == k, F.col("distance"))).over(of_query), F.lit(NOWHERE)).cast("long")
+        ranked = ranked.select(*found.columns, (proven >= k).alias("full"), kth.alias("kth"))
+        round_ = scratch.save(ranked, f"best{steps.start}")
+        ended = steps.stop > SEGMENTS * (WIDTH + 1) - 1
+        done.append(round_ if ended else round_.where("full"))
+        best = round_.where("not full")
+        if ended or not best.head(1):
             break
-    else:
-        done.append(best)
+        steps = range(steps.stop, steps.stop + 1)
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
+    return out.where(F.col("distance") < NOWHERE).select("q", "code", "distance", "n", "least")
+
+
+def _by_block(placed: DataFrame, bits: int) -> np.ndarray:
+    """How many rows a segment's blocks have: SEGMENTS << BLOCK_BITS numbers at most."""
+    out = np.zeros((SEGMENTS, 1 << bits), np.int64)
+    for r in placed.groupBy("seg", "block").count().collect():
+        out[r["seg"], r["block"]] = r["count"]
     return out
 
 
+def _plan(spark, codes_in: np.ndarray, queries_in: np.ndarray, near: list[int], segs: list[int]) -> DataFrame:
+    """seg, block, parts, shares: into how many parts a block's codes and the queries that may come to it are dealt."""
+    blocks = np.arange(codes_in.shape[1])
+    coming = sum(queries_in[:, blocks ^ m] for m in near)
+    at = [(s, b) for s in segs for b in blocks.tolist() if codes_in[s, b] and coming[s, b]]
+    seg, block = (np.array([x[i] for x in at], np.int32) for i in (0, 1))
+    made = {"seg": seg, "block": block, "parts": -(-codes_in[seg, block] // PART), "shares": -(-coming[seg, block] // PART)}
+    return spark.createDataFrame(pa.table({c: pa.array(v, pa.int32()) for c, v in made.items()}))
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, distance: the k nearest other rows of every query row, ties by vec_id."""
     scratch = Scratch(vectors.sparkSession, "topk")
@@ -111,7 +211,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     index = scratch.save(rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "distinct")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
     # One more than k, as the query's own row is among them.
-    found = scratch.save(search(index, asked.select("q").distinct(), k + 1, scratch), "found")
+    found = scratch.save(search(index, scratch.save(asked.select("q").distinct(), "asked"), k + 1, scratch), "found")
     # Of each code the k + 1 smallest ids are enough; the limit is pushed below the shuffle.
     by_id = Window.partitionBy("code").orderBy("vec_id")
     ids = rows.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1).drop("nth")
