@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents come in batches. A batch's distinct line hashes are merge-anti-joined with the runs so far: the
-fresh ones and, apart from them, what it adds to known ones become its own run, sorted by hash. FAN runs of
-a level are compacted into one of the next level, so a batch meets few runs. A run holds a hash, in how many
-documents its line was found and the largest doc_id of those. The last compaction over all levels gives the
-lines to drop, whatever the batches were.
+Documents come in batches. A run is a table bucketed and sorted by hash: in how many documents a line was found and
+the largest doc_id of those. A batch's hashes are merge-anti-joined with the runs so far, bucket by bucket and without
+a shuffle of the runs: a hash that a run has settled, as it is in LEAST_DOCS documents there and its largest
+doc_id is no smaller than the batch's, adds no row. What is left, fresh hashes and what still changes known ones,
+becomes the batch's own run. FAN runs of a level are compacted into one of the next level, so a batch meets few runs.
+The last compaction over all levels gives the lines to drop, whatever the batches were.
 
 Defined cases: null and empty texts are one empty line; a document is a row, and rows that repeat id and
 text count once and get the same result; a null doc_id is below every other; if all holders of a line have
@@ -13,7 +14,9 @@ null ids, they all keep it; empty tables give none; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.llm.common import ascii_lower, only, row_key, text_or_empty
@@ -41,48 +44,56 @@ def long_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.length("key") >= LEAST_CHARS).select("doc", "doc_id", "pos", hashed)
 
 
-def _compact(runs: list[DataFrame]) -> DataFrame:
-    union = runs[0]
-    for r in runs[1:]:
-        union = union.union(r)
-    return union.groupBy("h").agg(F.sum("docs").alias("docs"), F.max("top").alias("top")).sortWithinPartitions("h")
-
-
 class Levels:
-    """Runs by level: level i holds fewer than FAN runs of FAN**i batches each."""
+    """Runs by level: level i holds fewer than FAN runs of FAN**i batches each; a run is a table's name."""
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.made = scratch, [], 0
+    def __init__(self, scratch: Scratch, spark: SparkSession):
+        self.scratch, self.spark, self.levels, self.names = scratch, spark, [], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _save(self, run: DataFrame) -> DataFrame:
-        self.made += 1
-        return self.scratch.save(run, f"run{self.made}")
+    def _save(self, run: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        run.write.option("path", self.scratch.path(name)).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self.names.append(name)
+        return name
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
-    def add(self, batch: DataFrame) -> None:
-        """``batch``: h, docs, top. Fresh hashes and additions to known ones become a run; then compact."""
-        fresh, known = batch, None
+    def add(self, batch: DataFrame) -> DataFrame:
+        """``batch``: h, docs, top. What no run has settled becomes a run, which is returned; then compact."""
+        batch = batch.alias("b")
         for run in self.runs():
-            held = run.select("h")
-            met = fresh.join(held.hint("merge"), "h", "left_semi")
-            known = met if known is None else known.union(met)
-            fresh = fresh.join(held.hint("merge"), "h", "left_anti")
-        run = fresh if known is None else fresh.union(known)
-        self._push(0, self._save(run.sortWithinPartitions("h")))
-
-    def _push(self, level: int, run: DataFrame) -> None:
+            settled = self.spark.table(run).where(F.col("docs") >= LEAST_DOCS).hint("merge").alias("r")
+            # A null id is below every other.
+            none_above = F.col("b.top").isNull() | (F.col("r.top") >= F.col("b.top"))
+            batch = batch.join(settled, (F.col("b.h") == F.col("r.h")) & none_above, "left_anti").alias("b")
+        run = self._save(batch)
+        self._push(0, run)
+        return self.spark.table(run)
+
+    def _push(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == FAN:
-            merged = self._save(_compact(self.levels[level]))
+            merged = self._save(self._compact(self.levels[level]))
             self.levels[level] = []
             self._push(level + 1, merged)
 
+    def _compact(self, runs: list[str]) -> DataFrame:
+        """The runs as one. Their files are read without their buckets: the planner takes a union of bucketed tables
+        to be dealt by hash and groups it without a shuffle, but does not read it so."""
+        files = self.spark.read.schema("h binary, docs long, top long").parquet(*[self.scratch.path(r) for r in runs])
+        return files.groupBy("h").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
+
     def all(self) -> DataFrame:
-        return _compact(self.runs())
+        return self._compact(self.runs())
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(*self.names)
 
 
 def line_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -91,21 +102,23 @@ def line_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     d = only(docs, doc_id="long", text="string").withColumn("doc", row_key())
     lines = scratch.save(long_lines(d), "lines")
     # Of a document's equal lines one counts; partial aggregation takes most of that off the shuffle.
-    levels = Levels(scratch)
+    levels = Levels(scratch, docs.sparkSession)
     for i in range(batches):
         part = lines.where(F.pmod(F.crc32("doc"), F.lit(batches)) == i)
         once = part.groupBy("h", "doc").agg(F.first("doc_id").alias("doc_id"))
         levels.add(once.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("top")))
     found = scratch.save(levels.all().where(F.col("docs") >= LEAST_DOCS).select("h", "top"), "found")
-    scratch.drop(*[f"run{i + 1}" for i in range(levels.made)])
+    levels.drop()
     goes = lines.join(found.hint("merge"), "h").where(~F.col("doc_id").eqNullSafe(F.col("top")))
-    # dropDuplicates by set: rows that repeat id and text share a doc.
-    per_doc = goes.groupBy("doc").agg(F.collect_set("pos").alias("goes"))
+    # By set: rows that repeat id and text share a doc.
+    per_doc = scratch.save(goes.groupBy("doc").agg(F.collect_set("pos").alias("goes")), "goes")
+    scratch.drop("lines", "found")
     joined = d.join(per_doc.hint("merge"), "doc", "left")
-    parts = F.split(text_or_empty(), "\n", -1)
-    none = F.array().cast("array<int>")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("goes", none), i))
-    rows = joined.select("doc_id", F.size(parts).cast("long").alias("n_lines"), F.size(kept).cast("long").alias("n_kept"), F.array_join(kept, "\n").alias("kept"))
+    parts = joined.select("doc_id", "goes", F.split(text_or_empty(), "\n", -1).alias("parts"))
+    # The places that stay, by hash: in proportion to a document's lines, however many go.
+    places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.coalesce("goes", F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(places, lambda i: F.get("parts", i)), "\n")
+    rows = parts.select("doc_id", F.size("parts").cast("long").alias("n_lines"), F.size(places).cast("long").alias("n_kept"), kept.alias("kept"))
     return rows.select(
         "doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_dropped"),
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "kept",

@@ -342,3 +342,68 @@ def test_exact_dedup_unfolds_many_copies(spark, monkeypatch):
     df = spark.createDataFrame([(1, "same")] * 10 + [(2, "SAME")] * 7, "doc_id long, text string")
     out = exact_dedup(df).collect()
     assert len(out) == 17 and sum(r["kept"] for r in out) == 1 and {r["keep_id"] for r in out} == {2}
+
+
+def test_topk_with_hard_rows(spark, monkeypatch):
+    """Clashing columns, repeated rows, short vectors, very many queries and codes of a block in parts."""
+    monkeypatch.setattr(topk, "PART", 7)
+    r = random.Random(4)
+    base = [r.choice([-1.0, 1.0]) for _ in range(64)]
+    near = [[-x if r.random() < 0.08 else x for x in base] for _ in range(150)]
+    vecs = [(i * 10, v, 1, 2, 3, 4) for i, v in enumerate(near)] + [(7, base[:40], 0, 0, 0, 0), (20, near[2], 0, 0, 0, 0), (40, near[4], 0, 0, 0, 0)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>, q int, code int, rank int, seg int")
+    held = [(i, [*v, *[-1.0] * (64 - len(v))]) for i, v, *_ in vecs]
+    want = Counter()
+    for k, (q, v) in enumerate(held):
+        if q % 20 == 0:
+            others = sorted((sum((a > 0) != (b > 0) for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(held) if m != k)[:10]
+            want.update((q, n + 1, i, d) for n, (d, i) in enumerate(others))
+    assert rows(topk.top_k(df), "query_id", "rank", "vec_id", "distance") == want
+    wide = spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="more than 64 elements"):
+        topk.top_k(wide).count()
+
+
+def test_token_counts_of_hard_texts():
+    """Scripts without spaces, runs without end, special strings and marks: counts as the library's, and no text is encoded over and over."""
+    t = token_counts.tokenizer(token_counts.vocabulary_path(token_counts.VOCABULARY))
+    r = random.Random(9)
+    han = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(60_000))
+    kana = "".join(chr(r.randrange(0x3041, 0x3096)) if r.random() < 0.7 else r.choice("一二三、。東京") for _ in range(5_000))
+    latin = "".join(r.choice("etaoinshrdlu") for _ in range(5_000))
+    marks = "".join(r.choice(["<|endoftext|>", "<|endof", "text|>", "ab", "'s", "'re ", ", ", ". ", "!?", "\n\n ", "  ", "_", "é", "中", "1", " ", "́", "Z'"]) for _ in range(4_000))
+    texts = [han, kana, latin, marks, "y" * 3_000, "ab" * 2_000, "'s" * 1_000, "中's" * 500]
+    want = [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert [token_counts.count_long(t, x, 200, 16) for x in texts[1:]] == want[1:]
+    counter = token_counts.Counter(t)
+    assert counter.counts(texts) == want
+    for _ in range(300):
+        x = "".join(r.choice(["<|endoftext|>", "don't", " the", "word", ",", ".", " ", "  ", "\n", "_", ")", "'", '"', "3", "é", "中文", "<|", "|>", "\x1c", "\x85"]) for _ in range(r.randint(0, 60)))
+        assert counter.counts([x]) == [len(t.encode(x, add_special_tokens=False).ids)], repr(x)
+    asked = []
+
+    class Spy:
+        def encode(self, x, **kw):
+            asked.append(len(x))
+            return t.encode(x, **kw)
+
+    assert token_counts.count_long(Spy(), han) == want[0]
+    assert sum(asked) < 1.6 * len(han) and max(asked) < 2 * token_counts.CHUNK
+
+
+def test_line_levels_settle(spark):
+    """A hash that a run has settled adds no row; one that can still change the result does."""
+    from refrain.session import Scratch
+
+    def batch(*rows_):
+        return spark.createDataFrame([(bytes([h]), n, top) for h, n, top in rows_], "h binary, docs long, top long")
+
+    levels = line_dedup.Levels(Scratch(spark, "levels"), spark)
+    levels.add(batch((1, 3, 50), (2, 2, 50), (3, 5, 10), (4, 3, None)))
+    added = {r["h"][0]: (r["docs"], r["top"]) for r in levels.add(batch((1, 4, 40), (2, 1, 40), (3, 1, 60), (4, 1, None), (5, 1, 1), (6, 9, 9))).collect()}
+    assert added == {2: (1, 40), 3: (1, 60), 5: (1, 1), 6: (9, 9)}
+    # By now the runs are compacted, so that 2 is settled too.
+    assert levels.add(batch((1, 1, None), (6, 1, 9), (2, 7, 45))).count() == 0
+    held = {r["h"][0]: (r["docs"], r["top"]) for r in levels.all().collect()}
+    assert held[1] == (3, 50) and held[2] == (3, 50) and held[3] == (6, 60) and held[6] == (9, 9)
+    levels.drop()
