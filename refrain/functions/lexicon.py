@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Phrases of promotional language, one hit each; the first list counts three times.
@@ -44,13 +47,13 @@ BREAK = (
 
 
 def hits(text: Column, phrases: list[str]) -> Column:
-    """How many of the phrases the lower-case text contains."""
-    return F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p)))
+    """How many of the phrases the lower-case text contains: a sum of plain searches, which are compiled."""
+    return reduce(add, (F.contains(text, F.lit(p)).cast("int") for p in phrases))
 
 
 def strong_hits(text: Column) -> Column:
     low = F.lower(text)
-    return hits(low, STRONG) + F.regexp_count(low, F.lit(DOTCOM))
+    return hits(low, STRONG) + F.when(F.contains(low, F.lit("com")), F.regexp_count(low, F.lit(DOTCOM))).otherwise(0)
 
 
 def weak_hits(text: Column) -> Column:
@@ -61,8 +64,12 @@ def word_count(text: Column) -> Column:
     return F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1))
 
 
+def density_of(strong: Column, weak: Column, words: Column) -> Column:
+    return (strong * 3 + weak) / words * 100
+
+
 def density(text: Column) -> Column:
-    return (strong_hits(text) * 3 + weak_hits(text)) / word_count(text) * 100
+    return density_of(strong_hits(text), weak_hits(text), word_count(text))
 
 
 def is_ad(text: Column) -> Column:
@@ -73,6 +80,13 @@ def is_strong_ad(text: Column) -> Column:
     return (strong_hits(text) >= 2) & (density(text) >= 2.0)
 
 
+def scored(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The ``keep`` columns with strong, weak, words, ad and strong_ad of a text; each text is searched once."""
+    counted = df.select(*keep, strong_hits(text).alias("strong"), weak_hits(text).alias("weak"), word_count(text).alias("words"))
+    strong, dense = F.col("strong"), density_of(F.col("strong"), F.col("weak"), F.col("words"))
+    return counted.select(*keep, "strong", "weak", "words", ((strong >= 1) & (dense >= 1.5)).alias("ad"), ((strong >= 2) & (dense >= 2.0)).alias("strong_ad"))
+
+
 def is_annotation(text: Column) -> Column:
     return F.trim(text).rlike(r"(?s)^[\(\[♪].*[\)\]♪]$")
 

@@ -76,12 +76,14 @@ def bridged(regs: DataFrame, gap: float) -> DataFrame:
     m = regs.withColumn("apart", F.col("start") - reach)
     m = m.withColumn("part", F.sum(F.coalesce((F.col("apart") > gap).cast("int"), F.lit(1))).over(order))
     m = m.withColumn("apart", F.when(F.col("apart") <= gap, F.col("apart")))
-    labels = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "method"))), lambda x: F.split(x["method"], "[+]")))
-    wide = F.when(F.max("apart") > 0.5, F.array(F.lit("bridge"))).otherwise(F.array().cast("array<string>"))
+    # In order of place: what was there, "bridge" where a wide gap is bridged, what comes behind it; each label once.
+    none = F.array().cast("array<string>")
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "apart", "method")))
+    labels = F.flatten(F.transform(parts, lambda x: F.concat(F.when(x["apart"] > 0.5, F.array(F.lit("bridge"))).otherwise(none), F.split(x["method"], "[+]"))))
     return m.groupBy("id", "part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_matches").alias("n_matches"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("srcs"),
-        F.array_join(F.array_distinct(F.concat(labels, wide)), "+").alias("method"),
+        F.array_join(F.array_distinct(labels), "+").alias("method"),
         F.max("confidence").alias("confidence"), F.min_by("excerpt", "start").alias("excerpt"),
     ).drop("part")
 
@@ -106,10 +108,12 @@ def clamped(regs: DataFrame, lengths: DataFrame) -> DataFrame:
     return r.withColumns({"start": F.greatest("start", F.lit(0.0)), "end": F.least("end", "length")}).select(*regs.columns)
 
 
-def emitted(regs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Without the shortest, times to 2 places."""
-    r = regs.where(F.col("end") - F.col("start") >= p.min_cut)
-    return r.select("id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "n_matches", "method", "confidence", "excerpt")
+def emitted(regs: DataFrame, segments: DataFrame, p: Params = Params()) -> DataFrame:
+    """Without the shortest, times to 2 places, with what is said in the cut as it is in the end."""
+    r = regs.where(F.col("end") - F.col("start") >= p.min_cut).drop("excerpt")
+    said = intervals.text_between(r.select("id", "start", "end").distinct(), segments, ["id"]).select("id", "start", "end", F.substring("text", 1, 300).alias("excerpt"))
+    r = r.join(said, ["id", "start", "end"], "left")
+    return r.select("id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "n_matches", "method", "confidence", F.coalesce("excerpt", F.lit("")).alias("excerpt"))
 
 
 def script_evidence(runs: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
@@ -129,7 +133,7 @@ def script_evidence(runs: DataFrame, segments: DataFrame, lengths: DataFrame, p:
 def detect(evidence: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
     """The plain form: what is found, judged and bridged, without work on the edges."""
     found = classified(regions(without_compilations(evidence, lengths, p)), segments, p)
-    return emitted(clamped(file_tails(bridged(found, p.bridge_free), segments, lengths, p), lengths), p)
+    return emitted(clamped(file_tails(bridged(found, p.bridge_free), segments, lengths, p), lengths), segments, p)
 
 
 def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, lengths: DataFrame, groups: DataFrame, p: Params = Params()) -> DataFrame:
@@ -152,7 +156,7 @@ def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, le
     r = scratch.save(bridged(clamped(file_tails(r, segments, lengths, p), lengths), 0.5), "merged")
     r = scratch.save(edges.without_weak_edges(r, segments, every, lengths), "trimmed")
     r = scratch.save(edges.snapped(r, segments, lengths), "snapped")
-    return emitted(edges.without_live_talk(r, edges.live(segments, groups, excluded)), p)
+    return emitted(edges.without_live_talk(r, edges.live(segments, groups, excluded)), segments, p)
 
 
 def report(cuts: DataFrame, lengths: DataFrame, feed: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def bridged_regions(spark, sf_dir):
 def ad_scores(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
     d = _docs(spark, sf_dir)
-    return d.select("id", lexicon.strong_hits(t).alias("strong"), lexicon.weak_hits(t).alias("weak"), lexicon.word_count(t).alias("words"), lexicon.is_ad(t).alias("ad"), lexicon.is_strong_ad(t).alias("strong_ad"))
+    return lexicon.scored(d, t, "id")
 
 
 def word_runs(spark, sf_dir):
@@ -130,7 +130,7 @@ def _fingerprints(spark, sf_dir):
 
 def _quads(spark, sf_dir):
     d = _docs(spark, sf_dir).select("grp", "id", F.posexplode(scalar.shingles(scalar.tokens(F.col("text")), 4)).alias("pos", "w"))
-    return d.select("grp", "id", "pos", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 15), 16, 10).cast("long").alias("h"))
+    return d.select("grp", "id", "pos", F.xxhash64("w").alias("h"))
 
 
 def offset_clusters(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +11,19 @@ from pyspark.sql import functions as F
 def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], **trigger):
     """Start a query that appends new rows of ``stream`` to the Parquet table ``target``.
 
-    Each batch writes a folder of its own, so that a batch that is run again replaces what it wrote.
+    Each batch writes a folder of its own, so that a batch that is run again replaces what it wrote. The folder is named
+    by the checkpoint too: with a new checkpoint, what other ones have written stays and is not written again.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if number and hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            held = spark.read.parquet(target).where(F.col("batch") < number)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            held = spark.read.option("basePath", target).parquet(target)
+            held = held.where((F.col("run") != run) | (F.col("batch") < number))
             fresh = fresh.join(held.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

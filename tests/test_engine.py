@@ -77,7 +77,14 @@ def test_detection(spark):
     lengths = spark.createDataFrame([(i, 500.0) for i in range(1, 7)], "id long, length double")
     seg = spark.createDataFrame([(1, 0, 60.0, 70.0, "use promo code now")], "id long, idx int, start double, end double, text string")
     out = detection.detect(ev, seg, lengths).collect()
-    assert [(r["start"], r["end"], r["n_matches"], r["method"], r["confidence"]) for r in out] == [(10.0, 70.0, 4, "audio_repeat+transcript+bridge", 0.9)]
+    assert [(r["start"], r["end"], r["n_matches"], r["method"], r["confidence"]) for r in out] == [(10.0, 70.0, 4, "audio_repeat+bridge+transcript", 0.9)]
+
+
+def test_excerpt_is_the_final_cut_s(spark):
+    regs = spark.createDataFrame([(1, 10.0, 30.004, 4, "audio_repeat", 0.9, "old"), (2, 0.0, 9.0, 2, "audio_repeat", 0.8, "old"), (2, 20.0, 24.0, 2, "short", 0.8, "old")], "id long, start double, end double, n_matches int, method string, confidence double, excerpt string")
+    seg = spark.createDataFrame([(1, 0, 5.0, 12.0, "one"), (1, 1, 12.0, 30.0, "two"), (1, 2, 40.0, 50.0, "three")], "id long, idx int, start double, end double, text string")
+    got = {r["id"]: (r["end"], r["excerpt"]) for r in detection.emitted(regs, seg).collect()}
+    assert got == {1: (30.0, "one two"), 2: (9.0, "")}
 
 
 def test_new_items(spark):
@@ -102,6 +109,9 @@ def test_feed_and_ingest(spark, tmp_path):
         spark.createDataFrame([(x,) for x in n], "g string").coalesce(1).write.mode("append").parquet(src)
         ingest(spark.readStream.schema("g string").parquet(src), out, str(tmp_path / "cp"), ["g"]).awaitTermination()
     assert pairs(spark.read.parquet(out), "g") == [("a",), ("b",), ("c",)]
+    # A new checkpoint on a filled target: nothing that is held is lost or comes again.
+    ingest(spark.readStream.schema("g string").parquet(src), out, str(tmp_path / "new"), ["g"]).awaitTermination()
+    assert pairs(spark.read.parquet(out), "g") == [("a",), ("b",), ("c",)]
 
 
 def test_feed_links_and_entries(spark, tmp_path):
