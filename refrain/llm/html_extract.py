@@ -35,6 +35,8 @@ UNSEEN = frozenset("head script style noscript template title form button select
 HEADED = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CONTROLS = frozenset("option optgroup fieldset legend datalist output meter progress".split()) | UNSEEN
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: What does not end a word: void elements but line breaks and rules, and what is not shown where it stands.
+SEAMLESS = INLINE | VOID - {"br", "hr"} | {"script", "style", "template"}
 KINDS = ("html body", "main article", "section div", "p", "h1 h2 h3 h4 h5 h6", "nav menu", "aside", "header", "footer", "ul ol dl", "li dt dd", "table thead tbody tr td th", "blockquote pre figure figcaption", "a", "form dialog")
 CLOSED_BY = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside nav header footer main blockquote pre form figure hr".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "option": frozenset(["option"])}
 # Attribute words that tell what an element is for.
@@ -136,7 +138,7 @@ class Dom(HTMLParser):
             if tag not in CLOSED_BY.get(self.tag[self.open[k]], ()):
                 break
             del self.open[k:]
-        if tag not in INLINE:
+        if tag not in SEAMLESS:
             self.pieces.append((self.open[-1], None))
         if tag in UNSEEN:
             self.unseen.append((tag, number))
@@ -162,7 +164,7 @@ class Dom(HTMLParser):
             if not self._opened(tag):
                 return
             self._reveal(0)
-        if tag not in INLINE:
+        if tag not in SEAMLESS:
             self.pieces.append((self.open[-1], None))
         if k := self._opened(tag):
             del self.open[k + (tag in ("html", "body")) :]

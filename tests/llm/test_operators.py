@@ -407,3 +407,59 @@ def test_line_levels_settle(spark):
     held = {r["h"][0]: (r["docs"], r["top"]) for r in levels.all().collect()}
     assert held[1] == (3, 50) and held[2] == (3, 50) and held[3] == (6, 60) and held[6] == (9, 9)
     levels.drop()
+
+
+def test_html_generated_pages(spark):
+    """Pages of another seed than the fit's, held to the elements that are marked as their articles."""
+    r = random.Random(77)
+    pages = [html_extract._page(r) for _ in range(200)]
+    want = []
+    for p in pages:
+        dom = html_extract.parse(p)
+        kept = np.array(dom.label)
+        for i in range(len(kept) - 1, 0, -1):
+            kept[dom.parent[i]] |= kept[i]
+        want.append(html_extract._joined(dom, kept))
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'u' AS url", "html")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_html(df).collect()}
+    assert [got[i] for i in range(len(pages))] == want
+
+
+def test_html_words_stay_whole_and_pages_may_be_deep(spark):
+    article = "<article><h1>Title here</h1><p>A para<wbr>graph with an <b>im</b>age<img src=x>s set<script>1</script>s, and words enough to read.<br>Next line.</p></article>"
+    text = "Title here A paragraph with an images sets, and words enough to read. Next line."
+    deep = "<html><body>" + "<div>" * 5_000 + "<p>Words at the bottom, and some more of them.</p>" + "</div>" * 5_000 + "</body></html>"
+    long = "<html><body><article>" + "<p>Some words of a long page, which go on.</p>" * 20_000 + "</article></body></html>"
+    pages = [f"<html><body>{article}</body></html>", deep, long]
+    got = list(html_extract.main_texts(pages, html_extract.model()))
+    assert got[0] == text
+    assert got[1] in ("", "Words at the bottom, and some more of them.")
+    assert got[2] == " ".join(["Some words of a long page, which go on."] * 20_000)
+
+
+def test_sentencepiece_unigram(tmp_path):
+    """Scores that are weights: the cheapest path is the library's. The model is put together by hand, not trained."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(6)
+    m = pb.ModelProto()
+    m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    m.trainer_spec.unk_surface = " ⁇ "
+    m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.remove_extra_whitespaces = m.normalizer_spec.escape_whitespaces = True
+    kind = pb.ModelProto.SentencePiece
+    for name, type_ in (("<unk>", kind.UNKNOWN), ("<s>", kind.CONTROL), ("</s>", kind.CONTROL)):
+        m.pieces.add(piece=name, score=0.0, type=type_)
+    held = {sentencepiece_fst.MARK, *"abcde"} | {"".join(r.choice("abcde" + sentencepiece_fst.MARK) for _ in range(r.randint(2, 5))) for _ in range(120)}
+    for p in sorted(held):
+        m.pieces.add(piece=p, score=-r.uniform(1, 9) * (1 + len(p) / 3), type=kind.NORMAL)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    t = sentencepiece_fst.Transducer(str(path))
+    assert t.path == t.cheapest
+    for _ in range(400):
+        x = "".join(r.choice("abcde  ") for _ in range(r.randint(0, 60)))
+        ids = t.encode(x)
+        assert ids == sp.encode(x), x
+        assert t.decode(ids) == sp.decode(ids)
