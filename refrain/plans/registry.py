@@ -348,6 +348,11 @@ SQL = {
         (PARTITION BY id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0)::DOUBLE AS splice FROM u""",
     "region_sources": f"""WITH {_union(2.0)} SELECT u.id, u.s AS "start", u.e AS "end", count(DISTINCT other)::INT AS n_matches
         FROM u JOIN sp ON sp.id = u.id AND sp.e > u.s AND sp.s < u.e GROUP BY ALL""",
+    "bridged_regions": f"""WITH {_union(2.0)}, r AS (SELECT u.id, u.s, u.e, count(DISTINCT other)::INT AS n FROM u JOIN sp ON sp.id = u.id AND sp.e > u.s AND sp.s < u.e GROUP BY ALL),
+        g AS (SELECT *, s - max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apart FROM r),
+        p AS (SELECT *, sum(CASE WHEN apart <= 30 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM g)
+        SELECT id, min(s) AS "start", max(e) AS "end", max(n)::INT AS n_matches,
+        CASE WHEN max(CASE WHEN apart <= 30 THEN apart END) > 0.5 THEN 'audio_repeat+bridge' ELSE 'audio_repeat' END AS method FROM p GROUP BY id, part""",
     "ad_scores": f"""WITH a AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS low FROM documents), b AS (
         SELECT id, ({_phrases(lexicon.STRONG)} + len(regexp_extract_all(low, '{lexicon.DOTCOM}')))::INT AS strong, ({_phrases(lexicon.WEAK)})::INT AS weak,
         greatest(len(regexp_extract_all(low, '\\S+')), 1)::INT AS words FROM a)
