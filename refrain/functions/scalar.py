@@ -62,3 +62,33 @@ def or_default(col: Column, default: str) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)) * 100, 1)
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two whole numbers; 32 where one is missing."""
+    return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(32)).cast("int")
+
+
+def whole_minutes(seconds: Column) -> Column:
+    return F.floor(seconds / 60).cast("long")
+
+
+def eta_text(minutes: Column) -> Column:
+    """What is shown of a time left: nothing, under a minute, or the rounded minutes."""
+    about = F.concat(F.lit("ETA: ~"), F.floor(minutes + 0.5).cast("string"), F.lit(" min"))
+    return F.when(minutes <= 0, "").when(minutes < 1, "ETA: <1 min").otherwise(F.coalesce(about, F.lit("")))
+
+
+def capitalised(text: Column) -> Column:
+    """The first letter in upper case, the others as they are."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+
+
+def excerpt(text: Column, most: int = 300) -> Column:
+    """The text, or its first characters and three dots."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def address(base: Column, kind: str, item_id: Column, ending: str = "") -> Column:
+    """Where a feed or an item's audio is served: base/kind/id."""
+    return F.concat(F.rtrim(base, F.lit("/")), F.lit(f"/{kind}/"), item_id.cast("string"), F.lit(ending))

@@ -66,3 +66,14 @@ def reprocess(items: DataFrame, done: Column, key: str, only: DataFrame | None =
 def replace_items(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """The segment table with all of an item's old rows replaced by its fresh ones."""
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+
+
+def update_rows(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The stored rows with the columns that ``changes`` has (one row per key) set anew where it has a value.
+
+    Keys that are not stored add nothing; the columns keep their order and types.
+    """
+    new = {c: f"__new_{c}" for c in changes.columns if c != key}
+    joined = stored.join(changes.select(key, *[F.col(c).alias(n) for c, n in new.items()]), key, "left")
+    kinds = dict(stored.dtypes)
+    return joined.select(*[F.coalesce(F.col(new[c]).cast(kinds[c]), F.col(c)).alias(c) if c in new else F.col(c) for c in stored.columns])

@@ -278,6 +278,34 @@ def pair_exclusion(spark, sf_dir):
     return detection.without_compilations(s, lengths).select("id", "other", "start", "end")
 
 
+def word_times(spark, sf_dir):
+    return sequences.word_times(_turns(spark, sf_dir)).withColumn("at", F.round("at", 6))
+
+
+def hamming_neighbours(spark, sf_dir):
+    stream = table(spark, sf_dir, "events").where("user_id is not null and event_id is not null")
+    return sequences.hamming_neighbours(stream.select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), F.col("event_id").alias("h")))
+
+
+def item_view(spark, sf_dir):
+    """What an item's page shows, and the same as JSON."""
+    o = table(spark, sf_dir, "orders")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    shown = o.select(
+        "o_orderkey", scalar.whole_minutes(cents / 1000).alias("minutes"), scalar.eta_text((cents % 400 - 100) / 100).alias("eta"),
+        scalar.excerpt(F.col("o_orderpriority"), 6).alias("excerpt"), scalar.capitalised(F.lower("o_orderpriority")).alias("label"),
+        scalar.address(F.lit("http://host/"), "audio", F.col("o_orderkey")).alias("url"),
+    )
+    return shown.withColumn("json", F.to_json(F.struct("o_orderkey", "minutes", "eta", "url")))
+
+
+def updated_items(spark, sf_dir):
+    """Orders with a returned line become processed."""
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("F").alias("o_orderstatus")).distinct()
+    stored = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return catalog.update_rows(stored, back, "o_orderkey")
+
+
 def event_sessions(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, sf_dir, "events").where("ts is not null").select("user_id", at.alias("start"), (at + F.coalesce(F.col("value"), F.lit(0.0)).cast("long") * 1000000).alias("end"))
@@ -292,6 +320,7 @@ QUERIES = {
         repeated_share, offset_clusters, error_runs, detect_cuts, group_detail, item_detail, queue_pending,
         unprocessed_items, reprocess_items, replaced_segments, file_names, cleaned_feeds, overlap_text,
         region_classify, pair_exclusion, event_sessions, refined_cuts, detection_report, speech_snap, live_turns,
+        word_times, hamming_neighbours, item_view, updated_items,
     )
 }
 
@@ -401,6 +430,18 @@ SQL = {
         SELECT *, CASE WHEN n_matches >= 2 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence FROM z WHERE method IS NOT NULL""",
     "pair_exclusion": f"""WITH sp AS ({_SPANS}), bad AS (SELECT id, other FROM sp GROUP BY id, other HAVING sum(e - s) > 35 AND other IN (SELECT id FROM sp))
         SELECT id, other, s AS "start", e AS "end" FROM sp WHERE e - s <= 300 AND (id, other) NOT IN (SELECT (id, other) FROM bad)""",
+    "word_times": """WITH t AS (SELECT conv_id AS id, turn AS idx, turn * 40.0::DOUBLE AS s, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS w FROM conversations),
+        e AS (SELECT id, idx, s, len(w) AS n, unnest(w) AS word, unnest(range(len(w)))::INT AS pos FROM t)
+        SELECT id, idx, pos, word, round(s + 35.0::DOUBLE * pos / n, 6) AS at FROM e""",
+    "hamming_neighbours": """SELECT user_id AS id, event_id AS pos, least(coalesce(bit_count(xor(event_id, lag(event_id) OVER w)), 32), coalesce(bit_count(xor(event_id, lead(event_id) OVER w)), 32), 32)::INT AS d
+        FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+    "item_view": """WITH c AS (SELECT *, round(o_totalprice * 100)::BIGINT AS cents FROM orders), m AS (SELECT *, (cents % 400 - 100) / 100.0::DOUBLE AS left_ FROM c),
+        v AS (SELECT o_orderkey, floor(cents / 60000)::BIGINT AS minutes,
+            CASE WHEN left_ <= 0 THEN '' WHEN left_ < 1 THEN 'ETA: <1 min' ELSE coalesce('ETA: ~' || floor(left_ + 0.5)::BIGINT || ' min', '') END AS eta,
+            CASE WHEN length(o_orderpriority) > 6 THEN left(o_orderpriority, 6) || '...' ELSE o_orderpriority END AS excerpt,
+            upper(left(o_orderpriority, 1)) || lower(substr(o_orderpriority, 2)) AS label, 'http://host/audio/' || o_orderkey AS url FROM m)
+        SELECT *, to_json({'o_orderkey': o_orderkey, 'minutes': minutes, 'eta': eta, 'url': url})::VARCHAR AS json FROM v""",
+    "updated_items": """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'F' ELSE o_orderstatus END AS o_orderstatus FROM orders""",
     "event_sessions": """WITH sp AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + trunc(coalesce(value, 0))::BIGINT * 1000000 AS e FROM events WHERE ts IS NOT NULL),
         m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
         k AS (SELECT *, sum(CASE WHEN s > reach + 1800000000 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM m)

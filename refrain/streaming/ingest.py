@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], **trigger):
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], late: Column | None = None, broken: Column | None = None, **trigger):
     """Start a query that appends new rows of ``stream`` to the Parquet table ``target``.
 
     Each batch writes a folder of its own, so that a batch that is run again replaces what it wrote. The folder is named
     by the checkpoint too: with a new checkpoint, what other ones have written stays and is not written again.
+
+    late: a condition on rows that are too old to be added (null: not late), as one on the backfill horizon.
+    broken: a condition on rows that cannot be used; they go to ``target``_broken, and the rest of the batch goes on.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        if broken is not None:
+            bad = F.coalesce(broken, F.lit(False))
+            batch.where(bad).write.mode("overwrite").parquet(f"{target}_broken/run={run}/batch={number}")
+            batch = batch.where(~bad)
+        if late is not None:
+            batch = batch.where(~F.coalesce(late, F.lit(False)))
         fresh = batch.dropDuplicates(keys)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):

@@ -114,6 +114,21 @@ def test_feed_and_ingest(spark, tmp_path):
     assert pairs(spark.read.parquet(out), "g") == [("a",), ("b",), ("c",)]
 
 
+def test_ingest_leaves_late_and_broken_rows_out(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.createDataFrame([("a", "2024-01-02"), ("b", "2020-01-01"), ("c", None), (None, "2024-01-03")], "g string, d string").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("g string, d string").parquet(src)
+    ingest(stream, out, str(tmp_path / "cp"), ["g"], late=F.col("d") < "2023-01-01", broken=F.col("g").isNull()).awaitTermination()
+    assert pairs(spark.read.parquet(out), "g") == [("a",), ("c",)]
+    assert pairs(spark.read.parquet(f"{out}_broken"), "d") == [("2024-01-03",)]
+
+
+def test_shown_texts(spark):
+    df = spark.createDataFrame([(0.0, "abc", 5, 7), (0.4, "abcdef", 5, None), (2.5, None, 0, 0)], "m double, t string, a long, b long")
+    got = df.select(scalar.eta_text(F.col("m")), scalar.excerpt(F.col("t"), 3), scalar.hamming(F.col("a"), F.col("b")), scalar.whole_minutes(F.col("m") * 100), scalar.capitalised(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("", "abc", 1, 0, "Abc"), ("ETA: <1 min", "abc...", 32, 0, "Abcdef"), ("ETA: ~3 min", None, 0, 4, None)]
+
+
 def test_feed_links_and_entries(spark, tmp_path):
     (tmp_path / "r.xml").write_text(
         '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>P</title>'
