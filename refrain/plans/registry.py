@@ -192,7 +192,7 @@ def _spoken(spark, sf_dir):
     """Turns as segments, and spans to set right against them: quarter seconds only, exact in both engines."""
     turns = _turns(spark, sf_dir)
     whole = turns.groupBy("id").agg((F.max("end") + 5).alias("length"))
-    spans = turns.where("idx % 3 = 1").select("id", (F.col("start") + F.col("id") % 7 - 3.25).alias("start"), (F.col("end") + F.col("id") % 11).alias("end"))
+    spans = turns.select("id", (F.col("start") + F.col("id") % 7 - 3.25).alias("start"), (F.col("end") + F.col("id") % 11).alias("end"))
     return turns, whole, spans.distinct()
 
 
@@ -448,7 +448,7 @@ SQL = {
         SELECT user_id, min(s) AS "start", max(e) AS "end", count(*) AS n FROM k GROUP BY user_id, part""",
     "speech_snap": """WITH t AS (SELECT conv_id AS id, turn, turn * 40.0::DOUBLE AS s, turn * 40.0::DOUBLE + 35 AS e FROM conversations),
         w AS (SELECT id, max(e) + 5 AS length FROM t GROUP BY id),
-        p AS (SELECT DISTINCT id, s + id % 7 - 3.25::DOUBLE AS a, e + id % 11 AS b FROM t WHERE turn % 3 = 1),
+        p AS (SELECT DISTINCT id, s + id % 7 - 3.25::DOUBLE AS a, e + id % 11 AS b FROM t),
         c AS (SELECT p.id, a, b, length, (SELECT t.s FROM t WHERE t.id = p.id AND abs(t.s - b) <= 2.5 ORDER BY abs(t.s - b), t.s LIMIT 1) AS onset,
               (SELECT t.e FROM t WHERE t.id = p.id AND abs(t.e - a) <= 2.5 ORDER BY abs(t.e - a), t.e DESC LIMIT 1) AS stop FROM p JOIN w USING (id))
         SELECT id, CASE WHEN a > 0.5 AND stop IS NOT NULL AND (stop > a OR NOT EXISTS (SELECT 1 FROM t WHERE t.id = c.id AND t.s < a AND t.e > stop)) THEN stop ELSE a END AS "start",
