@@ -4,15 +4,18 @@ Every string of ``length`` bytes (a window) that starts more than once, anywhere
 covers. Windows are dealt by content, so that equal ones meet: a window's key is the least hash of its
 GRAM-byte grams. Consecutive windows with one key are a run. Then:
 
-1. Runs of equal content form a class. A class of two runs or more repeats all over: no bytes are sent.
-2. Only the keys that have several classes, one of them single, need their bytes (or a run that may repeat
-   within itself): the edges of repeats. One run of each class is fetched.
-3. Shards of such runs get an enhanced suffix array (sorted suffixes and longest common prefixes). A stack
-   scan yields the common-prefix intervals; those whose occurrences differ in the byte before them are
-   maximal repeats. All occurrences are covered.
-4. A key with over HOT classes (a passage that very many texts share) would put them all in one shard. Its
+1. Runs of equal content form a class, and a class goes on as one run and how often it occurs. A key with
+   one class of one run, which cannot repeat within itself, is done: nothing equals it.
+2. Shards of the other keys' classes get an enhanced suffix array (sorted suffixes and longest common
+   prefixes). A stack scan yields the common-prefix intervals, a class that occurs often being a leaf that
+   counts as often; those whose occurrences differ in the byte before them are maximal repeats. All
+   occurrences are covered, or put out with their group (``repeat_groups``).
+3. A key with over HOT classes (a passage that very many texts share) would make a shard too large. Its
    windows are dealt singly by their hash, and counted: the exact way for such keys.
 
+A repeat that goes on over several runs is a group in each of them, and so are the pieces of RUN windows of
+a text that repeats within itself.
+
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; rows that repeat id and
 text repeat each other, and go whole if long enough; empty tables give none; extra columns are ignored.
 """
@@ -33,8 +36,8 @@ from refrain.session import Scratch
 
 LENGTH = 400
 GRAM = 128
-#: Classes of a key that a shard takes.
-HOT = 48
+#: Classes of a key that a shard takes: with runs of 672 bytes (more only where a gram comes again) as much as SHARD_BYTES.
+HOT = 512
 #: Windows of a run, and windows that are hashed at once.
 RUN = 1024
 BLOCK = 1 << 17
@@ -74,7 +77,8 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, bytes, int, int, bool]]:
     """(key, content hash, start, windows, may repeat within itself) of every run of a text."""
-    out, n = [], len(data) - length + 1
+    found: list[list] = []
+    n = len(data) - length + 1
     buf = np.frombuffer(data, np.uint8)
     for at in range(0, n, BLOCK):
         stop = min(at + BLOCK, n)
@@ -85,10 +89,16 @@ def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[i
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             key = least[s]
             self_like = e - s > 1 and int((h[s : e - 1 + length - gram + 1] == key).sum()) > 1
-            for a in range(s, e, RUN):
-                b = min(a + RUN, e)
-                content = data[at + a : at + b - 1 + length]
-                out.append((int(key.view(np.int64)), xxhash.xxh3_128_digest(content), at + a, b - a, self_like))
+            if found and s == 0 and found[-1][0] == key:
+                # A run goes on over the border of a block; whether it repeats within itself is left open.
+                found[-1][2:] = [at + e, True]
+            else:
+                found.append([key, at + s, at + e, self_like])
+    out = []
+    for key, start, end, self_like in found:
+        for a in range(start, end, RUN):
+            b = min(a + RUN, end)
+            out.append((int(key.view(np.int64)), xxhash.xxh3_128_digest(data[a : b - 1 + length]), a, b - a, self_like))
     return out
 
 
@@ -146,9 +156,18 @@ class SuffixArray:
         self.lcp = np.minimum(self.lcp, np.minimum(left[:-1], left[1:]))
 
 
-def maximal_repeats(sa: SuffixArray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, places of all occurrences) of every left-diverse common-prefix interval of ``least`` or more."""
+def maximal_repeats(sa: SuffixArray, least: int, times: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places of all occurrences) of every left-diverse common-prefix interval of ``least`` or more.
+
+    A text stands for as many equal ones as ``times`` says. Where it is no prefix of another suffix, its leaf is
+    an interval of its own; what precedes those texts is open, so that it counts as diverse.
+    """
     lcp, first = sa.lcp, np.isin(sa.start, sa.begins)
+    text = np.searchsorted(sa.ends, sa.start)
+    own = sa.ends[text] - sa.start
+    beside = np.maximum(np.concatenate([[0], lcp]), np.concatenate([lcp, [0]]))[: len(own)]
+    for i in np.flatnonzero(first & (times[text] > 1) & (own > beside)).tolist():
+        yield int(own[i]), sa.start[i : i + 1]
     before = np.where(first, -1 - np.arange(len(sa.start)), sa.data[sa.start - 1])
     hit = np.flatnonzero(lcp >= least)
     if not len(hit):
@@ -173,13 +192,13 @@ def maximal_repeats(sa: SuffixArray, least: int) -> Iterator[tuple[int, np.ndarr
                 stack.append([height, begin, char])
 
 
-def covered(contents: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+def covered(contents: list[bytes], times: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Per text, the bytes that windows cover which start twice or more in the texts given: (from, to)."""
     if not contents:
         return []
     sa = SuffixArray(contents, length)
     marks = np.zeros(len(sa.data) + 1, np.int64)
-    for depth, found in maximal_repeats(sa, length):
+    for depth, found in maximal_repeats(sa, length, np.array(times)):
         np.add.at(marks, found, 1)
         np.add.at(marks, found + depth, -1)
     on = np.cumsum(marks[:-1]) > 0
@@ -190,6 +209,21 @@ def covered(contents: list[bytes], length: int = LENGTH) -> list[list[tuple[int,
     return out
 
 
+def occurrences(contents: list[bytes], times: list[int], length: int = LENGTH) -> list[list[tuple[int, int, bytes]]]:
+    """Per text, the places of the maximal repeats of the texts given: (from, to, hash of the repeated string)."""
+    if not contents:
+        return []
+    sa = SuffixArray(contents, length)
+    out: list[list] = [[] for _ in contents]
+    for depth, found in maximal_repeats(sa, length, np.array(times)):
+        text = np.searchsorted(sa.ends, found)
+        at = (found - sa.begins[text]).tolist()
+        group = xxhash.xxh3_128_digest(contents[text[0]][at[0] : at[0] + depth])
+        for t, a in zip(text.tolist(), at, strict=True):
+            out[t].append((a, a + depth, group))
+    return out
+
+
 def _emit_runs(length: int):
     layout = ["doc", "key", "content", "start", "windows", "self_like"]
 
@@ -218,11 +252,11 @@ def _fetch(length: int):
                     own = data[a["start"] : a["start"] + a["windows"] - 1 + length]
                     if a["hot"]:
                         rows.extend(
-                            (a["key"], a["content"], None, xxhash.xxh3_128_digest(own[i : i + length]), i)
+                            (a["key"], a["content"], a["n"], None, xxhash.xxh3_128_digest(own[i : i + length]), i)
                             for i in range(a["windows"])
                         )
                     else:
-                        rows.append((a["key"], a["content"], own, None, None))
+                        rows.append((a["key"], a["content"], a["n"], own, None, None))
                     size += len(own) if not a["hot"] else a["windows"] * 64
                     if size > 1 << 20:
                         yield _fetched(rows)
@@ -234,28 +268,37 @@ def _fetch(length: int):
 
 
 def _fetched(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["key", "content", "bytes", "window", "at"])
+    out = pd.DataFrame(rows, columns=["key", "content", "n", "bytes", "window", "at"])
     out["at"] = out["at"].astype("Int32")
     return out
 
 
-def _shard(length: int):
-    """Rows (key, content, bytes) sorted by key; a suffix array for about SHARD_BYTES of whole keys."""
+def _shard(length: int, grouped: bool):
+    """Rows (key, content, n, bytes) sorted by key and content; a suffix array for about SHARD_BYTES of whole keys.
+
+    A class that came twice, as rows that repeat id and text bring it, is taken once.
+    """
 
     def solved(rows: list) -> pd.DataFrame:
-        spans = covered([r[2] for r in rows], length)
-        out = [(k, c, [{"a": a, "b": b} for a, b in s]) for (k, c, _), s in zip(rows, spans, strict=True) if s]
+        own, times = [r[3] for r in rows], [r[2] for r in rows]
+        if grouped:
+            spans = [[{"a": a, "b": b, "group": g} for a, b, g in s] for s in occurrences(own, times, length)]
+        else:
+            spans = [[{"a": a, "b": b, "group": None} for a, b in s] for s in covered(own, times, length)]
+        out = [(k, c, s) for (k, c, _, _), s in zip(rows, spans, strict=True) if s]
         return pd.DataFrame(out, columns=["key", "content", "spans"])
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
         for b in batches:
-            for row in zip(b["key"].tolist(), b["content"], b["bytes"], strict=True):
+            for row in zip(b["key"].tolist(), b["content"], b["n"].tolist(), b["bytes"], strict=True):
+                if rows and row[:2] == rows[-1][:2]:
+                    continue
                 if size > SHARD_BYTES and row[0] != rows[-1][0]:
                     yield solved(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[2])
+                size += len(row[3])
         if rows:
             yield solved(rows)
 
@@ -287,50 +330,91 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(d: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
-    """doc, spans (from, to; they may overlap): what goes of the texts (doc, text)."""
-    spark = d.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+SPANS = "array<struct<a:long,b:long,group:binary>>"
+
+
+def _repeats(d: DataFrame, scratch: Scratch, length: int, grouped: bool) -> DataFrame:
+    """doc, spans (from, to, group): a row per run of the texts (doc, text) that holds repeats.
+
+    ``grouped``: every occurrence of every group; otherwise merged spans within each run, without groups.
+    """
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     layout = "doc binary, key long, content binary, start long, windows int, self_like boolean"
     runs = scratch.save(d.select("doc", "text").mapInPandas(_emit_runs(length), layout), "runs")
     classes = runs.groupBy("key", "content").agg(
         F.count(F.lit(1)).alias("n"), F.max("self_like").alias("self_like"), F.min(F.struct("doc", "start", "windows")).alias("one")
     )
     classes = scratch.save(classes, "classes")
-    single = F.col("n") == 1
     keys = classes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("classes"), F.max(single).alias("single"), F.max(single & F.col("self_like")).alias("inner")
+        F.count(F.lit(1)).alias("classes"), F.max(F.col("n") > 1).alias("often"), F.max("self_like").alias("inner")
     )
-    keys = keys.where(((F.col("classes") > 1) & F.col("single")) | F.col("inner")).select("key", (F.col("classes") > HOT).alias("hot"))
-    asked = classes.join(keys.hint("merge"), "key").select("one.doc", F.struct("key", "content", "one.start", "one.windows", "hot").alias("a"))
+    keys = keys.where("classes > 1 or often or inner").select("key", (F.col("classes") > HOT).alias("hot"))
+    asked = classes.join(keys.hint("merge"), "key")
+    if not grouped:
+        # In a hot key a class of several runs goes whole, which its count shows; its windows still meet the single runs'.
+        whole = asked.where("hot and n > 1").select("key", "content")
+    asked = asked.select("one.doc", F.struct("key", "content", "n", "one.start", "one.windows", "hot").alias("a"))
     asked = asked.groupBy("doc").agg(F.collect_list("a").alias("asked"))
     once = d.select("doc", "text").join(asked.hint("merge"), "doc")
     fetched = once.select("text", "asked").mapInPandas(
-        _fetch(length), "key long, content binary, bytes binary, window binary, at int"
+        _fetch(length), "key long, content binary, n long, bytes binary, window binary, at int"
     )
     fetched = scratch.save(fetched, "fetched")
-    cold = fetched.where(F.col("bytes").isNotNull()).select("key", "content", "bytes").dropDuplicates(["key", "content"])
-    cold = cold.repartition(n, "key").sortWithinPartitions("key")
-    spans = cold.mapInPandas(_shard(length), "key long, content binary, spans array<struct<a:long,b:long>>")
-    hot = fetched.where(F.col("window").isNotNull()).select("key", "content", "window", "at").distinct()
-    often = hot.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
-    span = F.struct(F.col("at").cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b"))
-    hot = hot.join(often.hint("merge"), "window").groupBy("key", "content").agg(F.collect_list(span).alias("spans"))
-    parts = spans.union(hot).join(classes.where(single).select("key", "content"), ["key", "content"], "left_semi")
-    whole = classes.where(F.col("n") > 1).select("key", "content", F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
-    gone = runs.join(parts.union(whole).hint("merge"), ["key", "content"])
-    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("windows") - 1 + length).cast("long").alias("b")))
+    cold = fetched.where(F.col("bytes").isNotNull()).select("key", "content", "n", "bytes")
+    cold = cold.repartition(n, "key").sortWithinPartitions("key", "content")
+    spans = cold.mapInPandas(_shard(length, grouped), f"key long, content binary, spans {SPANS}")
+    hot = fetched.where(F.col("window").isNotNull()).select("key", "content", "n", "window", "at")
+    # Two places of a window, or one in a class of several runs. A row that came twice is the same place.
+    place = F.xxhash64("content", "at")
+    often = hot.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("n").alias("n"))
+    often = often.where("x <> y or n > 1").select("window")
+    hot = hot.join(often.hint("merge"), "window") if grouped else hot.where("n = 1").join(often.hint("merge"), "window")
+    span = F.struct(
+        F.col("at").cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b"),
+        (F.col("window") if grouped else F.lit(None).cast("binary")).alias("group"),
+    )
+    parts = spans.union(hot.groupBy("key", "content").agg(F.collect_set(span).alias("spans")))
+    if not grouped:
+        parts = parts.union(whole.select("key", "content", F.lit(None).cast(SPANS).alias("spans")))
+    gone = runs.join(parts.hint("merge"), ["key", "content"])
+    all_of_it = F.array(
+        F.struct(F.lit(0).cast("long").alias("a"), (F.col("windows") - 1 + length).cast("long").alias("b"), F.lit(None).cast("binary").alias("group"))
+    )
     shifted = F.transform(
-        F.coalesce("spans", all_of_it), lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))
+        F.coalesce("spans", all_of_it),
+        lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"), s["group"].alias("group")),
     )
-    gone = gone.select("doc", shifted.alias("spans"))
+    return gone.select("doc", shifted.alias("spans"))
+
+
+def repeated_spans(d: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
+    """doc, spans (from, to; they may overlap): what goes of the texts (doc, text)."""
+    gone = _repeats(d, scratch, length, grouped=False)
+    gone = gone.select("doc", F.transform("spans", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))).alias("spans"))
     return gone.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    return only(docs, doc_id="long", text="string").select("doc_id", text_or_empty().alias("text"), row_key().alias("doc"))
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """repeat (16 bytes, hash of the string), size, doc_id, at: a row per occurrence of every maximal repeat.
+
+    ``at`` and ``size`` count UTF-8 bytes. A repeat is maximal within its run; in keys of over HOT classes the
+    groups are single windows. Rows that repeat id and text share a key, and each is named as often as it came.
+    """
+    d = _documents(docs)
+    found = _repeats(d, Scratch(docs.sparkSession, "repeat-groups"), length, grouped=True)
+    each = found.select("doc", F.explode("spans").alias("s"))
+    ids = d.select("doc", "doc_id").distinct()
+    return each.join(ids, "doc").select(F.col("s.group").alias("repeat"), (F.col("s.b") - F.col("s.a")).alias("size"), "doc_id", F.col("s.a").alias("at"))
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    d = only(docs, doc_id="long", text="string").select("doc_id", text_or_empty().alias("text"), row_key().alias("doc"))
+    d = _documents(docs)
     spans = scratch.save(repeated_spans(d, scratch, length), "spans")
     scratch.drop("runs", "classes", "fetched")
     joined = d.join(spans.hint("merge"), "doc", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "spans")

@@ -81,15 +81,73 @@ def test_suffix_dedup_hot_key(docs, monkeypatch):
 
 
 def test_covered_by_brute_force():
+    """The bytes that go, and the maximal repeats with all their occurrences, of texts that stand for several."""
     r = random.Random(3)
     for _ in range(60):
         least = r.choice([8, 12, 20])
         base = [bytes(r.choice(b"ab\0") for _ in range(40)) for _ in range(3)]
         own = [b"".join(r.choice(base)[r.randrange(20) : r.randrange(20, 40)] for _ in range(r.randrange(5))) for _ in range(5)]
-        n = Counter(x[i : i + least] for x in own for i in range(len(x) - least + 1))
-        for x, spans in zip(own, suffix_dedup.covered(own, least), strict=True):
+        own = list(dict.fromkeys(own))
+        times = [r.choice([1, 1, 2]) for _ in own]
+        n = Counter()
+        for x, t in zip(own, times, strict=True):
+            for i in range(len(x) - least + 1):
+                n[x[i : i + least]] += t
+        for x, spans in zip(own, suffix_dedup.covered(own, times, least), strict=True):
             on = {k for i in range(len(x) - least + 1) if n[x[i : i + least]] > 1 for k in range(i, i + least)}
             assert {k for a, b in spans for k in range(a, b)} == on
+        places = {}
+        for k, x in enumerate(own):
+            for a in range(len(x)):
+                for b in range(a + least, len(x) + 1):
+                    places.setdefault(x[a:b], []).append((k, a))
+        want = set()
+        for string, at in places.items():
+            # What stands before and behind; the edge of a text equals nothing, nor does it equal its copies' edges.
+            before = {own[k][a - 1] if a else ("edge", k, c) for k, a in at for c in range(times[k])}
+            behind = {own[k][a + len(string)] if a + len(string) < len(own[k]) else ("edge", k, c) for k, a in at for c in range(times[k])}
+            if len(before) > 1 and len(behind) > 1:
+                want |= {(k, a, a + len(string), xxhash.xxh3_128_digest(string)) for k, a in at}
+        got = [(k, *s) for k, spans in enumerate(suffix_dedup.occurrences(own, times, least)) for s in spans]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def starts(data, string):
+    at = data.find(string)
+    while at >= 0:
+        yield at
+        at = data.find(string, at + 1)
+
+
+@pytest.mark.parametrize("hot", [512, 0])
+def test_repeat_groups(docs, monkeypatch, hot):
+    """Every group names all the places where its string starts, and the groups cover what the operator removes."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    texts = Counter((d, (t or "").encode()) for d, t, *_ in small())
+    groups = {}
+    for g in suffix_dedup.repeat_groups(docs).collect():
+        groups.setdefault((bytes(g["repeat"]), g["size"]), Counter())[g["doc_id"], g["at"]] += 1
+    own = {d: b for d, b in texts}
+    removed = {d: set() for d in own}
+    assert groups
+    for (digest, size), at in groups.items():
+        d, a = next(iter(at))
+        string = own[d][a : a + size]
+        assert size >= 400 and xxhash.xxh3_128_digest(string) == digest
+        want = Counter((d, i) for d, b in own.items() for i in starts(b, string))
+        assert at == want and len(at) > 1
+        for d, a in at:
+            removed[d] |= set(range(a, a + size))
+    out = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert {d: len(x) for d, x in removed.items()} == out
+
+
+def test_runs_go_on_over_blocks(monkeypatch):
+    r = random.Random(8)
+    data = bytes(r.choice(b"abcdefgh") for _ in range(5000))
+    whole = [x[:4] for x in suffix_dedup.runs_of(data)]
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    assert [x[:4] for x in suffix_dedup.runs_of(data)] == whole
 
 
 def plain_fingerprint(text):
