@@ -192,34 +192,61 @@ def maximal_repeats(sa: SuffixArray, least: int, times: np.ndarray) -> Iterator[
                 stack.append([height, begin, char])
 
 
+def _sharing(contents: list[bytes], length: int) -> np.ndarray:
+    """Which texts may share a string of ``length`` bytes with another or within themselves, by hash: never too few."""
+    on = np.zeros(len(contents), bool)
+    sizes = np.array([len(c) for c in contents], np.int64)
+    windows = np.maximum(sizes - length + 1, 0)
+    if not windows.any():
+        return on
+    text = np.repeat(np.arange(len(contents)), windows)
+    inside = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    h = _gram_hashes(np.frombuffer(b"".join(contents), np.uint8), length)[(np.cumsum(sizes) - sizes)[text] + inside]
+    order = np.argsort(h)
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    on[text[order[same]]] = on[text[order[same + 1]]] = True
+    return on
+
+
+def _groups(contents: list[bytes], times: list[int], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, texts, places in them) of every maximal repeat of the texts given.
+
+    A text that shares no string of ``length`` bytes has a leaf only, and no need to be sorted among the others.
+    """
+    sharing = _sharing(contents, length)
+    for t in np.flatnonzero(~sharing).tolist():
+        if times[t] > 1 and len(contents[t]) >= length:
+            yield len(contents[t]), np.array([t]), np.array([0])
+    own = np.flatnonzero(sharing)
+    if len(own):
+        sa = SuffixArray([contents[t] for t in own.tolist()], length)
+        for depth, found in maximal_repeats(sa, length, np.array(times)[own]):
+            text = np.searchsorted(sa.ends, found)
+            yield depth, own[text], found - sa.begins[text]
+
+
 def covered(contents: list[bytes], times: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Per text, the bytes that windows cover which start twice or more in the texts given: (from, to)."""
-    if not contents:
-        return []
-    sa = SuffixArray(contents, length)
-    marks = np.zeros(len(sa.data) + 1, np.int64)
-    for depth, found in maximal_repeats(sa, length, np.array(times)):
-        np.add.at(marks, found, 1)
-        np.add.at(marks, found + depth, -1)
+    sizes = np.array([len(c) for c in contents], np.int64)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    marks = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
+    for depth, text, at in _groups(contents, times, length):
+        np.add.at(marks, begins[text] + at, 1)
+        np.add.at(marks, begins[text] + at + depth, -1)
     on = np.cumsum(marks[:-1]) > 0
     out = []
-    for b, e in zip(sa.begins.tolist(), sa.ends.tolist(), strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], on[b:e].view(np.int8), [0]])))
+    for b, n in zip(begins.tolist(), sizes.tolist(), strict=True):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], on[b : b + n].view(np.int8), [0]])))
         out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
     return out
 
 
 def occurrences(contents: list[bytes], times: list[int], length: int = LENGTH) -> list[list[tuple[int, int, bytes]]]:
     """Per text, the places of the maximal repeats of the texts given: (from, to, hash of the repeated string)."""
-    if not contents:
-        return []
-    sa = SuffixArray(contents, length)
     out: list[list] = [[] for _ in contents]
-    for depth, found in maximal_repeats(sa, length, np.array(times)):
-        text = np.searchsorted(sa.ends, found)
-        at = (found - sa.begins[text]).tolist()
+    for depth, text, at in _groups(contents, times, length):
         group = xxhash.xxh3_128_digest(contents[text[0]][at[0] : at[0] + depth])
-        for t, a in zip(text.tolist(), at, strict=True):
+        for t, a in zip(text.tolist(), at.tolist(), strict=True):
             out[t].append((a, a + depth, group))
     return out
 
