@@ -256,6 +256,54 @@ def cleaned_feeds(spark, sf_dir):
     return feeds.feeds(groups, items)
 
 
+def full_feeds(spark, sf_dir):
+    """Feeds with all that a channel and its items can carry."""
+    groups = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("group"), F.col("c_name").alias("name"), F.concat(F.lit("Of "), "c_mktsegment").alias("description"),
+        scalar.address(F.lit("http://host"), "feed", F.col("c_custkey"), ".xml").alias("self_url"),
+        F.concat(F.lit("http://own/?a=1&b="), F.col("c_custkey").cast("string")).alias("link"), F.lit("en").alias("language"),
+        F.col("c_mktsegment").alias("author"), F.lit("http://host/i.png").alias("image_url"),
+    )
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    key = F.col("o_orderkey").cast("string")
+    items = done.select(
+        F.col("o_custkey").alias("group"), F.lpad(key, 10, "0").alias("guid"), F.concat(F.lit("Part "), key).alias("title"),
+        F.col("o_orderpriority").alias("description"), scalar.address(F.lit("http://host"), "audio", F.col("o_orderkey")).alias("audio_url"),
+        F.lit(60).alias("duration_s"), (F.col("o_orderkey") * 1000).alias("length"), F.col("o_orderdate").alias("pub_date"),
+    )
+    return feeds.feeds(groups, items, dated=True)
+
+
+def item_by_id(spark, sf_dir):
+    """One item by its id, as pages of a single item read it; the filter reaches the scan."""
+    return _items(spark, sf_dir).where("o_orderkey = 1").select("o_orderkey", "c_custkey", "o_orderstatus")
+
+
+def parsed_fields(spark, sf_dir):
+    """Durations in all their forms and dates of feeds, written from keys and read again."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    k = F.col("o_orderkey")
+    n, two = (k % 5).cast("int"), lambda x: F.lpad(x.cast("string"), 2, "0")
+    forms = [F.concat_ws(":", (k % 9).cast("string"), two(k % 60), two(k % 59)), F.concat_ws(":", (k % 90).cast("string"), two(k % 58)), k.cast("string"), F.concat(k.cast("string"), F.lit("s")), F.lit("")]
+    text = F.element_at(F.array(*forms), n + 1)
+    dated = F.when(n < 2, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(n < 4, F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss '-0130'")).otherwise("soon")
+    return o.select("o_orderkey", scalar.duration_seconds(text).cast("long").alias("seconds"), F.unix_seconds(scalar.feed_date(dated).cast("timestamp")).alias("at"))
+
+
+def greedy_choice(spark, sf_dir):
+    """Of an order's lines, as spans with their discount as error rate, those the greedy choice keeps."""
+    start = (F.col("l_linenumber") * 20).cast("double")
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_discount").cast("double").alias("ber"), start.alias("start"), (start + F.col("l_quantity")).alias("end"))
+    return intervals.greedy(runs, ["id"]).select("id", "ber", "start", "end")
+
+
+def turn_kinds(spark, sf_dir):
+    """Turns that are notes of sounds and turns that announce a break; some are dressed as such, as these texts hold none."""
+    dressed = F.when(F.col("idx") % 3 == 0, F.concat(F.lit(" ("), "text", F.lit(")"))).when(F.col("idx") % 3 == 1, F.concat(F.lit("Welcome back! "), "text"))
+    turns = _turns(spark, sf_dir).withColumn("text", F.coalesce(dressed, "text"))
+    return turns.select("id", "idx", lexicon.is_annotation(F.col("text")).alias("annotation"), lexicon.is_break(F.col("text")).alias("pause"))
+
+
 def _turns(spark, sf_dir):
     start = (F.col("turn") * 40).cast("double")
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("idx"), start.alias("start"), (start + 35).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
@@ -320,7 +368,7 @@ QUERIES = {
         repeated_share, offset_clusters, error_runs, detect_cuts, group_detail, item_detail, queue_pending,
         unprocessed_items, reprocess_items, replaced_segments, file_names, cleaned_feeds, overlap_text,
         region_classify, pair_exclusion, event_sessions, refined_cuts, detection_report, speech_snap, live_turns,
-        word_times, hamming_neighbours, item_view, updated_items,
+        word_times, hamming_neighbours, item_view, updated_items, full_feeds, item_by_id, parsed_fields, greedy_choice, turn_kinds,
     )
 }
 
@@ -352,6 +400,19 @@ def _phrases(phrases: list[str]) -> str:
     return "+".join(f"contains(low, '{p}')::INT" for p in phrases)
 
 
+def _clusters() -> str:
+    return f"""{_grams(4)}, v AS (SELECT l.id AS a, r.id AS b, l.i - r.i AS off, count(*) AS votes FROM s l JOIN s r ON l.grp = r.grp AND l.g = r.g AND l.id <> r.id GROUP BY ALL),
+        n AS (SELECT *, CASE WHEN off - lag(off) OVER (PARTITION BY a, b ORDER BY off) <= 2 THEN 0 ELSE 1 END AS new FROM v),
+        p AS (SELECT *, sum(new) OVER (PARTITION BY a, b ORDER BY off ROWS UNBOUNDED PRECEDING) AS part FROM n),
+        c AS (SELECT a, b, part, (array_agg(off ORDER BY votes DESC, off))[1] AS off, sum(votes)::BIGINT AS votes FROM p GROUP BY a, b, part HAVING sum(votes) >= 8),
+        o AS (SELECT a, b, off::INT AS off, votes FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, off) <= 40)"""
+
+
+def _quoted(text: str) -> str:
+    doubled = text.replace("'", "''")
+    return f"'{doubled}'"
+
+
 SQL = {
     "group_progress": f"SELECT * EXCLUDE (started) FROM ({_PROGRESS})",
     "group_eta": f"""SELECT c_custkey, CASE WHEN processed > 0 THEN
@@ -391,11 +452,40 @@ SQL = {
         SELECT a, b, min(i)::INT AS i, (min(i) - diag)::INT AS j, count(*) + 9 AS words FROM z GROUP BY a, b, diag, isle HAVING count(*) + 9 >= 18""",
     "repeated_share": f"""WITH {_grams(4)}, h AS (SELECT grp, g, min(id) <> max(id) AS shared FROM s GROUP BY grp, g)
         SELECT id, round(avg(shared::INT), 6) AS share FROM s JOIN h USING (grp, g) GROUP BY id""",
-    "offset_clusters": f"""WITH {_grams(4)}, v AS (SELECT l.id AS a, r.id AS b, l.i - r.i AS off, count(*) AS votes FROM s l JOIN s r ON l.grp = r.grp AND l.g = r.g AND l.id <> r.id GROUP BY ALL),
-        n AS (SELECT *, CASE WHEN off - lag(off) OVER (PARTITION BY a, b ORDER BY off) <= 2 THEN 0 ELSE 1 END AS new FROM v),
-        p AS (SELECT *, sum(new) OVER (PARTITION BY a, b ORDER BY off ROWS UNBOUNDED PRECEDING) AS part FROM n),
-        c AS (SELECT a, b, part, (array_agg(off ORDER BY votes DESC, off))[1] AS off, sum(votes)::BIGINT AS votes FROM p GROUP BY a, b, part HAVING sum(votes) >= 8)
-        SELECT a, b, off::INT AS off, votes FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, off) <= 40""",
+    "offset_clusters": f"WITH {_clusters()} SELECT * FROM o",
+    "error_runs": f"""WITH {_clusters()},
+        fp AS (SELECT id, unnest(range(len(w)))::INT AS pos, ('0x' || left(md5(unnest(w)), 8))::BIGINT AS h FROM t),
+        ln AS MATERIALIZED (SELECT id, count(*)::INT AS n FROM fp GROUP BY id),
+        q AS (SELECT a, b, off, greatest(0, off) AS lo, least(x.n, y.n + off) AS hi, y.n AS nb FROM o JOIN ln x ON x.id = a JOIN ln y ON y.id = b),
+        pp AS (SELECT *, unnest(range(lo, hi))::INT AS pos FROM q WHERE hi - lo >= 17),
+        j AS (SELECT a, b, off, p.pos, bit_count(xor(f.h, g.h)) AS d, pos_by FROM (SELECT *, unnest([-1, 0, 1]) AS pos_by FROM pp) p
+              JOIN fp f ON f.id = a AND f.pos = p.pos JOIN fp g ON g.id = b AND g.pos = p.pos - off + pos_by WHERE lo - off + pos_by >= 0 AND hi - off + pos_by <= nb),
+        d AS (SELECT a, b, off, pos, least(min(d), 32) AS d FROM j GROUP BY a, b, off, pos),
+        s2 AS (SELECT *, sum(d) OVER (PARTITION BY a, b, off ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) / 544.0::DOUBLE AS sm FROM d),
+        z2 AS (SELECT *, pos - row_number() OVER (PARTITION BY a, b, off ORDER BY pos) AS isle FROM s2 WHERE sm < 0.30::DOUBLE),
+        r AS (SELECT a, b, off, min(pos) AS p, count(*) AS n, avg(d) / 32 AS ber FROM z2 GROUP BY a, b, off, isle)
+        SELECT a, b, off, p / 8.06::DOUBLE AS "start", (p + n) / 8.06::DOUBLE AS "end", ber FROM r WHERE n / 8.06::DOUBLE >= 5 AND ber < 0.30::DOUBLE""",
+    "full_feeds": """WITH i AS (SELECT o_custkey, string_agg('<item><title>Part ' || o_orderkey || '</title><description>' || o_orderpriority || '</description><guid>' ||
+        lpad(o_orderkey::VARCHAR, 10, '0') || '</guid>' || coalesce('<pubDate>' || strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate>', '') ||
+        '<itunes:duration>60</itunes:duration><enclosure url="http://host/audio/' || o_orderkey || '" length="' || o_orderkey * 1000 || '" type="audio/mpeg"/></item>', ''
+        ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+        SELECT c_custkey AS "group", '<rss version="2.0"><channel><title>' || c_name || '</title><description>Of ' || c_mktsegment || '</description><atom:link href="http://host/feed/' ||
+        c_custkey || '.xml" rel="self"/><link>http://own/?a=1&amp;b=' || c_custkey || '</link><language>en</language><itunes:author>' || c_mktsegment ||
+        '</itunes:author><itunes:image href="http://host/i.png"/>' || coalesce(x, '') || '</channel></rss>' AS xml FROM customer LEFT JOIN i ON o_custkey = c_custkey""",
+    "item_by_id": "SELECT o_orderkey, o_custkey AS c_custkey, o_orderstatus FROM orders WHERE o_orderkey = 1",
+    "parsed_fields": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 9 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 59
+        WHEN 1 THEN o_orderkey % 90 * 60 + o_orderkey % 58 WHEN 2 THEN o_orderkey END::BIGINT AS seconds,
+        CASE WHEN o_orderkey % 5 < 2 THEN epoch(o_orderdate) - 7200 WHEN o_orderkey % 5 < 4 THEN epoch(o_orderdate) + 5400 END::BIGINT AS at FROM orders""",
+    "greedy_choice": """WITH RECURSIVE l AS (SELECT l_orderkey AS id, l_discount::DOUBLE AS ber, l_linenumber * 20.0::DOUBLE AS s, l_linenumber * 20.0::DOUBLE + l_quantity AS e FROM lineitem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ber, s, e) AS k FROM l),
+        g AS (SELECT id, 1 AS k, [{'ber': ber, 's': s, 'e': e}] AS kept FROM r WHERE k = 1
+              UNION ALL SELECT r.id, g.k + 1, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest(kept) AS x) WHERE r.s < x.e - 0.5 AND r.e > x.s + 0.5)
+              THEN kept ELSE list_append(kept, {'ber': r.ber, 's': r.s, 'e': r.e}) END FROM g JOIN r ON r.id = g.id AND r.k = g.k + 1),
+        f AS (SELECT id, unnest(arg_max(kept, k)) AS x FROM g GROUP BY id) SELECT id, x.ber AS ber, x.s AS "start", x.e AS "end" FROM f""",
+    "turn_kinds": f"""SELECT conv_id AS id, turn AS idx, regexp_matches(trim(t), '(?s)^[\\(\\[♪].*[\\)\\]♪]$') AS annotation,
+        greatest(len(regexp_extract_all(t, '\\S+')), 1) <= 20 AND regexp_matches(lower(t), {_quoted(lexicon.BREAK)}) AS pause
+        FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ' (' || x || ')' WHEN 1 THEN 'Welcome back! ' || x ELSE x END AS t
+              FROM (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations))""",
     "group_detail": """SELECT o_custkey AS c_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
         CASE o_orderstatus WHEN 'F' THEN 'Processed' WHEN 'P' THEN 'Pending' ELSE 'pending_download' END AS label
         FROM orders WHERE o_orderstatus <> 'O' OR o_orderdate >= TIMESTAMP '1997-06-01'""",

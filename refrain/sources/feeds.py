@@ -13,6 +13,11 @@ ITEM = (
     "pubDate string, updated string, enclosure array<struct<_url:string,_type:string>>, `itunes:duration` string"
 )
 ENTRY = f"title string, id string, link {LINKS}, summary string, published string, updated string, `itunes:duration` string"
+CHANNEL = (
+    "title string, description string, author string, `itunes:author` string, "
+    "image struct<url:string>, `itunes:image` struct<_VALUE:string,_href:string>, item array<struct<title:string>>"
+)
+FEED = "title string, subtitle string, author array<struct<name:string>>, logo string, entry array<struct<title:string>>"
 TRANSCRIPT = "transcription array<struct<offsets:struct<`from`:bigint,`to`:bigint>,text:string>>"
 
 
@@ -55,6 +60,26 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_channel(spark: SparkSession, path: str) -> DataFrame:
+    """file, title, description, image_url, author, n_entries of each RSS channel and Atom feed.
+
+    The image is the channel's own, else that of its iTunes tag, else empty. A feed without entries is a row with
+    n_entries 0, which is how a caller tells it from one whose entries hold no audio.
+    """
+    xml = spark.read.format("xml")
+    rss = xml.option("rowTag", "channel").schema(CHANNEL).load(path).select(
+        "title", "description", F.coalesce("image.url", F.col("`itunes:image`._href"), F.col("`itunes:image`._VALUE")).alias("image_url"),
+        F.coalesce("author", "itunes:author").alias("author"), F.size(F.coalesce("item", F.array())).alias("n_entries"),
+    )
+    atom = spark.read.format("xml").option("rowTag", "feed").schema(FEED).load(path).select(
+        "title", F.col("subtitle").alias("description"), F.col("logo").alias("image_url"), F.get("author", F.lit(0))["name"].alias("author"),
+        F.size(F.coalesce("entry", F.array())).alias("n_entries"),
+    )
+    both = rss.unionByName(atom).withColumn("file", F.input_file_name())
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("description", "image_url", "author")]
+    return both.select("file", or_default(F.col("title"), "Unknown Podcast").alias("title"), *texts, "n_entries")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """file, idx, start, end, text: seconds from milliseconds; blank segments are dropped."""
     raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
@@ -70,20 +95,56 @@ def _escaped(c: str):
     return text
 
 
-def feed_items(items: DataFrame) -> DataFrame:
-    """Adds xml: an item element per row (guid, title, audio_url, duration_s), escaped."""
+def _element(items: DataFrame, c: str, tag: str) -> list:
+    """The column's element, nothing where it is null or empty, and no part at all where the table lacks it."""
+    if c not in items.columns:
+        return []
+    held = F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull()
+    return [F.when(held, F.concat(F.lit(f"<{tag}>"), _escaped(c), F.lit(f"</{tag}>"))).otherwise("")]
+
+
+def _attribute(items: DataFrame, c: str, before: str, after: str) -> list:
+    """An element that carries the column in an attribute, under the same rule."""
+    if c not in items.columns:
+        return []
+    held = F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull()
+    return [F.when(held, F.concat(F.lit(before), _escaped(c), F.lit(after))).otherwise("")]
+
+
+def feed_items(items: DataFrame, dated: bool = False) -> DataFrame:
+    """Adds xml: an item element per row (guid, title, audio_url, duration_s), escaped.
+
+    Also written where the table has them: description and length (the audio's bytes), and with ``dated`` pub_date.
+    """
+    date = []
+    if dated:
+        # Times without a zone are UTC.
+        zoned = dict(items.dtypes)["pub_date"] == "timestamp"
+        utc = F.to_utc_timestamp("pub_date", F.current_timezone()) if zoned else F.col("pub_date").cast("timestamp")
+        at = F.date_format(utc, "EEE, dd MMM yyyy HH:mm:ss")
+        date = [F.coalesce(F.concat(F.lit("<pubDate>"), at, F.lit(" +0000</pubDate>")), F.lit(""))]
     parts = [
-        F.lit("<item><title>"), _escaped("title"), F.lit("</title><guid>"), _escaped("guid"), F.lit("</guid><itunes:duration>"),
+        F.lit("<item><title>"), _escaped("title"), F.lit("</title>"), *_element(items, "description", "description"),
+        F.lit("<guid>"), _escaped("guid"), F.lit("</guid>"), *date, F.lit("<itunes:duration>"),
         F.coalesce(F.col("duration_s").cast("string"), F.lit("0")), F.lit('</itunes:duration><enclosure url="'), _escaped("audio_url"),
-        F.lit('" type="audio/mpeg"/></item>'),
+        F.lit('"'), *_attribute(items, "length", ' length="', '"'), F.lit(' type="audio/mpeg"/></item>'),
     ]
     return items.withColumn("xml", F.concat(*parts))
 
 
-def feeds(groups: DataFrame, items: DataFrame) -> DataFrame:
-    """group, xml: a channel per group (group, name), its items newest first and undated ones last; groups without items too."""
+def feeds(groups: DataFrame, items: DataFrame, dated: bool = False) -> DataFrame:
+    """group, xml: a channel per group (group, name), its items newest first and undated ones last; groups without items too.
+
+    The channel's description, self_url, link, language, author and image_url are written where the table has them.
+    """
     newest = F.array_sort(F.collect_list(F.struct((-F.col("pub_date").cast("timestamp").cast("double")).alias("age"), "guid", "xml")))
-    listed = feed_items(items).groupBy("group").agg(F.array_join(F.transform(F.filter(newest, lambda x: x["age"].isNotNull()), lambda x: x["xml"]), "").alias("dated"), F.array_join(F.transform(F.filter(newest, lambda x: x["age"].isNull()), lambda x: x["xml"]), "").alias("undated"))
-    head = F.concat(F.lit('<rss version="2.0"><channel><title>'), _escaped("name"), F.lit("</title>"))
+    listed = feed_items(items, dated).groupBy("group").agg(F.array_join(F.transform(F.filter(newest, lambda x: x["age"].isNotNull()), lambda x: x["xml"]), "").alias("dated"), F.array_join(F.transform(F.filter(newest, lambda x: x["age"].isNull()), lambda x: x["xml"]), "").alias("undated"))
+    about = [
+        *_element(groups, "description", "description"), *_attribute(groups, "self_url", '<atom:link href="', '" rel="self"/>'),
+        *_element(groups, "link", "link"), *_element(groups, "language", "language"), *_element(groups, "author", "itunes:author"),
+        *_attribute(groups, "image_url", '<itunes:image href="', '"/>'),
+    ]
+    head = F.concat(F.lit('<rss version="2.0"><channel><title>'), _escaped("name"), F.lit("</title>"), *about)
     body = F.concat(F.coalesce("dated", F.lit("")), F.coalesce("undated", F.lit("")))
-    return groups.join(listed, "group", "left").select("group", F.concat(head, body, F.lit("</channel></rss>")).alias("xml"))
+    joined = groups.select("group", head.alias("head")).join(listed, "group", "left")
+    return joined.select("group", F.concat("head", body, F.lit("</channel></rss>")).alias("xml"))

@@ -144,3 +144,34 @@ def test_feed_links_and_entries(spark, tmp_path):
     assert pairs(feeds.read_feed(spark, str(tmp_path / "r.xml")), "guid", "audio_url") == [("g2", "http://h/2.mp3"), ("http://h/1", "http://h/1.mp3")]
     got = [(x["guid"], x["audio_url"], x["description"], str(x["pub_date"])) for x in feeds.read_feed(spark, str(tmp_path / "a.xml")).collect()]
     assert got == [("i1", "http://h/a.mp3", "S", "2024-01-01 08:00:00")]
+
+
+def test_channels(spark, tmp_path):
+    itunes = 'xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"'
+    (tmp_path / "r.xml").write_text(
+        f'<rss version="2.0" {itunes}><channel><title>P</title><description>D</description><itunes:author>A</itunes:author>'
+        "<image><url>http://h/i.png</url><title>I</title></image><item><title>E1</title></item><item><title>E2</title></item></channel></rss>"
+    )
+    (tmp_path / "s.xml").write_text(f'<rss version="2.0" {itunes}><channel><itunes:image href="http://h/j.png"/></channel></rss>')
+    (tmp_path / "a.xml").write_text(
+        '<feed xmlns="http://www.w3.org/2005/Atom"><title>Q</title><subtitle>S</subtitle><author><name>N</name></author><logo>http://h/l.png</logo>'
+        "<entry><title>A1</title></entry></feed>"
+    )
+    got = pairs(feeds.read_channel(spark, str(tmp_path)), "title", "description", "image_url", "author", "n_entries")
+    assert got == [("P", "D", "http://h/i.png", "A", 2), ("Q", "S", "http://h/l.png", "N", 1), ("Unknown Podcast", "", "http://h/j.png", "", 0)]
+
+
+def test_feed_sink_writes_what_is_there(spark):
+    groups = spark.createDataFrame([(1, "A & B", None, "http://h/f"), (2, "C", "", None)], "group int, name string, description string, link string")
+    items = spark.createDataFrame(
+        [(1, "g1", "T", "<b>", "http://h/1", 5, 7, "2024-01-02 03:04:05"), (1, "g2", "U", None, "http://h/2", None, None, None)],
+        "group int, guid string, title string, description string, audio_url string, duration_s int, length long, pub_date string",
+    )
+    got = dict(pairs(feeds.feeds(groups, items, dated=True), "group", "xml"))
+    assert got[2] == '<rss version="2.0"><channel><title>C</title></channel></rss>'
+    assert got[1] == (
+        '<rss version="2.0"><channel><title>A &amp; B</title><link>http://h/f</link>'
+        "<item><title>T</title><description>&lt;b&gt;</description><guid>g1</guid><pubDate>Tue, 02 Jan 2024 03:04:05 +0000</pubDate>"
+        '<itunes:duration>5</itunes:duration><enclosure url="http://h/1" length="7" type="audio/mpeg"/></item>'
+        '<item><title>U</title><guid>g2</guid><itunes:duration>0</itunes:duration><enclosure url="http://h/2" type="audio/mpeg"/></item></channel></rss>'
+    )
