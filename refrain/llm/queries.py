@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from refrain.llm import html_extract, language_id, line_dedup, mixing, sentencepiece_fst, simhash, suffix_dedup, token_counts, topk
+from refrain.llm import centroids, html_extract, language_id, line_dedup, minhash, mixing, sentencepiece_fst, simhash, suffix_dedup, token_counts, topk, vector_codes
 from refrain.llm.exact_dedup import exact_dedup
 from refrain.session import table
 
@@ -47,11 +47,24 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark, sf_dir):
+    return minhash.minhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark, sf_dir):
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_suffix_dedup, op3_sentencepiece, op4_mixing, op5_simhash,
         op6_language_id, op7_exact_dedup, op8_topk, op9_line_dedup, op10_token_counts,
+        op11_minhash, op12_centroids, op13_vector_codes,
     )
 }
 
@@ -68,4 +81,7 @@ SQL = {
     "op7_exact_dedup": EXACT_SQL,
     "op8_topk": topk.TOPK_SQL.replace("{embeddings}", "embeddings"),
     "op9_line_dedup": line_dedup.LINES_SQL.replace("{documents}", "documents"),
+    "op11_minhash": minhash.MINHASH_SQL.replace("{documents}", "documents"),
+    "op12_centroids": centroids.clusters_sql().replace("{embeddings}", "embeddings"),
+    "op13_vector_codes": vector_codes.codes_sql().replace("{embeddings}", "embeddings"),
 }
