@@ -37,6 +37,7 @@ WEAK = [
     "apple podcasts", "spotify", "iheartradio", "episodes",
     "save", "deal", "offer", "discount", "delivery", "customers",
 ]
+# Patterns and phrases of addresses, of the end of a show and of breaks.
 DOTCOM = r"\b[a-z0-9]+\s?\.\s?com\b|\bdot com\b"
 OUTRO = ["is a production of cool zone media", "is a production of"]
 BREAK = (

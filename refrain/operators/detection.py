@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.functions import lexicon
-from refrain.operators import intervals
+from refrain.operators import intervals, sequences
 from refrain.session import Scratch
 
 
@@ -19,6 +19,7 @@ class Params:
     min_match: int = 2
     confirm_below: int = 4
     bridge_free: float = 90.0
+    bridge_max: float = 90.0
     tail_eof_snap: float = 25.0
     min_cut: float = 5.0
 
@@ -43,12 +44,19 @@ def without_compilations(evidence: DataFrame, lengths: DataFrame, p: Params = Pa
 
 
 def regions(evidence: DataFrame, gap: float = 2.0) -> DataFrame:
-    """id, start, end, n_matches, srcs: unions of evidence with their distinct sources."""
-    u = intervals.union(evidence.select("id", "start", "end"), ["id"], gap).drop("n")
-    e = evidence.select("id", F.col("start").alias("s"), F.col("end").alias("e"), "other")
-    hit = u.join(e, "id").where((F.col("e") > F.col("start")) & (F.col("s") < F.col("end")))
-    srcs = F.sort_array(F.collect_set("other"))
-    return hit.groupBy("id", "start", "end").agg(srcs.alias("srcs")).withColumn("n_matches", F.size("srcs"))
+    """id, start, end, n_matches, srcs: unions of evidence with their distinct sources, in one grouping by id.
+
+    Evidence of no length counts only strictly inside its region, and a region of such alone is none.
+    """
+    e = intervals.parted(evidence.select("id", "start", "end", "other"), ["id"], gap)
+    long = F.col("end") > F.col("start")
+    own = e.groupBy("id", "__part").agg(
+        F.min("start").alias("s"), F.max("end").alias("e"), F.collect_set(F.when(long, F.col("other"))).alias("srcs"),
+        F.collect_list(F.when(~long, F.struct("start", "end", "other"))).alias("points"),
+    )
+    inside = F.transform(F.filter("points", lambda x: (x["end"] > F.col("s")) & (x["start"] < F.col("e"))), lambda x: x["other"])
+    own = own.withColumn("srcs", F.sort_array(F.array_union("srcs", inside))).where(F.size("srcs") > 0)
+    return own.select("id", F.col("s").alias("start"), F.col("e").alias("end"), "srcs", F.size("srcs").alias("n_matches"))
 
 
 def classified(regs: DataFrame, segments: DataFrame, p: Params = Params()) -> DataFrame:
@@ -69,13 +77,25 @@ def classified(regs: DataFrame, segments: DataFrame, p: Params = Params()) -> Da
     return r.select("id", "start", "end", "n_matches", "srcs", "method", sureness.alias("confidence"), F.substring(t, 1, 300).alias("excerpt"))
 
 
-def bridged(regs: DataFrame, gap: float) -> DataFrame:
-    """Regions up to ``gap`` apart become one; its method says so if the gap was over half a second."""
+def bridged(regs: DataFrame, gap: float, most: float = 0.0, segments: DataFrame | None = None) -> DataFrame:
+    """Regions up to ``gap`` apart become one, and those up to ``most`` apart if what is said between them reads as an advert.
+
+    The method says so if the gap was over half a second. A gap lies between a region's start and the furthest end
+    before it, whatever was merged: parts that stay apart end before all that follows. So all gaps are judged at once.
+    """
     order = Window.partitionBy("id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    m = regs.withColumn("apart", F.col("start") - reach)
-    m = m.withColumn("part", F.sum(F.coalesce((F.col("apart") > gap).cast("int"), F.lit(1))).over(order))
-    m = m.withColumn("apart", F.when(F.col("apart") <= gap, F.col("apart")))
+    m = regs.withColumns({"reach": reach, "apart": F.col("start") - reach})
+    closes = F.col("apart") <= gap
+    if segments is not None and most > gap:
+        open_ = m.where((F.col("apart") > gap) & (F.col("apart") <= most)).select("id", F.col("reach").alias("start"), F.col("start").alias("end")).distinct()
+        said = intervals.text_between(open_, segments, ["id"]).where((F.col("text") != "") & lexicon.is_ad(F.col("text")))
+        said = said.select("id", F.col("start").alias("reach"), F.col("end").alias("start"), F.lit(True).alias("told"))
+        m = m.join(said, ["id", "reach", "start"], "left")
+        closes |= F.coalesce("told", F.lit(False))
+    m = m.withColumn("closes", F.coalesce(closes, F.lit(False)))
+    m = m.withColumn("part", F.sum((~F.col("closes")).cast("int")).over(order))
+    m = m.withColumn("apart", F.when(F.col("closes"), F.col("apart")))
     # In order of place: what was there, "bridge" where a wide gap is bridged, what comes behind it; each label once.
     none = F.array().cast("array<string>")
     parts = F.array_sort(F.collect_list(F.struct("start", "end", "apart", "method")))
@@ -116,13 +136,31 @@ def emitted(regs: DataFrame, segments: DataFrame, p: Params = Params()) -> DataF
     return r.select("id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "n_matches", "method", "confidence", F.coalesce("excerpt", F.lit("")).alias("excerpt"))
 
 
-def script_evidence(runs: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
+def timed_runs(runs: DataFrame, segments: DataFrame) -> DataFrame:
+    """id, other, start, end: common runs of words by the times of their first and last words.
+
+    runs: id, other, i (position of the first word in the item), words. A run ends where its last word begins.
+    """
+    ends = runs.select("id", "other", F.col("i").cast("long").alias("a"), (F.col("i") + F.col("words") - 1).cast("long").alias("z"))
+    at = sequences.times_at(ends.select("id", F.col("a").alias("i")).union(ends.select("id", F.col("z").alias("i"))).distinct(), segments)
+    first, last = at.select("id", F.col("i").alias("a"), F.col("at").alias("start")), at.select("id", F.col("i").alias("z"), F.col("at").alias("end"))
+    return ends.join(first, ["id", "a"]).join(last, ["id", "z"]).select("id", "other", "start", "end")
+
+
+def script_intervals(runs: DataFrame) -> DataFrame:
+    """id, other, start, end: unions of the timed runs of a pair."""
+    return intervals.union(runs.select("id", "other", "start", "end"), ["id", "other"], 2.0).drop("n")
+
+
+def script_evidence(runs: DataFrame, segments: DataFrame, p: Params = Params()) -> DataFrame:
     """Repeated words as evidence. runs: id, other, start, end; unions of them that read as adverts and are not overlong.
 
-    A pair whose runs make up too much of the shorter item gives none.
+    A pair whose unions make up too much of the time to the last word of either item gives none. Items without words
+    take no part.
     """
-    u = intervals.union(runs.select("id", "other", "start", "end"), ["id", "other"], 2.0).drop("n")
-    own, other = lengths.select("id", F.col("length").alias("la")), lengths.select(F.col("id").alias("other"), F.col("length").alias("lb"))
+    u = script_intervals(runs)
+    last = sequences.last_word(segments)
+    own, other = last.select("id", F.col("at").alias("la")), last.select(F.col("id").alias("other"), F.col("at").alias("lb"))
     total = u.groupBy("id", "other").agg(F.sum(F.col("end") - F.col("start")).alias("shared")).join(own, "id").join(other, "other")
     fair = u.join(total.where(F.col("shared") <= F.least("la", "lb") * p.max_pair_fraction).select("id", "other"), ["id", "other"], "left_semi")
     fair = fair.where(F.col("end") - F.col("start") <= p.max_run)
@@ -133,13 +171,13 @@ def script_evidence(runs: DataFrame, segments: DataFrame, lengths: DataFrame, p:
 def detect(evidence: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
     """The plain form: what is found, judged and bridged, without work on the edges."""
     found = classified(regions(without_compilations(evidence, lengths, p)), segments, p)
-    return emitted(clamped(file_tails(bridged(found, p.bridge_free), segments, lengths, p), lengths), segments, p)
+    return emitted(clamped(file_tails(bridged(found, p.bridge_free, p.bridge_max, segments), segments, lengths, p), lengths), segments, p)
 
 
 def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, lengths: DataFrame, groups: DataFrame, p: Params = Params()) -> DataFrame:
     """The full form, for all items at once: script evidence and blocks too, edges walked, trimmed, snapped and freed of live talk.
 
-    evidence, runs: id, other, start, end. segments: id, idx, start, end, text. lengths: id, length. groups: id, grp.
+    evidence, runs (``timed_runs``): id, other, start, end. segments: id, idx, start, end, text. lengths: id, length. groups: id, grp.
     Pairs that the evidence excludes as compilations leave the runs and the judgement of live talk too.
     """
     from refrain.operators import edges
@@ -148,10 +186,10 @@ def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, le
     scratch = Scratch(evidence.sparkSession, "detect")
     excluded = scratch.save(excluded_pairs(evidence, lengths, p), "excluded")
     said = runs.join(excluded.select("id", "other"), ["id", "other"], "left_anti")
-    every = scratch.save(_fair(evidence, excluded, p).unionByName(script_evidence(said, segments, lengths, p)), "evidence")
+    every = scratch.save(_fair(evidence, excluded, p).unionByName(script_evidence(said, segments, p)), "evidence")
     found = scratch.save(classified(regions(every), segments, p), "found")
     found = scratch.save(found.unionByName(edges.standalone(found, segments)), "blocks")
-    r = scratch.save(edges.extended(bridged(found, p.bridge_free), segments, lengths), "extended")
+    r = scratch.save(edges.extended(bridged(found, p.bridge_free, p.bridge_max, segments), segments, lengths), "extended")
     r = scratch.save(edges.outro_tails(r, segments, lengths), "outro")
     r = scratch.save(bridged(clamped(file_tails(r, segments, lengths, p), lengths), 0.5), "merged")
     r = scratch.save(edges.without_weak_edges(r, segments, every, lengths), "trimmed")

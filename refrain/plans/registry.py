@@ -165,11 +165,10 @@ def detect_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.detect(_heard(spark, sf_dir), _lines(spark, sf_dir), _lengths(spark, sf_dir))
 
 
-def _script(spark, sf_dir):
-    runs = word_runs(spark, sf_dir)
-    sides = [runs.select(F.col(a).alias("id"), F.col(b).alias("other"), F.col(at).alias("p"), "words") for a, b, at in (("a", "b", "i"), ("b", "a", "j"))]
-    both = sides[0].union(sides[1])
-    return both.select("id", "other", (F.col("p") / sequences.RATE).alias("start"), ((F.col("p") + F.col("words") - 1) / sequences.RATE).alias("end"))
+def _both_ways(runs):
+    """id, other, i, words: common runs seen from either item."""
+    sides = [runs.select(F.col(a).alias("id"), F.col(b).alias("other"), F.col(at).alias("i"), "words") for a, b, at in (("a", "b", "i"), ("b", "a", "j"))]
+    return sides[0].union(sides[1])
 
 
 def refined_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +177,8 @@ def refined_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     heard = scratch.save(_heard(spark, sf_dir), "heard")
     segs, lengths = scratch.save(_lines(spark, sf_dir), "segments"), scratch.save(_lengths(spark, sf_dir), "lengths")
     groups = _docs(spark, sf_dir).select("id", "grp").distinct()
-    return detection.detect_refined(heard, _script(spark, sf_dir), segs, lengths, groups)
+    runs = scratch.save(detection.timed_runs(_both_ways(word_runs(spark, sf_dir)), segs), "runs")
+    return detection.detect_refined(heard, runs, segs, lengths, groups)
 
 
 def detection_report(spark, sf_dir):
@@ -309,6 +309,78 @@ def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("idx"), start.alias("start"), (start + 35).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _aired(spark, sf_dir):
+    """The sentences of conversations as segments; a character lasts a sixteenth of a second, so that times are exact.
+
+    Every third block of eight sentences is made an advert, as these texts hold none: a phrase stands before each of its sentences.
+    """
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("k", "x"))
+    idx = (F.row_number().over(Window.partitionBy("id").orderBy("turn", "k", "x")) - 1).alias("idx")
+    t = t.where("x <> ''").select("id", idx, "x")
+    phrase = F.element_at(F.array(*map(F.lit, lexicon.STRONG)), F.col("idx") % len(lexicon.STRONG) + 1)
+    t = t.select("id", "idx", F.when((F.floor(F.col("idx") / 8) + F.col("id")) % 3 == 0, F.concat(phrase, F.lit(" "), "x")).otherwise(F.col("x")).alias("text"))
+    end = F.sum(F.length("text")).over(Window.partitionBy("id").orderBy("idx")) / 16.0
+    return t.select("id", "idx", (end - F.length("text") / 16.0).alias("start"), end.alias("end"), "text")
+
+
+def _blocks(spark, sf_dir):
+    """Regions of line items, bridged, and the lengths of their items."""
+    r = detection.regions(_spans(spark, sf_dir)).withColumns({"method": F.lit("audio_repeat"), "confidence": F.lit(0.9), "excerpt": F.lit("")})
+    r = detection.bridged(r, 30.0)
+    said = _aired(spark, sf_dir).groupBy("id").agg(F.max("end").alias("said"))
+    lengths = r.groupBy("id").agg(F.max("end").alias("length")).join(said, "id", "left")
+    return r, lengths.select("id", F.greatest("length", "said").alias("length"))
+
+
+def walk_extend(spark, sf_dir):
+    """Regions walked on both sides through what reads as an advert."""
+    r, lengths = _blocks(spark, sf_dir)
+    return edges.extended(r, _aired(spark, sf_dir), lengths).select("id", "start", "end", "method")
+
+
+def standalone_seeds(spark, sf_dir):
+    """Blocks that the transcript alone shows, outside the regions of line items."""
+    return edges.standalone(_blocks(spark, sf_dir)[0], _aired(spark, sf_dir)).select("id", "start", "end")
+
+
+def bridged_by_text(spark, sf_dir):
+    """Regions of single lines, bridged over 5 seconds freely and over 60 where an advert is read between them."""
+    r = detection.regions(_spans(spark, sf_dir), 0.0).withColumns({"method": F.lit("audio_repeat"), "confidence": F.lit(0.9), "excerpt": F.lit("")})
+    return detection.bridged(r, 5.0, 60.0, _aired(spark, sf_dir)).select("id", "start", "end", "n_matches", "method")
+
+
+def _timed_lines(spark, sf_dir):
+    """The lines of documents as segments; a character lasts a sixteenth of a second. Lines of even length are adverts."""
+    t = _docs(spark, sf_dir).select("id", F.posexplode(F.split("text", r"\n")).alias("idx", "x")).where("x <> ''")
+    phrase = F.element_at(F.array(*map(F.lit, lexicon.STRONG)), F.length("x") % len(lexicon.STRONG) + 1)
+    t = t.select("id", "idx", F.when(F.length("x") % 2 == 0, F.concat(phrase, F.lit(" "), "x")).otherwise(F.col("x")).alias("text"))
+    end = F.sum(F.length("text")).over(Window.partitionBy("id").orderBy("idx")) / 16.0
+    return t.select("id", "idx", (end - F.length("text") / 16.0).alias("start"), end.alias("end"), "text")
+
+
+def _script_runs(spark, sf_dir, segs):
+    """Common runs of words of the segments' texts, by the times of their words."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("text")
+    docs = segs.groupBy("id").agg(text).join(_docs(spark, sf_dir).select("id", "grp"), "id")
+    return detection.timed_runs(_both_ways(sequences.word_runs(docs)), segs)
+
+
+def script_repeat_intervals(spark, sf_dir):
+    """Where an item repeats another one's words, timed by its words' places in its segments."""
+    segs = _timed_lines(spark, sf_dir)
+    return _rounded(detection.script_intervals(_script_runs(spark, sf_dir, segs)))
+
+
+def script_repeat_evidence(spark, sf_dir):
+    """Those of the repeated intervals that read as adverts, of pairs that do not share too much."""
+    segs = Scratch(spark, "lines").save(_timed_lines(spark, sf_dir), "segments")
+    return _rounded(detection.script_evidence(_script_runs(spark, sf_dir, segs), segs))
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("start", "end")})
+
+
 def overlap_text(spark, sf_dir):
     turns = _turns(spark, sf_dir)
     whole = turns.groupBy("id").agg(F.lit(10.0).alias("start"), (F.max("end") - 40).alias("end"))
@@ -369,6 +441,7 @@ QUERIES = {
         unprocessed_items, reprocess_items, replaced_segments, file_names, cleaned_feeds, overlap_text,
         region_classify, pair_exclusion, event_sessions, refined_cuts, detection_report, speech_snap, live_turns,
         word_times, hamming_neighbours, item_view, updated_items, full_feeds, item_by_id, parsed_fields, greedy_choice, turn_kinds,
+        walk_extend, standalone_seeds, bridged_by_text, script_repeat_intervals, script_repeat_evidence,
     )
 }
 
@@ -413,6 +486,74 @@ def _quoted(text: str) -> str:
     return f"'{doubled}'"
 
 
+def _strong_sql() -> str:
+    return f"({_phrases(lexicon.STRONG)} + len(regexp_extract_all(low, '{lexicon.DOTCOM}')))"
+
+
+def _reads_sql(least: int = 1, density: float = 1.5) -> str:
+    """Whether the column low reads as an advert."""
+    return f"({_strong_sql()} >= {least} AND (3 * {_strong_sql()} + {_phrases(lexicon.WEAK)}) / greatest(len(regexp_extract_all(low, '\\S+')), 1) * 100 >= {density})"
+
+
+_STRONG_LIST = "[" + ", ".join(map(_quoted, lexicon.STRONG)) + "]"
+#: The sentences of conversations, dressed and timed.
+_AIRED = f"""a1 AS (SELECT conv_id AS id, turn, unnest(string_split(coalesce(text, ''), '. ')) AS x, unnest(range(len(string_split(coalesce(text, ''), '. ')))) AS k FROM conversations),
+    a2 AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn, k, x) - 1 AS idx, x FROM a1 WHERE x <> ''),
+    a3 AS (SELECT id, idx, CASE WHEN (idx // 8 + id) % 3 = 0 THEN {_STRONG_LIST}[idx % {len(lexicon.STRONG)} + 1] || ' ' || x ELSE x END AS t FROM a2),
+    seg AS MATERIALIZED (SELECT *, {_strong_sql()} > 0 AS m FROM (SELECT id, idx, t, lower(t) AS low, sum(length(t)) OVER w / 16.0::DOUBLE AS e, sum(length(t)) OVER w / 16.0::DOUBLE - length(t) / 16.0::DOUBLE AS s
+        FROM a3 WINDOW w AS (PARTITION BY id ORDER BY idx ROWS UNBOUNDED PRECEDING)))"""
+#: Of all runs of segments that a window can hold, those that read as adverts.
+_ADS = f"""tops AS MATERIALIZED (SELECT id, max(e) AS top FROM seg GROUP BY id),
+    runs AS (SELECT a.id, a.idx AS i, b.idx AS j, lower(string_agg(x.t, ' ' ORDER BY x.idx)) AS low FROM seg a JOIN seg b ON b.id = a.id AND b.idx >= a.idx AND b.s < a.e + 75
+        JOIN seg x ON x.id = a.id AND x.idx BETWEEN a.idx AND b.idx GROUP BY ALL),
+    ads AS MATERIALIZED (SELECT id, i, j FROM runs WHERE {_reads_sql()})"""
+
+
+def _walk_sql(name: str, base: str, ahead: bool) -> str:
+    """Recursive steps of walks from ``base`` (id, k, edge, lim); ``name``_to has where each ends. Segments follow without gaps."""
+    if ahead:
+        window = "least(edge + 75, lim) AS hi, edge AS lo"
+        best = f"SELECT max(b.e) FROM seg b JOIN ads a ON a.id = b.id AND a.j = b.idx WHERE b.id = w.id AND b.m AND b.e > w.lo AND b.e <= w.hi AND a.i = (SELECT min(x.idx) FROM seg x WHERE x.id = w.id AND x.e > w.lo)"
+        end = "least"
+    else:
+        window = "edge AS hi, greatest(edge - 75, lim) AS lo"
+        best = f"SELECT min(b.s) FROM seg b JOIN ads a ON a.id = b.id AND a.i = b.idx WHERE b.id = w.id AND b.m AND b.s >= w.lo AND b.s < w.hi AND a.j = (SELECT max(x.idx) FROM seg x WHERE x.id = w.id AND x.s < w.hi)"
+        end = "greatest"
+    reads = """EXISTS (SELECT 1 FROM ads a WHERE a.id = w.id AND a.i = (SELECT min(x.idx) FROM seg x WHERE x.id = w.id AND x.e > w.lo AND x.s < w.hi)
+        AND a.j = (SELECT max(x.idx) FROM seg x WHERE x.id = w.id AND x.s < w.hi AND x.e > w.lo))"""
+    return f"""{name}(id, k, edge, lim, left_, n, over) AS (SELECT id, k, edge, lim, 300.0::DOUBLE, 0, false FROM ({base})
+        UNION ALL SELECT id, k, CASE WHEN goes THEN best ELSE edge END, lim, CASE WHEN goes THEN left_ - abs(best - edge) ELSE left_ END, n + 1, NOT goes FROM (
+            SELECT *, coalesce(hi - lo >= 3 AND reads AND abs(best - edge) > 1, false) AS goes FROM (
+            SELECT w.*, {reads} AS reads, ({best}) AS best FROM (SELECT *, {window} FROM {name} WHERE NOT over AND left_ > 0) w))),
+        {name}_to AS (SELECT id, k, {end}(arg_max(edge, n), any_value(lim)) AS dest FROM {name} GROUP BY id, k)"""
+
+
+def _bridge_sql(gap: float, free: float) -> str:
+    return f"""{_union(gap)}, rg AS (SELECT u.id, u.s, u.e, count(DISTINCT other)::INT AS n FROM u JOIN sp ON sp.id = u.id AND sp.e > u.s AND sp.s < u.e GROUP BY ALL),
+        gp AS (SELECT *, s - max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apart FROM rg),
+        pt AS (SELECT *, sum(CASE WHEN apart <= {free} THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM gp),
+        br AS MATERIALIZED (SELECT id, min(s) AS s, max(e) AS e, max(n)::INT AS n,
+            CASE WHEN max(CASE WHEN apart <= {free} THEN apart END) > 0.5 THEN 'audio_repeat+bridge' ELSE 'audio_repeat' END AS method FROM pt GROUP BY id, part)"""
+
+
+#: The lines of documents, dressed and timed, with the place of their first word; and common runs of words of two items.
+_TIMED = f"""l1 AS (SELECT source AS grp, doc_id AS id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS idx FROM documents),
+    l2 AS (SELECT grp, id, idx, CASE WHEN length(x) % 2 = 0 THEN {_STRONG_LIST}[length(x) % {len(lexicon.STRONG)} + 1] || ' ' || x ELSE x END AS text FROM l1 WHERE x <> ''),
+    lines AS MATERIALIZED (SELECT *, len(w) AS n, coalesce(sum(len(w)) OVER (PARTITION BY id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first,
+        sum(length(text)) OVER v / 16.0::DOUBLE AS e, sum(length(text)) OVER v / 16.0::DOUBLE - length(text) / 16.0::DOUBLE AS s
+        FROM (SELECT *, {_TOK} AS w FROM l2) WINDOW v AS (PARTITION BY id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+    wd AS MATERIALIZED (SELECT grp, id, first + unnest(range(n)) AS p, unnest(w) AS word, s + (e - s) * unnest(range(n)) / n AS at FROM lines),
+    tx AS (SELECT grp, id, list(word ORDER BY p) AS w FROM wd GROUP BY grp, id),
+    gr AS (SELECT grp, id, i - 1 AS i, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 8)) AS i FROM tx WHERE len(w) >= 10)),
+    hit AS (SELECT l.id AS id, r.id AS other, l.i AS i, l.i - r.i AS diag FROM gr l JOIN gr r ON l.grp = r.grp AND l.g = r.g AND l.id <> r.id),
+    isle AS (SELECT *, i - row_number() OVER (PARTITION BY id, other, diag ORDER BY i) AS isle FROM hit),
+    run AS (SELECT id, other, min(i) AS a, max(i) + 9 AS z FROM isle GROUP BY id, other, diag, isle HAVING count(*) + 9 >= 18),
+    timed AS (SELECT run.id, other, x.at AS s, y.at AS e FROM run JOIN wd x ON x.id = run.id AND x.p = run.a JOIN wd y ON y.id = run.id AND y.p = run.z),
+    t1 AS (SELECT *, max(e) OVER (PARTITION BY id, other ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM timed),
+    t2 AS (SELECT *, sum(CASE WHEN s > reach + 2 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id, other ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM t1),
+    iv AS MATERIALIZED (SELECT id, other, min(s) AS s, max(e) AS e FROM t2 GROUP BY id, other, part)"""
+
+
 SQL = {
     "group_progress": f"SELECT * EXCLUDE (started) FROM ({_PROGRESS})",
     "group_eta": f"""SELECT c_custkey, CASE WHEN processed > 0 THEN
@@ -543,4 +684,33 @@ SQL = {
               (SELECT t.e FROM t WHERE t.id = p.id AND abs(t.e - a) <= 2.5 ORDER BY abs(t.e - a), t.e DESC LIMIT 1) AS stop FROM p JOIN w USING (id))
         SELECT id, CASE WHEN a > 0.5 AND stop IS NOT NULL AND (stop > a OR NOT EXISTS (SELECT 1 FROM t WHERE t.id = c.id AND t.s < a AND t.e > stop)) THEN stop ELSE a END AS "start",
                CASE WHEN b < length - 0.5 AND onset IS NOT NULL AND (onset < b OR NOT EXISTS (SELECT 1 FROM t WHERE t.id = c.id AND t.s < onset AND t.e > b)) THEN onset ELSE b END AS "end" FROM c""",
+    "walk_extend": f"""WITH RECURSIVE {_AIRED}, {_ADS}, {_bridge_sql(2.0, 30.0)},
+        ln AS (SELECT id, greatest(max(e), any_value(top)) AS length FROM br LEFT JOIN tops USING (id) GROUP BY id),
+        rr AS MATERIALIZED (SELECT br.*, row_number() OVER o AS k, coalesce(lead(s) OVER o, length) AS nxt FROM br JOIN ln USING (id) WINDOW o AS (PARTITION BY id ORDER BY s, e)),
+        {_walk_sql("fw", "SELECT id, k, e AS edge, nxt AS lim FROM rr WHERE id IN (SELECT id FROM seg)", True)},
+        r2 AS MATERIALIZED (SELECT rr.*, coalesce(dest > e + 1, false) AS far, CASE WHEN dest > e + 1 THEN dest ELSE e END AS new_e FROM rr LEFT JOIN fw_to USING (id, k)),
+        r3 AS MATERIALIZED (SELECT *, coalesce(lag(new_e) OVER (PARTITION BY id ORDER BY k), 0) AS lim FROM r2),
+        {_walk_sql("bw", "SELECT id, k, s AS edge, lim FROM r3 WHERE id IN (SELECT id FROM seg)", False)}
+        SELECT id, CASE WHEN dest < s - 1 THEN dest ELSE s END AS "start", new_e AS "end", method || CASE WHEN far OR dest < s - 1 THEN '+extend' ELSE '' END AS method FROM r3 LEFT JOIN bw_to USING (id, k)""",
+    "standalone_seeds": f"""WITH RECURSIVE {_AIRED}, {_ADS}, {_bridge_sql(2.0, 30.0)},
+        s1 AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg WHERE m),
+        s2 AS (SELECT *, sum(CASE WHEN s > reach + 30 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM s1),
+        sd AS MATERIALIZED (SELECT id, k, min(s) AS s, max(e) AS e FROM s2 GROUP BY id, k),
+        {_walk_sql("bw", "SELECT id, k, s AS edge, 0.0::DOUBLE AS lim FROM sd", False)}, {_walk_sql("fw", "SELECT id, k, e AS edge, top AS lim FROM sd JOIN tops USING (id)", True)},
+        bl AS (SELECT DISTINCT id, b.dest AS s, f.dest AS e FROM bw_to b JOIN fw_to f USING (id, k) WHERE f.dest - b.dest >= 20),
+        tt AS (SELECT bl.id, bl.s, bl.e, lower(string_agg(t, ' ' ORDER BY idx)) AS low FROM bl JOIN seg ON seg.id = bl.id AND seg.e > bl.s AND seg.s < bl.e GROUP BY ALL)
+        SELECT id, s AS "start", e AS "end" FROM tt WHERE {_reads_sql(2, 2.0)}
+        AND coalesce((SELECT sum(least(tt.e, br.e) - greatest(tt.s, br.s)) FROM br WHERE br.id = tt.id AND br.s < tt.e AND br.e > tt.s), 0) <= (e - s) * 0.5""",
+    "bridged_by_text": f"""WITH {_AIRED}, {_union(0.0)}, r AS (SELECT u.id, u.s, u.e, count(DISTINCT other)::INT AS n FROM u JOIN sp ON sp.id = u.id AND sp.e > u.s AND sp.s < u.e GROUP BY ALL),
+        g AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+        d AS (SELECT g.id, g.s, g.e, n, g.s - reach AS apart, lower(string_agg(t, ' ' ORDER BY idx)) AS low FROM g LEFT JOIN seg ON seg.id = g.id AND seg.e > reach AND seg.s < g.s GROUP BY ALL),
+        c AS (SELECT *, coalesce(apart <= 5 OR apart <= 60 AND {_reads_sql()}, false) AS closes FROM d),
+        p AS (SELECT *, sum((NOT closes)::INT) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM c)
+        SELECT id, min(s) AS "start", max(e) AS "end", max(n)::INT AS n_matches,
+        CASE WHEN max(CASE WHEN closes THEN apart END) > 0.5 THEN 'audio_repeat+bridge' ELSE 'audio_repeat' END AS method FROM p GROUP BY id, part""",
+    "script_repeat_intervals": f"""WITH {_TIMED} SELECT id, other, round(s, 6) AS "start", round(e, 6) AS "end" FROM iv""",
+    "script_repeat_evidence": f"""WITH {_TIMED}, la AS (SELECT id, arg_max(wd."at", p) AS last FROM wd GROUP BY id),
+        fair AS (SELECT id, other FROM iv JOIN la USING (id) JOIN la lb ON lb.id = other GROUP BY id, other HAVING sum(e - s) <= least(any_value(la.last), any_value(lb.last)) * 0.35::DOUBLE),
+        tt AS (SELECT iv.id, other, iv.s, iv.e, lower(string_agg(text, ' ' ORDER BY idx)) AS low FROM iv JOIN fair USING (id, other) JOIN lines x ON x.id = iv.id AND x.e > iv.s AND x.s < iv.e WHERE iv.e - iv.s <= 300 GROUP BY ALL)
+        SELECT id, other, round(s, 6) AS "start", round(e, 6) AS "end" FROM tt WHERE {_reads_sql()}""",
 }
