@@ -51,5 +51,11 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

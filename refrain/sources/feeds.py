@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +33,20 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
     Audio is the first enclosure of an audio type, else the first link of one; entries without audio are dropped.
     """
-    xml = spark.read.format("xml")
-    items = xml.option("rowTag", "item").schema(ITEM).load(path)
-    entries = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path)
+    return _entries(*(spark.read.format("xml").option("rowTag", tag).schema(kind).load(path) for tag, kind in (("item", ITEM), ("entry", ENTRY))))
+
+
+def stream_feed(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The same as a stream: files of feeds that come into the folder, ``most`` at a time."""
+
+    def source(tag: str, kind: str) -> DataFrame:
+        s = spark.readStream.format("xml").option("rowTag", tag).schema(kind)
+        return (s.option("maxFilesPerTrigger", most) if most else s).load(path)
+
+    return _entries(source("item", ITEM), source("entry", ENTRY))
+
+
+def _entries(items: DataFrame, entries: DataFrame) -> DataFrame:
     none = F.array().cast(LINKS)
 
     def sounds(x):
@@ -80,14 +94,23 @@ def read_channel(spark: SparkSession, path: str) -> DataFrame:
     return both.select("file", or_default(F.col("title"), "Unknown Podcast").alias("title"), *texts, "n_entries")
 
 
+def _transcripts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """file, idx, start, end, text: seconds from milliseconds; blank segments are dropped."""
-    raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
-    seg = raw.select("file", F.posexplode("transcription").alias("idx", "s"))
+    """file, idx, start, end, text: seconds from milliseconds; blank segments are dropped. ``transcript_files`` has the files without any."""
+    seg = _transcripts(spark, path).select("file", F.posexplode("transcription").alias("idx", "s"))
     out = seg.select("file", "idx", (F.col("s.offsets.from") / 1000.0).alias("start"), (F.col("s.offsets.to") / 1000.0).alias("end"), F.trim("s.text").alias("text"))
     return out.where("text <> ''")
 
 
+def transcript_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_segments: every file of a transcript, 0 where nothing is said in it. An item without a row here has no transcript."""
+    said = F.filter("transcription", lambda s: F.trim(s["text"]) != "")
+    return _transcripts(spark, path).groupBy("file").agg(F.sum(F.size(F.coalesce(said, F.array()))).alias("n_segments"))
+
+
 def _escaped(c: str):
     text = F.col(c).cast("string")
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -148,3 +171,15 @@ def feeds(groups: DataFrame, items: DataFrame, dated: bool = False) -> DataFrame
     body = F.concat(F.coalesce("dated", F.lit("")), F.coalesce("undated", F.lit("")))
     joined = groups.select("group", head.alias("head")).join(listed, "group", "left")
     return joined.select("group", F.concat("head", body, F.lit("</channel></rss>")).alias("xml"))
+
+
+def _bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield pd.DataFrame({"value": ["<feeds>"]})
+    for b in batches:
+        yield pd.DataFrame({"value": b["xml"]})
+    yield pd.DataFrame({"value": ["</feeds>"]})
+
+
+def write_feeds(made: DataFrame, path: str) -> None:
+    """Write feeds (xml) to the folder: a file for each partition, with one root around its feeds, as readers of XML ask for."""
+    made.select("xml").mapInPandas(_bundled, "value string").write.mode("overwrite").text(path)

@@ -36,3 +36,31 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], lat
         fresh.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], late: Column | None = None, broken: Column | None = None, forget: tuple[str, str] | None = None, **trigger):
+    """Start a query that appends the rows of ``stream`` whose keys no earlier row had to the Parquet table ``target``.
+
+    What has been seen is keyed state of the query (RocksDB, by key, kept with the checkpoint): no batch reads the target, and a
+    restart goes on where it stopped. The sink's own log makes a batch that is run again count once. Readers of ``target``
+    find the rows below broken=false, and those that match ``broken`` below broken=true. late: as in ``ingest``.
+
+    forget: a time column and a delay. Keys are forgotten once the watermark is that far behind, which bounds the state; rows that
+    come later than that are dropped. Without it keys are known for good, also those of rows without a time.
+    """
+    spark = stream.sparkSession
+    rows = stream.withColumn("broken", F.coalesce(broken, F.lit(False)) if broken is not None else F.lit(False))
+    if late is not None:
+        rows = rows.where(~F.coalesce(late, F.lit(False)))
+    if forget is None:
+        fresh = rows.dropDuplicates([*keys, "broken"])
+    else:
+        fresh = rows.withWatermark(*forget).dropDuplicatesWithinWatermark([*keys, "broken"])
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = fresh.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).partitionBy("broken").outputMode("append")
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
