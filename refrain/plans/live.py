@@ -51,7 +51,7 @@ def ingested_once(spark, sf_dir):
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(scratch.path("source"))
     late = F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp")
     ingest.ingest_once(stream, scratch.path("target"), scratch.path("checkpoint"), ["l_orderkey", "l_linenumber"], late=late).awaitTermination()
-    return spark.read.parquet(scratch.path("target")).where("not broken").select("l_orderkey", "l_linenumber")
+    return ingest.added(spark, scratch.path("target")).select("l_orderkey", "l_linenumber")
 
 
 def streamed_feed(spark, sf_dir):
@@ -60,7 +60,7 @@ def streamed_feed(spark, sf_dir):
     feeds.write_feeds(registry.full_feeds(spark, sf_dir), scratch.path("feeds"))
     stream = feeds.stream_feed(spark, scratch.path("feeds"), 4)
     ingest.ingest_once(stream, scratch.path("target"), scratch.path("checkpoint"), ["guid"]).awaitTermination()
-    got = spark.read.parquet(scratch.path("target")).where("not broken")
+    got = ingest.added(spark, scratch.path("target"))
     return got.select("guid", "title", "description", F.unix_seconds(F.col("pub_date").cast("timestamp")).alias("at"), "audio_url", F.col("duration_s").cast("long").alias("seconds"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,8 +42,8 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str]
     """Start a query that appends the rows of ``stream`` whose keys no earlier row had to the Parquet table ``target``.
 
     What has been seen is keyed state of the query (RocksDB, by key, kept with the checkpoint): no batch reads the target, and a
-    restart goes on where it stopped. The sink's own log makes a batch that is run again count once. Readers of ``target``
-    find the rows below broken=false, and those that match ``broken`` below broken=true. late: as in ``ingest``.
+    restart goes on where it stopped. The sink's own log makes a batch that is run again count once. Rows that match
+    ``broken`` are put aside; ``added`` reads the others. late: as in ``ingest``.
 
     forget: a time column and a delay. Keys are forgotten once the watermark is that far behind, which bounds the state; rows that
     come later than that are dropped. Without it keys are known for good, also those of rows without a time.
@@ -64,3 +64,8 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str]
         return writer.trigger(**(trigger or {"availableNow": True})).start()
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def added(spark: SparkSession, target: str, broken: bool = False) -> DataFrame:
+    """The rows that ``ingest_once`` has added so far, or those it has put aside."""
+    return spark.read.parquet(target).where(F.col("broken").cast("boolean") == broken).drop("broken")
