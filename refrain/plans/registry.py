@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions import lexicon, scalar
 from refrain.operators import catalog, detection, edges, intervals, sequences
-from refrain.session import Scratch, table
+from refrain.session import Scratch, spread, table
 from refrain.sources import feeds
 
 AS_OF = "1998-08-02 00:00:00"
@@ -120,17 +120,26 @@ def repeated_share(spark, sf_dir):
     return sequences.repeated_share(_docs(spark, sf_dir)).select("id", F.round("share", 6).alias("share"))
 
 
+def _hash(w):
+    return F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _streams(spark, sf_dir):
+    """id, fp: a hash per word of the documents, the hash stream of an item."""
+    return spread(_docs(spark, sf_dir)).select("id", F.transform(scalar.tokens(F.col("text")), _hash).alias("fp"))
+
+
 def _fingerprints(spark, sf_dir):
-    """A hash per word of the documents: the hash stream of an item."""
+    """The same, a row for each hash."""
     d = _docs(spark, sf_dir)
     words = d.select("grp", "id", F.posexplode(scalar.tokens(F.col("text"))).alias("pos", "w"))
-    h = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long")
-    return words.select("grp", "id", "pos", h.alias("h"))
+    return words.select("grp", "id", "pos", _hash(F.col("w")).alias("h"))
 
 
 def _quads(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("grp", "id", F.posexplode(scalar.shingles(scalar.tokens(F.col("text")), 4)).alias("pos", "w"))
-    return d.select("grp", "id", "pos", F.xxhash64("w").alias("h"))
+    """grp, id, pos, h: a hash for each run of four words of the documents."""
+    keys = sequences.shingle_keys(scalar.tokens(F.col("text")), 4)
+    return spread(_docs(spark, sf_dir)).select("grp", "id", F.posexplode(F.transform(keys, lambda k: k["k1"])).alias("pos", "h"))
 
 
 def offset_clusters(spark, sf_dir):
@@ -139,7 +148,7 @@ def offset_clusters(spark, sf_dir):
 
 def error_runs(spark, sf_dir):
     offs = sequences.offsets(sequences.votes(_quads(spark, sf_dir)))
-    return sequences.error_runs(offs, _fingerprints(spark, sf_dir))
+    return sequences.error_runs(offs, _streams(spark, sf_dir))
 
 
 def _lines(spark, sf_dir):
