@@ -169,9 +169,17 @@ def script_evidence(runs: DataFrame, segments: DataFrame, p: Params = Params())
 
 
 def detect(evidence: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
-    """The plain form: what is found, judged and bridged, without work on the edges."""
-    found = classified(regions(without_compilations(evidence, lengths, p)), segments, p)
-    return emitted(clamped(file_tails(bridged(found, p.bridge_free, p.bridge_max, segments), segments, lengths, p), lengths), segments, p)
+    """The plain form: what is found, judged and bridged, without work on the edges.
+
+    Evidence, judged regions and the cuts' bounds are written tables, as the steps behind them read them several times.
+    """
+    scratch = Scratch(evidence.sparkSession, "detect")
+    evidence = scratch.save(evidence.select("id", "other", "start", "end"), "evidence")
+    found = scratch.save(classified(regions(without_compilations(evidence, lengths, p)), segments, p), "found")
+    ends = file_tails(scratch.save(bridged(found, p.bridge_free, p.bridge_max, segments), "bridged"), segments, lengths, p)
+    ends = scratch.save(clamped(ends, lengths), "ends")
+    scratch.drop("evidence", "found", "bridged")
+    return emitted(ends, segments, p)
 
 
 def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, lengths: DataFrame, groups: DataFrame, p: Params = Params()) -> DataFrame:

@@ -171,7 +171,9 @@ def _heard(spark, sf_dir):
 
 def detect_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash streams matched inside groups, judged, bridged and cut, for all items at once."""
-    return detection.detect(_heard(spark, sf_dir), _lines(spark, sf_dir), _lengths(spark, sf_dir))
+    scratch = Scratch(spark, "cuts")
+    segs, lengths = scratch.save(_lines(spark, sf_dir), "segments"), scratch.save(_lengths(spark, sf_dir), "lengths")
+    return detection.detect(_heard(spark, sf_dir), segs, lengths)
 
 
 def _both_ways(runs):
