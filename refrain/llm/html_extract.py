@@ -10,7 +10,8 @@ what is worth more than nothing. What never is text (scripts, styles, forms, mar
 The trees are fitted once on generated pages (PAGES of them, fixed seed, bounded), whose labels are known.
 
 Defined cases: null, empty and textless pages give an empty text; unclosed and stray tags are tolerated (text-only
-elements as scripts end as HTML has it); bare text goes with the body, also where the page leaves the body's tags out;
+elements as scripts end as HTML has it); names of states (has-sidebar, comments-open) and names on html and body tell
+nothing of an element; a header inside an article and a list of links alone are taken for boilerplate; bare text goes with the body, also where the page leaves the body's tags out;
 repeated rows come back each; empty tables give none; extra columns are ignored.
 """
 
@@ -54,6 +55,10 @@ TOKENS = (
 _TOKEN = {w: i for i, ws in enumerate(TOKENS) for w in ws.split()}
 _KIND = {t: i for i, ts in enumerate(KINDS) for t in ts.split()}
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+# Words that make a name one of a state (has-sidebar, comments-open), which says nothing about what the element is.
+_STATE = re.compile(
+    r"(?:^|[-_])(?:has|with|without|no|not|is|show|hide)[-_]|[-_](?:open|opened|closed|enabled|disabled|on|off|active|inactive|visible|hidden|shown)$", re.I
+)
 
 PAGES = 500
 TREES, DEPTH, BINS, RATE = 50, 3, 24, 0.3
@@ -94,7 +99,10 @@ class Dom(HTMLParser):
             self._reveal(k - 1)
 
     def _push(self, tag, attrs) -> None:
-        words = {w.lower() for k, v in attrs if k in ("class", "id", "role", "aria-label", "itemprop") for w in _WORDS.findall(v or "")}
+        # What stands on html and body names the page, not a part of it.
+        named = () if tag in ("html", "body") else attrs
+        names = (n for k, v in named if k in ("class", "id", "role", "aria-label", "itemprop") for n in (v or "").split() if not _STATE.search(n))
+        words = {w.lower() for n in names for w in _WORDS.findall(n)}
         self.parent.append(self.open[-1])
         self.tag.append(tag)
         self.tokens.append(frozenset(_TOKEN[w] for w in words if w in _TOKEN))

@@ -491,10 +491,29 @@ def test_html_words_stay_whole_and_pages_may_be_deep(spark):
     pages = [f"<html><body>{article}</body></html>", deep, long]
     got = list(html_extract.main_texts(pages, html_extract.model()))
     assert got[0] == text
-    assert got[1] in ("", "Words at the bottom, and some more of them.")
+    assert got[1] == "Words at the bottom, and some more of them."
     assert got[2] == " ".join(["Some words of a long page, which go on."] * 20_000)
 
 
+def test_html_wrappers_that_name_a_state():
+    """Whole articles under wrappers that name what the page has, not what the wrapper is; boilerplate beside them goes."""
+    said = ["The first paragraph says a few words, and a few more.", "A second one follows it, with other words.", "The third is the last of them, as it seems."]
+    for n in (1, 2, 3):
+        inner = "<h1>A title of some words</h1>" + "".join(f"<p>{x}</p>" for x in said[:n])
+        text = " ".join(["A title of some words", *said[:n]])
+        side = '<aside class="sidebar"><h3>More</h3><p>Other things to read.</p></aside>'
+        menu = '<nav class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul></nav>'
+        pages = [
+            f'<html><body>{menu}<article class="post comments-open">{inner}</article>{side}</body></html>',
+            f'<html><body class="comments-open">{menu}<article class="post">{inner}</article>{side}</body></html>',
+            f'<html><body class="menu sidebar">{menu}<article>{inner}</article>{side}</body></html>',
+            f'<html><body>{menu}<article class="post has-sidebar">{inner}</article>{side}</body></html>',
+            f'<html><body>{menu}<article class="story social-share-enabled">{inner}</article>{side}</body></html>',
+            f'<html class="no-ads"><body class="menu-open">{menu}<main class="content with-comments">{inner}</main>{side}</body></html>',
+        ]
+        assert list(html_extract.main_texts(pages, html_extract.model())) == [text] * len(pages)
+
+
 def test_sentencepiece_unigram(tmp_path):
     """Scores that are weights: the cheapest path is the library's. The model is put together by hand, not trained."""
     import sentencepiece
