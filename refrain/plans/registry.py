@@ -97,6 +97,15 @@ def splice_positions(spark, sf_dir):
     return intervals.splices(u, ["id"]).select("id", "start", "end", "splice")
 
 
+def zipped_splices(spark, sf_dir):
+    """A page's two lists, an item's segments and where their cuts lie, zipped by place."""
+    lists = splice_positions(spark, sf_dir).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("segment"), F.array_sort(F.collect_list(F.struct("start", "splice"))).alias("cut")
+    )
+    each = lists.select("id", F.inline(F.arrays_zip("segment", "cut")))
+    return each.select("id", "segment.start", "segment.end", "cut.splice")
+
+
 def region_sources(spark, sf_dir):
     return detection.regions(_spans(spark, sf_dir)).select("id", "start", "end", "n_matches")
 
@@ -452,7 +461,7 @@ QUERIES = {
         unprocessed_items, reprocess_items, replaced_segments, file_names, cleaned_feeds, overlap_text,
         region_classify, pair_exclusion, event_sessions, refined_cuts, detection_report, speech_snap, live_turns,
         word_times, hamming_neighbours, item_view, updated_items, full_feeds, item_by_id, parsed_fields, greedy_choice, turn_kinds,
-        walk_extend, standalone_seeds, bridged_by_text, script_repeat_intervals, script_repeat_evidence,
+        zipped_splices, walk_extend, standalone_seeds, bridged_by_text, script_repeat_intervals, script_repeat_evidence,
     )
 }
 
@@ -725,3 +734,4 @@ SQL = {
         tt AS (SELECT iv.id, other, iv.s, iv.e, lower(string_agg(text, ' ' ORDER BY idx)) AS low FROM iv JOIN fair USING (id, other) JOIN lines x ON x.id = iv.id AND x.e > iv.s AND x.s < iv.e WHERE iv.e - iv.s <= 300 GROUP BY ALL)
         SELECT id, other, round(s, 6) AS "start", round(e, 6) AS "end" FROM tt WHERE {_reads_sql()}""",
 }
+SQL["zipped_splices"] = SQL["splice_positions"]
