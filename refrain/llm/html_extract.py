@@ -66,6 +66,13 @@ TREES, DEPTH, BINS, RATE = 50, 3, 24, 0.3
 ELEMENTS = 1 << 12
 
 
+@lru_cache(maxsize=1 << 14)
+def _meanings(value: str) -> frozenset[int]:
+    """Which of TOKENS an attribute's names stand for; names of states stand for none."""
+    words = (w.lower() for n in value.split() if not _STATE.search(n) for w in _WORDS.findall(n))
+    return frozenset(_TOKEN[w] for w in words if w in _TOKEN)
+
+
 class Dom(HTMLParser):
     """The elements in page order: parent, tag, attribute words; and the text pieces with their element.
 
@@ -100,12 +107,10 @@ class Dom(HTMLParser):
 
     def _push(self, tag, attrs) -> None:
         # What stands on html and body names the page, not a part of it.
-        named = () if tag in ("html", "body") else attrs
-        names = (n for k, v in named if k in ("class", "id", "role", "aria-label", "itemprop") for n in (v or "").split() if not _STATE.search(n))
-        words = {w.lower() for n in names for w in _WORDS.findall(n)}
+        named = [v for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemprop")] if attrs and tag not in ("html", "body") else ()
         self.parent.append(self.open[-1])
         self.tag.append(tag)
-        self.tokens.append(frozenset(_TOKEN[w] for w in words if w in _TOKEN))
+        self.tokens.append(frozenset().union(*map(_meanings, named)))
         self.label.append(any(k == "data-main" for k, _ in attrs))
         self.open.append(len(self.tag) - 1)
 
