@@ -570,7 +570,7 @@ _TIMED = f"""l1 AS (SELECT source AS grp, doc_id AS id, unnest(string_split(text
     run AS (SELECT id, other, min(i) AS a, max(i) + 9 AS z FROM isle GROUP BY id, other, diag, isle HAVING count(*) + 9 >= 18),
     timed AS (SELECT run.id, other, x.at AS s, y.at AS e FROM run JOIN wd x ON x.id = run.id AND x.p = run.a JOIN wd y ON y.id = run.id AND y.p = run.z),
     t1 AS (SELECT *, max(e) OVER (PARTITION BY id, other ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM timed),
-    t2 AS (SELECT *, sum(CASE WHEN s > reach + 2 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id, other ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM t1),
+    t2 AS (SELECT *, sum(CASE WHEN s > reach + 2 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id, other ORDER BY s, e, reach NULLS FIRST ROWS UNBOUNDED PRECEDING) AS part FROM t1),
     iv AS MATERIALIZED (SELECT id, other, min(s) AS s, max(e) AS e FROM t2 GROUP BY id, other, part)"""
 
 
