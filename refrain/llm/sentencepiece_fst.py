@@ -1,26 +1,32 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (white space to its mark, a mark in front),
-the pieces (a trie whose arcs end in piece ids) and byte fallback (a character that is no piece goes to its
-bytes). A text is composed with them, position by position, and the cheapest path in the tropical semiring
-gives the ids. For unigram models an arc weighs the negative score. For BPE models scores are merge ranks,
-not weights, so a pair acceptor is composed as well: it lets a piece follow another only if merging their
-joined text gives back just these two. One path is left then, the one that merging makes.
+Three machines are compiled from a model file: the normaliser (rules as a trie: the model's character map, white
+space to its mark; states for the start, where a mark may come in front, and for white space that is squeezed), the
+pieces (an automaton whose arcs are piece ids) and byte fallback (a character that is no piece goes to its bytes). A
+text is composed with them, place by place, and the shortest path in the tropical semiring gives the ids. For
+unigram models an arc weighs the negative score. For BPE models scores are merge ranks, not weights, so a pair
+acceptor is composed as well: it lets a piece follow another only if merging their joined text gives back just
+these two, and weighs all else as infinite. Merging is a function of a text, so one path at most is finite up to
+any place, and the shortest path is the one that merging makes.
 
 Where two neighbouring characters stand together in no piece, no arc crosses, so a text falls apart there and
 each part is a problem of its own; common parts are remembered, up to a bound. White space is such a place,
-and in scripts without spaces most places are.
+and in scripts without spaces most places are. A normaliser whose only rule is that of white space, without
+squeezing, has one state behind the start, so such parts are composed with it as they stand in the text.
 
-Models with a character map of their own are refused. Defined cases: null and empty texts have no ids;
-repeated rows come back each; empty tables give none; extra columns are ignored.
+Models with marks as suffixes, unescaped white space or symbols of a user's own are refused. Defined cases: null and
+empty texts have no ids; repeated rows come back each; empty tables give none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,7 +37,7 @@ from refrain.llm.token_counts import vocabulary_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words remembered by a worker.
-WORDS = 200_000
+WORDS = 400_000
 #: Characters of the longest word remembered.
 LONGEST = 64
 #: Pairs of pieces whose acceptance is remembered by a worker.
@@ -40,6 +46,85 @@ PAIRS = 1_000_000
 BATCH_IDS = 1 << 20
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: The same before white space has become marks.
+_RAW = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
+INFINITE = float("inf")
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double-array trie over bytes, then the texts that its values point at."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    rules, labels = {}, np.arange(1, 256)
+
+    def offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    open_ = [(b"", 0)]
+    while open_:
+        key, at = open_.pop()
+        base = at ^ offset(int(units[at]))
+        if key and units[at] >> 8 & 1:
+            value = int(units[base]) & 0x7FFFFFFF
+            rules[key.decode()] = texts[value : texts.index(0, value)].decode()
+        to = base ^ labels
+        inside = to < len(units)
+        for c in labels[inside][(units[to[inside]] & 0x800000FF) == labels[inside]].tolist():
+            open_.append((key + bytes([c]), base ^ c))
+    return rules
+
+
+class Normaliser:
+    """The compiled rules of a model's normaliser; longest rules first, other characters as they are."""
+
+    def __init__(self, spec):
+        own = character_map(spec.precompiled_charsmap)
+        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        #: Is what a part goes to the same wherever it stands behind the start?
+        self.local = not own and not self.squeeze
+        self.rules = _trie(own)
+
+    def _read(self, text: str) -> Iterator[str]:
+        """Outputs of rules and characters; a machine without states and rules reads a text as one."""
+        if self.local:
+            yield text
+            return
+        at = 0
+        while at < len(text):
+            node, k, end, out = self.rules, at, at + 1, text[at]
+            while k < len(text) and (node := node.get(text[k])) is not None:
+                k += 1
+                if None in node:
+                    end, out = k, node[None]
+            yield out
+            at = end
+
+    def run(self, text: str, begun: bool = False) -> str:
+        """What the machine puts out from its start, or from the state behind it."""
+        out, space = [], self.squeeze
+        for s in self._read(text):
+            if space:
+                s = s.lstrip(" ")
+            if s or not self.squeeze:
+                if self.prefix and not begun:
+                    out.append(MARK)
+                begun = True
+                out.append(s.replace(" ", MARK))
+                space = self.squeeze and s.endswith(" ")
+        made = "".join(out)
+        return made.rstrip(MARK) if self.squeeze else made
+
+
+def _trie(ends: dict) -> dict:
+    root: dict = {}
+    for key, value in ends.items():
+        node = root
+        for c in key:
+            node = node.setdefault(c, {})
+        node[None] = value
+    return root
 
 
 class Transducer:
@@ -51,139 +136,80 @@ class Transducer:
         m = pb.ModelProto()
         with open(path, "rb") as f:
             m.ParseFromString(f.read())
-        norm = m.normalizer_spec
-        if norm.precompiled_charsmap or m.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("models with a character map or marks as suffixes are not supported")
-        self.prefix, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         kind = pb.ModelProto.SentencePiece
+        own = any(p.type == kind.USER_DEFINED for p in m.pieces)
+        if m.trainer_spec.treat_whitespace_as_suffix or not m.normalizer_spec.escape_whitespaces or own:
+            raise ValueError("models with marks as suffixes, unescaped white space or symbols of their own are not supported")
+        self.normaliser = Normaliser(m.normalizer_spec)
+        self.prefix = self.normaliser.prefix
         self.text = [p.piece for p in m.pieces]
         self.byte = {i: int(p.piece[1:-1], 16) for i, p in enumerate(m.pieces) if p.type == kind.BYTE}
         self.of_byte = {b: i for i, b in self.byte.items()}
         self.hidden = {i for i, p in enumerate(m.pieces) if p.type in (kind.CONTROL,)}
         self.unknown = next((i for i, p in enumerate(m.pieces) if p.type == kind.UNKNOWN), 0)
         self.unknown_text = m.trainer_spec.unk_surface
-        usable = (kind.NORMAL, kind.USER_DEFINED)
-        self.pieces = {p.piece: i for i, p in enumerate(m.pieces) if p.type in usable}
-        self.score = [p.score for p in m.pieces]
+        self.pieces = {p.piece: i for i, p in enumerate(m.pieces) if p.type == kind.NORMAL}
+        self.weight = {p: -m.pieces[i].score for p, i in self.pieces.items()}
         self.bpe = m.trainer_spec.model_type == pb.TrainerSpec.BPE
-        self.longest = max(map(len, self.pieces), default=1)
         self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.by_words = not any(pair[0] != MARK and pair[1] == MARK for pair in self.joined)
-        self.low = min(self.score, default=0.0) - 10.0
+        #: What a character that is no piece weighs: ten more than any piece.
+        self.heavy = max((-p.score for p in m.pieces), default=0.0) + 10.0
         self.follows = lru_cache(maxsize=PAIRS)(self._follows)
         self.words: dict[str, tuple[int, ...]] = {}
-        self.trie = self._trie()
-        self.path = self.accepted if self.bpe else self.cheapest
-        #: A piece's longest proper prefix among the pieces; where there is none, its first character is next.
-        self.shorter = {p: q for p in self.pieces if (q := next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.pieces), None))}
-
-    def _trie(self) -> dict:
-        root: dict = {}
-        for piece, i in self.pieces.items():
-            node = root
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[None] = i
-        return root
-
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (MARK if self.prefix else "") + text.replace(" ", MARK)
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.machine = ahocorasick.Automaton()
+        for p, i in self.pieces.items():
+            self.machine.add_word(p, (p, i, self.weight[p]))
+        self.machine.make_automaton()
 
     def _merged(self, text: str) -> list[str]:
         """Merging pairs, best score first and leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            pairs = [(-self.score[i], k) for k in range(len(parts) - 1) if (i := self.pieces.get(parts[k] + parts[k + 1])) is not None]
-            if not pairs:
-                break
-            k = min(pairs)[1]
+        parts, weight = list(text), self.weight.get
+        pairs = [weight(a + b, INFINITE) for a, b in pairwise(parts)]
+        while pairs and (least := min(pairs)) < INFINITE:
+            k = pairs.index(least)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = weight(parts[k - 1] + parts[k], INFINITE)
+            if k < len(pairs):
+                pairs[k] = weight(parts[k] + parts[k + 1], INFINITE)
         return parts
 
     def _follows(self, a: str, b: str) -> bool:
-        return self._merged(a + b) == [a, b]
-
-    def _arcs(self, text: str, at: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
-        """(end, weight, ids) of what the pieces and byte fallback read from ``at``."""
-        node, k, single = self.trie, at, False
-        while k < len(text) and (node := node.get(text[k])) is not None:
-            k += 1
-            if None in node:
-                single |= k == at + 1
-                i = node[None]
-                yield k, -self.score[i], (i,)
-        if not single:
-            yield at + 1, -self.low, self._bytes(text[at])
+        """Does the acceptor let b stand behind a, or at the start if a is empty?"""
+        return self._merged(a + b) == ([a, b] if a else [b])
+
+    def _arcs(self, text: str) -> Iterable[tuple[int, tuple[str, int | None, float]]]:
+        """(last place, (what is read, piece, weight)) of the arcs of pieces and byte fallback (no piece), by place, longest first."""
+        arcs = self.machine.iter(text)
+        if self.single.issuperset(text):
+            return arcs
+        return sorted([*arcs, *((k, (c, None, self.heavy)) for k, c in enumerate(text) if c not in self.single)], key=itemgetter(0))
 
     def _bytes(self, char: str) -> tuple[int, ...]:
         raw = char.encode("utf-8", "surrogatepass")
         return tuple(self.of_byte[b] for b in raw) if self.of_byte else (self.unknown,)
 
-    def cheapest(self, text: str) -> tuple[int, ...]:
-        """Unigram: the cheapest path over places."""
-        states: list[tuple[float, int, tuple[int, ...]] | None] = [(0.0, -1, ())] + [None] * len(text)
-        for at in range(len(text)):
-            if states[at] is None:
+    def shortest(self, text: str) -> tuple[int, ...]:
+        """The ids of the shortest path over places, all arcs relaxed."""
+        n, bpe, follows = len(text), self.bpe, self.follows
+        cost, last, took = [0.0] + [INFINITE] * n, [""] * (n + 1), [None] * (n + 1)
+        for end, (read, piece, weight) in self._arcs(text):
+            end += 1
+            # A place has one accepted path at most, so once it is reached all other arcs to it weigh infinitely much.
+            if bpe and cost[end] < INFINITE:
                 continue
-            for end, weight, ids in self._arcs(text, at):
-                cost = states[at][0] + weight
-                if states[end] is None or cost < states[end][0]:
-                    states[end] = (cost, at, ids)
-        at = len(text)
-        out: list[tuple[int, ...]] = []
+            at = end - len(read)
+            total = cost[at] + weight
+            if total < cost[end] and (not bpe or follows(last[at], read)):
+                cost[end], last[end], took[end] = total, read, piece
+        out, at = [], n
         while at:
-            _, at, ids = states[at]
-            out.append(ids)
-        return tuple(i for ids in reversed(out) for i in ids)
-
-    def _longest_at(self, text: str, at: int) -> str:
-        """The longest arc from a place."""
-        node, end = self.trie, at + 1
-        for k in range(at, len(text)):
-            node = node.get(text[k])
-            if node is None:
-                break
-            if None in node:
-                end = k + 1
-        return text[at:end]
-
-    def accepted(self, text: str) -> tuple[int, ...]:
-        """BPE: the one path that the pair acceptor leaves, composed as the search needs it, longest arcs first.
-
-        Merging is a function, so one piece at most ends an accepted path at a place: a place whose arcs all
-        fail is dead whatever leads to it.
-        """
-        follows, shorter = self.follows, self.shorter
-        took: list[str] = []
-        dead: set[int] = set()
-        at, last, n = 0, "", len(text)
-        piece = self._longest_at(text, 0)
-        while True:
-            while piece and (at + len(piece) in dead or (last and not follows(last, piece))):
-                piece = shorter.get(piece) or piece[:-1] and piece[0]
-            if piece:
-                took.append(piece)
-                at, last = at + len(piece), piece
-                if at >= n:
-                    break
-                piece = self._longest_at(text, at)
-            else:
-                dead.add(at)
-                piece = took.pop()
-                at, last = at - len(piece), took[-1] if took else ""
-                piece = shorter.get(piece) or piece[:-1] and piece[0]
-        ids: list[int] = []
-        for p in took:
-            i = self.pieces.get(p)
-            if i is None:
-                ids += self._bytes(p)
-            else:
-                ids.append(i)
-        return tuple(ids)
+            out += [took[at]] if took[at] is not None else self._bytes(last[at])[::-1]
+            at -= len(last[at])
+        return tuple(reversed(out))
 
     def _known(self, part: str, path) -> tuple[int, ...]:
         """The ids of a part, remembered if it is short."""
@@ -198,18 +224,26 @@ class Transducer:
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Cut where no piece joins two neighbours."""
+        if self.normaliser.local:
+            word = self.normaliser.run(word, begun=True)
         joined, out, start = self.joined, [], 0
         for k in range(1, len(word)):
             if word[k - 1 : k + 1] not in joined:
-                out += self._known(word[start:k], self.path)
+                out += self._known(word[start:k], self.shortest)
                 start = k
-        return tuple(out) + self._known(word[start:], self.path) if start else self.path(word)
+        return tuple(out) + self._known(word[start:], self.shortest) if start else self.shortest(word)
 
     def encode(self, text: str) -> list[int]:
-        text = self.normalise(text)
+        if not text:
+            return []
+        if self.normaliser.local:
+            # Behind the start, white space goes to a mark as well.
+            text, units = " " * self.prefix + text, _RAW
+        else:
+            text, units = self.normaliser.run(text), _WORD
         out: list[int] = []
         known = self.words.get
-        for w in _WORD.findall(text) if self.by_words else [text] * bool(text):
+        for w in units.findall(text) if self.by_words else [text] * bool(text):
             out += known(w) or self._known(w, self._word)
         return out
 

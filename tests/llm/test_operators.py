@@ -534,9 +534,43 @@ def test_sentencepiece_unigram(tmp_path):
     path.write_bytes(m.SerializeToString())
     sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
     t = sentencepiece_fst.Transducer(str(path))
-    assert t.path == t.cheapest
     for _ in range(400):
         x = "".join(r.choice("abcde  ") for _ in range(r.randint(0, 60)))
         ids = t.encode(x)
         assert ids == sp.encode(x), x
         assert t.decode(ids) == sp.decode(ids)
+
+
+def test_sentencepiece_shortest_path_is_the_merges():
+    """The registered model: every piece by itself, strings of pieces, of marks and spaces, of rare characters and of one character."""
+    import sentencepiece
+
+    path = token_counts.vocabulary_path(sentencepiece_fst.MODEL)
+    sp, t, r = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducer(path), random.Random(5)
+    pieces = list(t.pieces)
+    hard = [p.replace(sentencepiece_fst.MARK, " ") for p in pieces]
+    for _ in range(700):
+        hard.append("".join(r.choice(pieces).replace(sentencepiece_fst.MARK, r.choice([" ", "▁", ""])) for _ in range(r.randint(0, 12))))
+        hard.append("".join(r.choice("aeinst  \n\t▁éñ你好🙂\x00") for _ in range(r.randint(0, 40))))
+        hard.append(r.choice(["a", "ab", " ", "▁", "=-", "0"]) * r.randint(1, 200))
+    assert [x for x in hard if t.encode(x) != sp.encode(x)] == []
+    assert [x for x in hard if t.decode(t.encode(x)) != sp.decode(sp.encode(x))] == []
+
+
+@pytest.mark.parametrize(("rule", "squeeze", "prefix"), [("nmt_nfkc", True, True), ("nmt_nfkc_cf", True, False), ("nfkc", False, True), ("identity", True, True), ("nmt_nfkc", False, False)])
+def test_sentencepiece_normaliser(rule, squeeze, prefix):
+    """Compiled character maps, squeezing and the mark in front, as the library normalises."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    made = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=prefix, escape_whitespaces=True, remove_extra_whitespaces=squeeze)
+    m = pb.ModelProto()
+    m.ParseFromString(made.serialized_model_proto())
+    m.normalizer_spec.escape_whitespaces, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = True, prefix, squeeze
+    m.pieces.add(piece="<unk>", type=pb.ModelProto.SentencePiece.UNKNOWN)
+    m.pieces.add(piece="a", score=-1.0, type=pb.ModelProto.SentencePiece.NORMAL)
+    library = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    own, r = sentencepiece_fst.Normaliser(m.normalizer_spec), random.Random(8)
+    for _ in range(1500):
+        x = "".join(r.choice("abAB  \t\n\u3000▁ﬁ½Ǻéｱﾞ㎏\x00\x07\u200b\u0301가") for _ in range(r.randint(0, 30)))
+        assert own.run(x) == library.normalize(x), x
