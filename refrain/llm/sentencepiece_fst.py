@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import pairwise
-from operator import itemgetter
+from operator import add, itemgetter
 
 import ahocorasick
 import numpy as np
@@ -148,6 +148,9 @@ class Transducer:
         self.hidden = {i for i, p in enumerate(m.pieces) if p.type in (kind.CONTROL,)}
         self.unknown = next((i for i, p in enumerate(m.pieces) if p.type == kind.UNKNOWN), 0)
         self.unknown_text = m.trainer_spec.unk_surface
+        #: What an id says by itself: a byte below 128 is its character, whatever stands beside it. The other bytes are apart.
+        self.said = [chr(self.byte[i]) if self.byte.get(i, 128) < 128 else p for i, p in enumerate(self.text)]
+        self.apart = {*(i for i, b in self.byte.items() if b >= 128), *self.hidden, self.unknown}
         self.pieces = {p.piece: i for i, p in enumerate(m.pieces) if p.type == kind.NORMAL}
         self.weight = {p: -m.pieces[i].score for p, i in self.pieces.items()}
         self.bpe = m.trainer_spec.model_type == pb.TrainerSpec.BPE
@@ -195,20 +198,25 @@ class Transducer:
     def shortest(self, text: str) -> tuple[int, ...]:
         """The ids of the shortest path over places, all arcs relaxed."""
         n, bpe, follows = len(text), self.bpe, self.follows
-        cost, last, took = [0.0] + [INFINITE] * n, [""] * (n + 1), [None] * (n + 1)
-        for end, (read, piece, weight) in self._arcs(text):
+        cost, best = [0.0] + [INFINITE] * n, [("", None, 0.0)] + [None] * n
+        for end, arc in self._arcs(text):
             end += 1
+            read = arc[0]
+            before = best[end - len(read)]
             # A place has one accepted path at most, so once it is reached all other arcs to it weigh infinitely much.
-            if bpe and cost[end] < INFINITE:
+            if bpe and (best[end] or not before or not follows(before[0], read)):
                 continue
-            at = end - len(read)
-            total = cost[at] + weight
-            if total < cost[end] and (not bpe or follows(last[at], read)):
-                cost[end], last[end], took[end] = total, read, piece
+            total = cost[end - len(read)] + arc[2]
+            if total < cost[end]:
+                cost[end], best[end] = total, arc
         out, at = [], n
         while at:
-            out += [took[at]] if took[at] is not None else self._bytes(last[at])[::-1]
-            at -= len(last[at])
+            read, piece, _ = best[at]
+            if piece is None:
+                out += self._bytes(read)[::-1]
+            else:
+                out.append(piece)
+            at -= len(read)
         return tuple(reversed(out))
 
     def _known(self, part: str, path) -> tuple[int, ...]:
@@ -226,9 +234,9 @@ class Transducer:
         """Cut where no piece joins two neighbours."""
         if self.normaliser.local:
             word = self.normaliser.run(word, begun=True)
-        joined, out, start = self.joined, [], 0
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in joined:
+        out, start = [], 0
+        for k, joined in enumerate(map(self.joined.__contains__, map(add, word, word[1:])), 1):
+            if not joined:
                 out += self._known(word[start:k], self.shortest)
                 start = k
         return tuple(out) + self._known(word[start:], self.shortest) if start else self.shortest(word)
@@ -248,6 +256,15 @@ class Transducer:
         return out
 
     def decode(self, ids: list[int]) -> str:
+        if self.apart.isdisjoint(ids):
+            text = "".join(map(self.said.__getitem__, ids))
+        else:
+            text = self._decode(ids)
+        text = text.replace(MARK, " ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+    def _decode(self, ids: list[int]) -> str:
+        """Ids of which some are bytes, without a text or unknown."""
         parts: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -262,8 +279,7 @@ class Transducer:
                 parts.append(self.unknown_text if i == self.unknown else self.text[i])
         if raw:
             parts.append(raw.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return "".join(parts)
 
 
 @lru_cache(maxsize=2)
