@@ -98,9 +98,16 @@ def _agree(t, text: str, start: int, place: int, before: tuple[int, ...], after)
     return tuple(_encode(t, text[start : place + end]).ids) == before + ids
 
 
+def least_overlap(t) -> int:
+    """An overlap that holds any special string whole, so that none is taken for a run of letters where a chunk begins."""
+    return 1 + max((len(x.content) for x in t.get_added_tokens_decoder().values()), default=0)
+
+
 def count_long(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, letters: bool = True) -> int:
-    """Tokens of one text, chunk by chunk."""
+    """Tokens of one text, chunk by chunk; overlaps under the default are raised to ``least_overlap``."""
     total, at, n = 0, 0, len(text)
+    if overlap < OVERLAP:
+        overlap = max(overlap, least_overlap(t))
     chunk, ready, joint = max(chunk, 1), None, None
     while at < n:
         width = overlap
@@ -131,10 +138,10 @@ def count_long(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, letters
 
 
 def _plain(t) -> bool:
-    """Do pre-tokens end where words do? So for a byte-level vocabulary without normaliser, whose special strings have no white space."""
+    """Do pre-tokens end where words do? So for a byte-level vocabulary without normaliser, whose special strings have no white space and begin with no letter."""
     made = json.loads(t.to_str())
     own = made["pre_tokenizer"] or {}
-    special = all(not re.search(r"[\s,.;:!?)\"']", x["content"]) and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in made["added_tokens"])
+    special = all(not re.search(r"[\s,.;:!?)\"']", x["content"]) and not _LETTERS.match(x["content"]) and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in made["added_tokens"])
     return own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space") and made["normalizer"] is None and special and not made["model"].get("dropout")
 
 
@@ -143,6 +150,7 @@ class Counter:
 
     def __init__(self, t):
         self.t, self.plain, self.known = t, _plain(t), {}
+        self.overlap = max(OVERLAP, least_overlap(t))
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.plain:
@@ -156,7 +164,7 @@ class Counter:
             new = list({u for units in own for u in units if u not in known})
             known.update(zip(new, map(len, self.t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
             for i, units in enumerate(own, k):
-                out[i] = sum(map(known.__getitem__, units)) if len(texts[i]) <= CHUNK else count_long(self.t, texts[i])
+                out[i] = sum(map(known.__getitem__, units)) if len(texts[i]) <= CHUNK else count_long(self.t, texts[i], overlap=self.overlap)
             for u in new:
                 if len(u) > LONGEST:
                     del known[u]
