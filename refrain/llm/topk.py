@@ -149,19 +149,23 @@ def search(index: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> Da
     bits = min(max(BLOCK_BITS[0], (index.count() // PART).bit_length()), BLOCK_BITS[1])
     each = index.select("code", "n", "least", F.explode(F.array(*_places("code", bits, range(SEGMENTS)))).alias("s"))
     each = each.select("s.seg", "s.block", "code", "n", "least")
-    own = queries.select(F.explode(F.array(*_places("q", bits, range(SEGMENTS)))).alias("s")).select("s.seg", "s.block")
-    codes_in, queries_in = _by_block(each, bits), _by_block(own, bits)
+    codes_in = _by_block(each, bits)
     none = F.lit(0).cast("long")
     # Every query has a row without a code that stays to the end, beyond all others.
     best = queries.select("q", none.alias("code"), F.lit(NOWHERE).alias("distance"), none.alias("n"), none.alias("least"), F.lit(False).alias("full"), F.lit(NOWHERE).cast("long").alias("kth"))
-    done, steps = [], range(0, FIRST)
+    done, names, steps, ended = [], [], range(0, FIRST), False
     of_query = Window.partitionBy("q")
-    while True:
+    while not ended:
         radius, segs = (steps.stop - 1) // SEGMENTS, sorted({t % SEGMENTS for t in steps})
         near = [m for m in range(1 << bits) if m.bit_count() <= radius]
+        left = best.where(F.col("distance") == NOWHERE).select("q", "kth", F.explode(F.array(*_places("q", bits, segs))).alias("s"))
+        left = left.select("q", "kth", "s.seg", "s.block")
+        # Only blocks that queries which are left may come to are planned, and only their codes are shipped.
+        queries_in = _by_block(left, bits)
+        if done and not queries_in.any():
+            break
         plan = _plan(spark, codes_in, queries_in, near, segs)
-        asks = best.where(F.col("distance") == NOWHERE).select("q", "kth", F.explode(F.array(*_places("q", bits, segs))).alias("s"))
-        asks = asks.select("q", "kth", "s.seg", "s.block", F.explode(F.array(*[F.lit(m) for m in near])).alias("mask"))
+        asks = left.select("q", "kth", "seg", "block", F.explode(F.array(*[F.lit(m) for m in near])).alias("mask"))
         asks = asks.select("q", "kth", "seg", F.col("block").bitwiseXOR(F.col("mask")).alias("block")).join(plan, ["seg", "block"])
         asks = asks.select("seg", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.pmod(F.xxhash64("q"), F.col("shares")).cast("int").alias("j"), F.lit(1).alias("kind"), F.col("q").alias("code"), none.alias("n"), none.alias("least"), "kth")
         held = each.where(F.col("seg").isin(segs)).join(plan, ["seg", "block"])
@@ -173,17 +177,18 @@ def search(index: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> Da
         proven = F.sum(F.when(F.col("distance") < steps.stop, F.col("n")).otherwise(0)).over(of_query)
         kth = F.coalesce(F.max(F.when(F.col("rank") == k, F.col("distance"))).over(of_query), F.lit(NOWHERE)).cast("long")
         ranked = ranked.select(*found.columns, (proven >= k).alias("full"), kth.alias("kth"))
-        round_ = scratch.save(ranked, f"best{steps.start}")
+        names.append(f"best{steps.start}")
+        round_ = scratch.save(ranked, names[-1])
         ended = steps.stop > SEGMENTS * (WIDTH + 1) - 1
         done.append(round_ if ended else round_.where("full"))
         best = round_.where("not full")
-        if ended or not best.head(1):
-            break
         steps = range(steps.stop, steps.stop + 1)
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-    return out.where(F.col("distance") < NOWHERE).select("q", "code", "distance", "n", "least")
+    found = scratch.save(out.where(F.col("distance") < NOWHERE).select("q", "code", "distance", "n", "least"), "found")
+    scratch.drop(*names)
+    return found
 
 
 def _by_block(placed: DataFrame, bits: int) -> np.ndarray:
@@ -211,7 +216,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     index = scratch.save(rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "distinct")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
     # One more than k, as the query's own row is among them.
-    found = scratch.save(search(index, scratch.save(asked.select("q").distinct(), "asked"), k + 1, scratch), "found")
+    found = search(index, scratch.save(asked.select("q").distinct(), "asked"), k + 1, scratch)
+    scratch.drop("distinct", "asked")
     # Of each code the k + 1 smallest ids are enough; the limit is pushed below the shuffle.
     by_id = Window.partitionBy("code").orderBy("vec_id")
     ids = rows.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1).drop("nth")

@@ -449,6 +449,53 @@ def test_token_counts_of_hard_texts():
     assert sum(asked) < 1.6 * len(han) and max(asked) < 2 * token_counts.CHUNK
 
 
+def test_token_counts_with_short_overlaps():
+    """Overlaps shorter than a special string do not cut it; special strings that begin with a letter are counted text by text."""
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary_path(token_counts.VOCABULARY)
+    t, r = token_counts.tokenizer(path), random.Random(3)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "end", "of", "text", "ab", " word", " ", "é", "中"]
+    for _ in range(3000):
+        x = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        assert token_counts.count_long(t, x, r.randint(20, 60), r.randint(0, 14)) == len(t.encode(x, add_special_tokens=False).ids), x
+    own = Tokenizer.from_file(path)
+    own.add_special_tokens(["ENDOFALL" * 40])
+    assert token_counts.least_overlap(own) == 321
+    texts = ["some words " * 3000 + "ENDOFALL" * 40 + "x" * 300, "abENDOFALL" + "ENDOFALL" * 40]
+    assert token_counts.Counter(own).counts(texts) == [len(own.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_topk_rounds_shrink(spark, monkeypatch, tmp_path):
+    """Later rounds plan blocks near the queries that are left only, and no table of a round stays."""
+    from refrain.session import Scratch
+
+    r = random.Random(6)
+    base = [r.getrandbits(64) - (1 << 63) for _ in range(5)]
+    codes = {b ^ (1 << k) for b in base for k in range(0, 60, 2)} | {r.getrandbits(64) - (1 << 63) for _ in range(4000)}
+    far = r.getrandbits(64) - (1 << 63)
+    index = spark.createDataFrame([(c, 1, i) for i, c in enumerate(sorted(codes))], "code long, n long, least long")
+    queries = spark.createDataFrame([(q,) for q in {*base, far}], "q long")
+    seen, plan = [], topk._plan
+
+    def planned(spark_, codes_in, queries_in, near, segs):
+        seen.append(int(queries_in.sum()) // len(segs))
+        return plan(spark_, codes_in, queries_in, near, segs)
+
+    monkeypatch.setattr(topk, "_plan", planned)
+    scratch = Scratch(spark, "shrink")
+    kept = []
+    drop = scratch.drop
+    monkeypatch.setattr(scratch, "drop", lambda *names: (kept.extend(names), drop(*names)))
+    got = {}
+    for x in topk.search(index, queries, 5, scratch).collect():
+        got.setdefault(x["q"], []).append(x["distance"])
+    for q in {*base, far}:
+        want = sorted((q ^ c).bit_count() if (q ^ c) >= 0 else ((q ^ c) & (2**64 - 1)).bit_count() for c in codes)[:5]
+        assert sorted(got[q])[:5] == want
+    assert seen[0] == 6 and len(seen) > 1 and set(seen[1:]) == {1} and len(kept) == len(seen)
+
+
 def test_line_levels_settle(spark):
     """A hash that a run has settled adds no row; one that can still change the result does."""
     from refrain.session import Scratch
