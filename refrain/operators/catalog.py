@@ -68,6 +68,12 @@ def replace_items(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
+def served(items: DataFrame, done: Column, path: str, files: DataFrame) -> DataFrame:
+    """The items that a feed may list: processed, with a path, and a file of that name is among ``files``."""
+    there = files.select(F.col("name").alias(path)).distinct()
+    return items.where(done & F.col(path).isNotNull()).join(there, path, "left_semi").select(*items.columns)
+
+
 def update_rows(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """The stored rows with the columns that ``changes`` has (one row per key) set anew where it has a value.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from refrain.operators import incremental, sequences
+from refrain.operators import catalog, incremental, sequences
 from refrain.plans import registry
 from refrain.session import Scratch, table
-from refrain.sources import feeds, streams
+from refrain.sources import feeds, files, streams
 from refrain.streaming import ingest, isolation, status
 
 AS_OF = "2024-01-31 00:00:00"
@@ -115,7 +115,22 @@ def hash_neighbours(spark, sf_dir):
     return sequences.hamming_neighbours(registry._fingerprints(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (group_status, progress_status, ingested_once, streamed_feed, isolated_items, stored_streams, recomputed_offsets, home_page, hash_neighbours)}
+def served_items(spark, sf_dir):
+    """What a feed may list: processed items whose day's archive is there. Spark writes archives for the days of urgent processed orders."""
+    path = Scratch(spark, "served").path("archive")
+    o = table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    done = F.col("o_orderstatus") == "F"
+    urgent = o.where(done & (F.col("o_orderpriority") == "1-URGENT") & F.col("day").isNotNull())
+    urgent.select("day", F.col("o_orderkey").cast("string").alias("value")).repartition("day").write.partitionBy("day").text(path)
+    archives = files.files_below(spark, path).select(F.substring_index("name", "/", 1).alias("name"))
+    items = o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", F.concat(F.lit("day="), "day").alias("path"))
+    return catalog.served(items, done, "path", archives).select("c_custkey", "o_orderkey")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (group_status, progress_status, ingested_once, streamed_feed, isolated_items, stored_streams, recomputed_offsets, home_page, hash_neighbours, served_items)
+}
 
 _KIND = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items())
 _STATUS = f"""lg AS (SELECT user_id AS id, ts, event_id AS item, CASE event_type {_KIND} END AS kind, floor(value)::BIGINT % 7 + 1 AS n,
@@ -145,6 +160,8 @@ SQL = {
     "recomputed_offsets": registry.SQL["offset_clusters"],
     "home_page": f"""SELECT c_custkey, c_name, total, processed, progress_pct FROM ({registry._PROGRESS})
         WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY max(o_orderdate) DESC NULLS LAST, 1 LIMIT 6)""",
+    "served_items": """SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'
+        AND o_orderdate::DATE IN (SELECT o_orderdate::DATE FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')""",
     "hash_neighbours": f"""WITH {_FP} SELECT id, pos, least(coalesce(bit_count(xor(h, lag(h) OVER w)), 32), coalesce(bit_count(xor(h, lead(h) OVER w)), 32), 32)::INT AS d
         FROM fp WINDOW w AS (PARTITION BY id ORDER BY pos)""",
 }

@@ -7,9 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from refrain.operators import incremental, sequences
+from refrain.operators import catalog, incremental, sequences
 from refrain.session import exists
-from refrain.sources import feeds, streams
+from refrain.sources import feeds, files, streams
 from refrain.streaming import ingest, isolation, status
 
 LOG = "id long, at timestamp, seq long, kind string, n long, item long"
@@ -71,6 +71,21 @@ def test_times_left(spark):
     assert got == {1: (30, 0.5, 18), 2: (None, None, None), 3: (None, None, None), 4: (None, None, 27), 5: (None, None, None)}
 
 
+def test_served_items_have_a_file(spark, tmp_path):
+    """Processed, with a path, and the file is there; two items may share a file, and a folder that is not there holds none."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.mp3").write_bytes(b"x")
+    (tmp_path / "2 é.mp3").write_bytes(b"xy")
+    found = files.files_below(spark, f"file://{tmp_path}")
+    assert {(r["name"], r["length"]) for r in found.collect()} == {("a/1.mp3", 1), ("2 é.mp3", 2)}
+    rows = [(1, "F", "a/1.mp3"), (2, "F", "2 é.mp3"), (3, "P", "2 é.mp3"), (4, "F", None), (5, "F", "gone.mp3"), (6, "F", "2 é.mp3"), (7, None, "a/1.mp3")]
+    items = spark.createDataFrame(rows, "id long, status string, path string")
+    out = catalog.served(items, F.col("status") == "F", "path", found)
+    assert out.columns == items.columns and {r["id"] for r in out.collect()} == {1, 2, 6}
+    none = files.files_below(spark, str(tmp_path / "none"))
+    assert none.count() == 0 and catalog.served(items, F.col("status") == "F", "path", none).count() == 0
+
+
 def test_ingest_once_reads_no_target(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
 
