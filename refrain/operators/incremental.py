@@ -18,16 +18,19 @@ def frontier(marks: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def touched(marks: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The marks that can make pairs with a fresh item: those that stand in one, whoever holds them."""
-    shared = marks.join(fresh.select("id").distinct(), "id", "left_semi").select("grp", "h").distinct()
-    return marks.join(shared, ["grp", "h"], "left_semi")
+    """The marks that can make pairs with a fresh item: those that stand in one, whoever holds them; fresh says who is fresh."""
+    new = fresh.select("id").distinct()
+    shared = marks.join(new, "id", "left_semi").select("grp", "h").distinct()
+    held = marks.join(shared, ["grp", "h"], "left_semi").join(new.withColumn("fresh", F.lit(True)), "id", "left")
+    return held.withColumn("fresh", F.coalesce("fresh", F.lit(False)))
 
 
 def updated_pairs(stored: DataFrame, marks: DataFrame, fresh: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pair results (a, b, ...) of all items: the stored ones of old pairs, and those of pairs with a fresh item computed anew.
 
     ``compute`` makes pair results of marks (grp, id, pos, h); it is given only marks that a fresh item has too. That is all
-    where a pair's result depends on marks that both have. Stored results of items that are computed again go.
+    where a pair's result depends on marks that both have. It may leave out pairs without a fresh item, as the marks say who is
+    fresh. Stored results of items that are computed again go.
     """
     new = fresh.select("id").distinct()
     old = stored.join(new.select(F.col("id").alias("a")), "a", "left_anti").join(new.select(F.col("id").alias("b")), "b", "left_anti")

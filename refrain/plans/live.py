@@ -99,9 +99,8 @@ def recomputed_offsets(spark, sf_dir):
     scratch = Scratch(spark, "recomputed")
     marks = scratch.save(registry._quads(spark, sf_dir), "marks")
     fresh = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
-    votes = lambda m: sequences.votes(m).select("a", "b", "off", "votes")
-    stored = scratch.save(votes(marks.join(fresh, "id", "left_anti")), "stored")
-    return sequences.offsets(incremental.updated_pairs(stored, marks, fresh, votes))
+    stored = scratch.save(sequences.votes_once(marks.join(fresh, "id", "left_anti")), "stored")
+    return sequences.offsets(incremental.updated_pairs(stored, marks, fresh, sequences.votes_once), once=True)
 
 
 def home_page(spark, sf_dir):
