@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from refrain.functions.scalar import tokens
@@ -63,3 +64,18 @@ def test_recompute_makes_no_pair_of_old_items(spark):
     stored = sequences.votes_once(marks.join(fresh, "id", "left_anti"))
     got = Counter(tuple(x) for x in incremental.updated_pairs(stored, marks, fresh, sequences.votes_once).collect())
     assert got == Counter(tuple(x) for x in sequences.votes_once(marks).collect())
+
+
+def test_a_stream_is_shipped_for_blocks_not_for_partners(spark):
+    """All pairs of 60 items: the same runs as pair by pair, and no more rows than pairs and items by blocks."""
+    r = random.Random(4)
+    block = [r.getrandbits(32) for _ in range(80)]
+    fp = {i: [r.getrandbits(32) for _ in range(i)] + block for i in range(60)}
+    arrays = spark.createDataFrame(list(fp.items()), "id long, fp array<bigint>")
+    offs = spark.createDataFrame([(a, b, a - b) for a in fp for b in fp if a != b], "a long, b long, off int")
+    runs = sequences.error_runs(offs, arrays)
+    want = {(a, b, a - b, p, n) for a in fp for b in fp if a != b for p, n, _ in sequences.diagonal(np.array(fp[a]), np.array(fp[b]), a - b, 0.3) if n / sequences.RATE >= 5}
+    got = {(x["a"], x["b"], x["off"], round(x["start"] * sequences.RATE), round((x["end"] - x["start"]) * sequences.RATE)) for x in runs.collect()}
+    assert want and got == want
+    # The rows that meet: a stream for each block that its item has partners in, and the pairs, with no stream in them.
+    assert "FlatMap" not in (plan := runs._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join") == 1
