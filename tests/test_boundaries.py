@@ -79,3 +79,19 @@ def test_a_stream_is_shipped_for_blocks_not_for_partners(spark):
     assert want and got == want
     # The rows that meet: a stream for each block that its item has partners in, and the pairs, with no stream in them.
     assert "FlatMap" not in (plan := runs._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join") == 1
+
+
+def test_shares_shuffle_no_texts(spark):
+    """N-grams are shuffled once, as hashes; the shares are those of brute force."""
+    docs, _ = quads(spark)
+    shares = sequences.repeated_share(docs)
+    plan = shares._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(k1" in line]
+    assert len(moved) == 1 and "hashpartitioning(grp" not in plan
+    grams = {(r["grp"], r["id"]): [tuple(w[i : i + 4]) for i in range(len(w) - 3)] for r in docs.collect() for w in [r["text"].split()]}
+    want = {}
+    for (g, a), x in grams.items():
+        others = {k for (h, b), y in grams.items() if h == g and b != a for k in y}
+        if x:
+            want[a] = sum(k in others for k in x) / len(x)
+    assert {r["id"]: r["share"] for r in shares.collect()} == want
