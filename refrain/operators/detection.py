@@ -171,14 +171,15 @@ def script_evidence(runs: DataFrame, segments: DataFrame, p: Params = Params())
 def detect(evidence: DataFrame, segments: DataFrame, lengths: DataFrame, p: Params = Params()) -> DataFrame:
     """The plain form: what is found, judged and bridged, without work on the edges.
 
-    Evidence, judged regions and the cuts' bounds are written tables, as the steps behind them read them several times.
+    Evidence, regions, judged regions and the cuts' bounds are written tables, as the steps behind them read them several times.
     """
     scratch = Scratch(evidence.sparkSession, "detect")
     evidence = scratch.save(evidence.select("id", "other", "start", "end"), "evidence")
-    found = scratch.save(classified(regions(without_compilations(evidence, lengths, p)), segments, p), "found")
+    regs = scratch.save(regions(without_compilations(evidence, lengths, p)), "regions")
+    found = scratch.save(classified(regs, segments, p), "found")
     ends = file_tails(scratch.save(bridged(found, p.bridge_free, p.bridge_max, segments), "bridged"), segments, lengths, p)
     ends = scratch.save(clamped(ends, lengths), "ends")
-    scratch.drop("evidence", "found", "bridged")
+    scratch.drop("evidence", "regions", "found", "bridged")
     return emitted(ends, segments, p)
 
 
@@ -195,7 +196,7 @@ def detect_refined(evidence: DataFrame, runs: DataFrame, segments: DataFrame, le
     excluded = scratch.save(excluded_pairs(evidence, lengths, p), "excluded")
     said = runs.join(excluded.select("id", "other"), ["id", "other"], "left_anti")
     every = scratch.save(_fair(evidence, excluded, p).unionByName(script_evidence(said, segments, p)), "evidence")
-    found = scratch.save(classified(regions(every), segments, p), "found")
+    found = scratch.save(classified(scratch.save(regions(every), "regions"), segments, p), "found")
     found = scratch.save(found.unionByName(edges.standalone(found, segments)), "blocks")
     r = scratch.save(edges.extended(bridged(found, p.bridge_free, p.bridge_max, segments), segments, lengths), "extended")
     r = scratch.save(edges.outro_tails(r, segments, lengths), "outro")

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from refrain.functions.scalar import tokens
-from refrain.operators import incremental, sequences
+from refrain.operators import detection, incremental, sequences
 
 
 def texts():
@@ -95,3 +95,16 @@ def test_shares_shuffle_no_texts(spark):
         if x:
             want[a] = sum(k in others for k in x) / len(x)
     assert {r["id"]: r["share"] for r in shares.collect()} == want
+
+
+def test_regions_are_made_once(spark, monkeypatch):
+    """Judging reads regions twice: they are a written table, not a plan that is run for each."""
+    seen, judge = [], detection.classified
+    monkeypatch.setattr(detection, "classified", lambda regs, *rest: seen.append(regs) or judge(regs, *rest))
+    ev = spark.createDataFrame([(1, o, 10.0, 22.0) for o in (2, 3, 4, 5)], "id long, other long, start double, end double")
+    lengths = spark.createDataFrame([(i, 500.0) for i in range(1, 6)], "id long, length double")
+    seg = spark.createDataFrame([(1, 0, 60.0, 70.0, "so much for that")], "id long, idx int, start double, end double, text string")
+    cuts = detection.detect(ev, seg, lengths).collect()
+    assert [(r["start"], r["end"], r["n_matches"]) for r in cuts] == [(10.0, 22.0, 4)]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Join" not in plan
