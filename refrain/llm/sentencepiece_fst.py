@@ -21,10 +21,11 @@ empty texts have no ids; repeated rows come back each; empty tables give none; e
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import pairwise
-from operator import add, itemgetter
+from itertools import accumulate, chain, compress, pairwise
+from operator import add, itemgetter, not_
 
 import ahocorasick
 import numpy as np
@@ -42,12 +43,12 @@ WORDS = 400_000
 LONGEST = 64
 #: Pairs of pieces whose acceptance is remembered by a worker.
 PAIRS = 1_000_000
+#: Units whose paths are found at once, and characters of texts that are encoded at once, about.
+AT_ONCE, CHARACTERS = 1 << 14, 1 << 20
 #: Ids of an output batch, about.
 BATCH_IDS = 1 << 20
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: The same before white space has become marks.
-_RAW = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 INFINITE = float("inf")
 
 
@@ -158,19 +159,28 @@ class Transducer:
         self.by_words = not any(pair[0] != MARK and pair[1] == MARK for pair in self.joined)
         #: What a character that is no piece weighs: ten more than any piece.
         self.heavy = max((-p.score for p in m.pieces), default=0.0) + 10.0
-        self.follows = lru_cache(maxsize=PAIRS)(self._follows)
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: Ids of units and parts, 4 bytes each.
+        self.words: dict[str, bytes] = {}
+        #: How many verdicts of the acceptor are remembered; arcs of characters that are no piece.
+        self.verdicts, self.bare = 0, {}
+        self.sides: dict[str, tuple | None] = {}
         self.single = {p for p in self.pieces if len(p) == 1}
         self.machine = ahocorasick.Automaton()
-        for p, i in self.pieces.items():
-            self.machine.add_word(p, (p, i, self.weight[p]))
+        #: Arcs: what is read, its length, piece (none for byte fallback), weight, verdicts on the arcs behind it by what they read.
+        self.arcs = [(p, len(p), i, self.weight[p], {}) for p, i in self.pieces.items()]
+        for arc in self.arcs:
+            self.machine.add_word(arc[0], arc)
         self.machine.make_automaton()
+        self.start = ("", 0, None, 0.0, {})
+        #: A character that no piece holds.
+        letters = set().union(*self.pieces)
+        self.gap = next((c for c in map(chr, (0, 1, 0xE000, 0x10FFFD)) if c not in letters), None)
 
-    def _merged(self, text: str) -> list[str]:
-        """Merging pairs, best score first and leftmost of equals."""
+    def _merged(self, text: str, upto: int = 1) -> list[str]:
+        """Merging pairs, best score first and leftmost of equals, until ``upto`` parts are left."""
         parts, weight = list(text), self.weight.get
         pairs = [weight(a + b, INFINITE) for a, b in pairwise(parts)]
-        while pairs and (least := min(pairs)) < INFINITE:
+        while len(parts) > upto and (least := min(pairs)) < INFINITE:
             k = pairs.index(least)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
             del pairs[k]
@@ -180,79 +190,174 @@ class Transducer:
                 pairs[k] = weight(parts[k] + parts[k + 1], INFINITE)
         return parts
 
+    def _sides(self, piece: str) -> tuple[list, list] | None:
+        """What stands at a piece's right and left end while it is merged, each with the times it is there; None if merging does not make it.
+
+        All pairs up to a score are merged before the next score's, so a time is the worst score of the merges so far.
+        """
+        if piece in self.sides:
+            return self.sides[piece]
+        out = None
+        if len(piece) == 1:
+            out = [(piece, -INFINITE, INFINITE)], [(piece, -INFINITE, INFINITE)]
+        elif self._merged(piece) == [piece]:
+            a, b = self._merged(piece, 2)
+            (right, own), (begun, left) = self._sides(b), self._sides(a)
+            made = max(self.weight[piece], own[-1][1], begun[-1][1])
+            whole = (piece, made, INFINITE)
+            out = tuple([*side[:-1], (*side[-1][:2], made), whole] for side in (right, left))
+        self.sides[piece] = out
+        return out
+
     def _follows(self, a: str, b: str) -> bool:
         """Does the acceptor let b stand behind a, or at the start if a is empty?"""
-        return self._merged(a + b) == ([a, b] if a else [b])
-
-    def _arcs(self, text: str) -> Iterable[tuple[int, tuple[str, int | None, float]]]:
-        """(last place, (what is read, piece, weight)) of the arcs of pieces and byte fallback (no piece), by place, longest first."""
+        behind, before = self._sides(b), self._sides(a) if a else ([], [])
+        if behind is None or before is None:
+            return False
+        i, j, weight = 0, 0, self.weight.get
+        # Either side is merged by itself, unless what stands at the border joins sooner.
+        while a:
+            (x, since, p), (y, begun, q) = before[0][i], behind[1][j]
+            t = max(weight(x + y, INFINITE), since, begun)
+            if t < p and t < q:
+                return False
+            if p == q == INFINITE:
+                return True
+            if p == q or t < INFINITE and (t == p or t == q):
+                # Merges of one time: which comes first decides.
+                return self._merged(a + b) == [a, b]
+            if p < q:
+                i += 1
+            else:
+                j += 1
+        return True
+
+    def _judged(self, before: tuple, arc: tuple) -> bool:
+        """A verdict of the acceptor, to be remembered."""
+        if self.verdicts >= PAIRS:
+            for known in (self.start, *self.arcs):
+                known[4].clear()
+            self.bare.clear()
+            self.sides.clear()
+            self.verdicts = 0
+        self.verdicts += 1
+        found = before[4][arc[0]] = self._follows(before[0], arc[0])
+        return found
+
+    def _fallback(self, char: str) -> tuple:
+        arc = self.bare.get(char)
+        if arc is None:
+            arc = self.bare[char] = (char, 1, None, self.heavy, {})
+        return arc
+
+    def _arcs(self, text: str) -> Iterable[tuple[int, tuple]]:
+        """(last place, arc) of the arcs of pieces and byte fallback, by place, longest first."""
         arcs = self.machine.iter(text)
         if self.single.issuperset(text):
             return arcs
-        return sorted([*arcs, *((k, (c, None, self.heavy)) for k, c in enumerate(text) if c not in self.single)], key=itemgetter(0))
+        return sorted([*arcs, *((k, self._fallback(c)) for k, c in enumerate(text) if c not in self.single)], key=itemgetter(0))
 
     def _bytes(self, char: str) -> tuple[int, ...]:
         raw = char.encode("utf-8", "surrogatepass")
         return tuple(self.of_byte[b] for b in raw) if self.of_byte else (self.unknown,)
 
-    def shortest(self, text: str) -> tuple[int, ...]:
-        """The ids of the shortest path over places, all arcs relaxed."""
-        n, bpe, follows = len(text), self.bpe, self.follows
-        cost, best = [0.0] + [INFINITE] * n, [("", None, 0.0)] + [None] * n
-        for end, arc in self._arcs(text):
-            end += 1
-            read = arc[0]
-            before = best[end - len(read)]
+    def _paths(self, texts: list[str], arcs: Iterable[tuple[int, tuple]], gap: int = 0) -> list[bytes]:
+        """The ids of each text's shortest path, 4 bytes each. arcs: those of all texts in a row, with ``gap`` places between, which no arc reads."""
+        ends = list(accumulate(map(len, texts), lambda at, n: at + gap + n))
+        #: By the last character read; the place before the first text is the list's last.
+        best: list[tuple | None] = [None] * (ends[-1] + 1)
+        for end, text in zip(ends, texts, strict=True):
+            best[end - len(text) - 1] = self.start
+        if self.bpe:
             # A place has one accepted path at most, so once it is reached all other arcs to it weigh infinitely much.
-            if bpe and (best[end] or not before or not follows(before[0], read)):
-                continue
-            total = cost[end - len(read)] + arc[2]
-            if total < cost[end]:
-                cost[end], best[end] = total, arc
-        out, at = [], n
-        while at:
-            read, piece, _ = best[at]
-            if piece is None:
-                out += self._bytes(read)[::-1]
+            for end, arc in arcs:
+                if best[end] is None and (before := best[end - arc[1]]) is not None:
+                    accepted = before[4].get(arc[0])
+                    if accepted or accepted is None and self._judged(before, arc):
+                        best[end] = arc
+        else:
+            cost = [INFINITE if arc is None else 0.0 for arc in best]
+            for end, arc in arcs:
+                total = cost[end - arc[1]] + arc[3]
+                if total < cost[end]:
+                    cost[end], best[end] = total, arc
+        paths = []
+        for at in ends:
+            at, out = at - 1, []
+            while size := (arc := best[at])[1]:
+                if arc[2] is None:
+                    out += self._bytes(arc[0])[::-1]
+                else:
+                    out.append(arc[2])
+                at -= size
+            out.reverse()
+            paths.append(array("i", out).tobytes())
+        return paths
+
+    def shortest(self, text: str) -> bytes:
+        """The ids of the shortest path over places, all arcs relaxed."""
+        return self._paths([text], self._arcs(text))[0]
+
+    def _learn(self, units: list[str]) -> None:
+        """Remember the ids of units: new parts of many units are composed and relaxed at once, where their characters are pieces.
+
+        Units stand in a row with gaps between, and are cut where no piece joins two neighbours, so beside gaps too.
+        """
+        row = self.gap.join(units)
+        cuts = compress(range(1, len(row)), map(not_, map(self.joined.__contains__, map(add, row, row[1:]))))
+        parts = [row[a:b] for a, b in pairwise([0, *cuts, len(row)])]
+        known, single = self.words, self.single
+        new = []
+        for p in set(parts).difference(known, (self.gap,)):
+            if single.issuperset(p):
+                new.append(p)
             else:
-                out.append(piece)
-            at -= len(read)
-        return tuple(reversed(out))
+                known[p] = self.shortest(p)
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            known.update(zip(some, self._paths(some, self.machine.iter(self.gap.join(some)), 1), strict=True))
+        each, ids = iter(units), b""
+        for p in parts:
+            if p == self.gap:
+                known[next(each)], ids = ids, b""
+            else:
+                ids += known[p]
+        known[next(each)] = ids
 
-    def _known(self, part: str, path) -> tuple[int, ...]:
-        """The ids of a part, remembered if it is short."""
+    def _known(self, part: str) -> bytes:
+        """The ids of a part, remembered if it is short and there is room."""
         ids = self.words.get(part)
         if ids is None:
-            ids = path(part)
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            if len(part) <= LONGEST:
+            ids = self.shortest(part)
+            if len(part) <= LONGEST and len(self.words) < WORDS:
                 self.words[part] = ids
         return ids
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         """Cut where no piece joins two neighbours."""
-        if self.normaliser.local:
-            word = self.normaliser.run(word, begun=True)
-        out, start = [], 0
-        for k, joined in enumerate(map(self.joined.__contains__, map(add, word, word[1:])), 1):
-            if not joined:
-                out += self._known(word[start:k], self.shortest)
-                start = k
-        return tuple(out) + self._known(word[start:], self.shortest) if start else self.shortest(word)
+        cuts = compress(range(1, len(word)), map(not_, map(self.joined.__contains__, map(add, word, word[1:]))))
+        return b"".join(self._known(word[a:b]) for a, b in pairwise([0, *cuts, len(word)]))
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if self.normaliser.local:
-            # Behind the start, white space goes to a mark as well.
-            text, units = " " * self.prefix + text, _RAW
-        else:
-            text, units = self.normaliser.run(text), _WORD
-        out: list[int] = []
-        known = self.words.get
-        for w in units.findall(text) if self.by_words else [text] * bool(text):
-            out += known(w) or self._known(w, self._word)
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of several texts; the units that they have in common are met once."""
+        texts = [self.normaliser.run(t) if t else "" for t in texts]
+        cut = [_WORD.findall(t) if self.by_words else [t] * bool(t) for t in texts]
+        met = set(chain.from_iterable(cut))
+        if len(self.words) + len(met) > WORDS:
+            # What these texts need stays.
+            self.words = {u: self.words[u] for u in met if u in self.words}
+        new = met.difference(self.words)
+        if self.gap is not None and (short := [u for u in new if len(u) <= LONGEST and self.gap not in u]):
+            self._learn(short)
+            new.difference_update(short)
+        self.words.update({u: self._word(u) for u in new})
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, c)), np.int32) for c in cut]
+        for u in new:
+            if len(u) > LONGEST:
+                del self.words[u]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -294,14 +399,17 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = transducer(path)
         for b in batches:
+            texts = [text or "" for text in b["text"]]
+            upto = np.cumsum([len(text) + 1 for text in texts]) // CHARACTERS
+            edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
             rows, size = [], 0
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = t.encode(text or "")
-                rows.append((doc_id, len(ids), np.array(ids, np.int32), t.decode(ids) == (text or "")))
-                size += len(ids) + 1
-                if size > BATCH_IDS:
-                    yield pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids", "round_trip"])
-                    rows, size = [], 0
+            for start, end in pairwise(edges):
+                for doc_id, text, ids in zip(b["doc_id"].iloc[start:end], texts[start:end], t.encode_all(texts[start:end]), strict=True):
+                    rows.append((doc_id, len(ids), ids, t.decode(ids.tolist()) == text))
+                    size += len(ids) + 1
+                    if size > BATCH_IDS:
+                        yield pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids", "round_trip"])
+                        rows, size = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids", "round_trip"])
 

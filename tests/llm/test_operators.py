@@ -621,3 +621,23 @@ def test_sentencepiece_normaliser(rule, squeeze, prefix):
     for _ in range(1500):
         x = "".join(r.choice("abAB  \t\n\u3000▁ﬁ½Ǻéｱﾞ㎏\x00\x07\u200b\u0301가") for _ in range(r.randint(0, 30)))
         assert own.run(x) == library.normalize(x), x
+
+
+def test_op3_acceptor_judges_by_borders_as_merging_does_and_meets_units_once(monkeypatch):
+    from refrain.llm import sentencepiece_fst as fst
+
+    t = fst.Transducer(fst.vocabulary_path(fst.MODEL))
+    some = sorted(t.pieces)[::97]
+    for a in some:
+        for b in (*some[::9], *(a[k:] for k in range(1, len(a)) if a[k:] in t.pieces)):
+            assert t._follows(a, b) == (t._merged(a + b) == [a, b])
+    composed = []
+    monkeypatch.setattr(fst.Transducer, "_paths", lambda self, texts, *a, f=fst.Transducer._paths: composed.extend(texts) or f(self, texts, *a))
+    texts = ["one two \U0001f600 two  \x00 three", "", "two three", "x" * 300 + " two"]
+    found = t.encode_all(texts)
+    # A unit that several texts hold is composed once.
+    assert composed.count("▁two") == 1
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=fst.vocabulary_path(fst.MODEL))
+    assert [ids.tolist() for ids in found] == [lib.encode(x) for x in texts]
