@@ -266,3 +266,20 @@ def test_only_changed_parts_give_differences():
 def test_registered(spark, sf):
     for name in ("op11_minhash", "op12_centroids", "op13_vector_codes"):
         assert name in queries.QUERIES and name in queries.SQL
+
+
+def test_components_end_when_all_hang_on_their_smallest(spark, monkeypatch):
+    from refrain.llm.common import components
+    from refrain.session import Scratch
+
+    saved = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, f=Scratch.save: saved.append(name) or f(self, df, name))
+    edges = [(3, 1), (1, 2), (9, 7), (1, 3), (5, 5)]
+    found = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "stars"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+    # Stars are done as they are given, with no round to confirm it.
+    assert saved == ["e0", "roots"]
+    chain = [(k, k + 1) for k in range(40)]
+    found = components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "chain"))
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(41)]
+    assert not components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "none")).head(1)
