@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from refrain.llm import html_extract, language_id, line_dedup, mixing, sentencepiece_fst, simhash, suffix_dedup, token_counts, topk
 from refrain.llm.exact_dedup import exact_dedup
-from refrain.session import table
+from refrain.session import Scratch, exists, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc int, h string"
 
@@ -80,6 +80,31 @@ def test_suffix_dedup_hot_key(docs, monkeypatch):
     assert rows(suffix_dedup.suffix_dedup(docs), "doc_id", "n_removed", "n_spans") == cold
 
 
+def test_suffix_dedup_lone_runs(docs, monkeypatch):
+    """Only runs of keys that may repeat become classes, and the runs themselves are gone by then."""
+    found = [run for _, t, *_ in small() for run in suffix_dedup.runs_of((t or "").encode())]
+    n, inner = Counter(run[0] for run in found), {run[0] for run in found if run[4]}
+    want = {run[:2] for run in found if n[run[0]] > 1 or run[0] in inner}
+    saved = {}
+
+    class Seen(Scratch):
+        def save(self, df, name):
+            if name == "classes":
+                saved["runs"] = exists(self.spark, self.path("runs"))
+            saved[name] = super().save(df, name)
+            return saved[name]
+
+        def drop(self, *names):
+            if "classes" in names:
+                saved["classes"] = {(r["key"], bytes(r["content"])) for r in saved["classes"].collect()}
+            super().drop(*names)
+
+    monkeypatch.setattr(suffix_dedup, "Scratch", Seen)
+    suffix_dedup.suffix_dedup(docs)
+    assert saved["classes"] == want and len(want) < len({run[:2] for run in found})
+    assert not saved["runs"]
+
+
 def test_covered_by_brute_force():
     """The bytes that go, and the maximal repeats with all their occurrences, of texts that stand for several."""
     r = random.Random(3)
