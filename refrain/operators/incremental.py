@@ -32,9 +32,13 @@ def updated_pairs(stored: DataFrame, marks: DataFrame, fresh: DataFrame, compute
     where a pair's result depends on marks that both have. It may leave out pairs without a fresh item, as the marks say who is
     fresh. Stored results of items that are computed again go.
     """
+    return merged_pairs(stored, compute(touched(marks, fresh)), fresh)
+
+
+def merged_pairs(stored: DataFrame, found: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Pair results (a, b, ...): those of ``found`` with a fresh item (id), and the stored ones of pairs without."""
     new = fresh.select("id").distinct()
     old = stored.join(new.select(F.col("id").alias("a")), "a", "left_anti").join(new.select(F.col("id").alias("b")), "b", "left_anti")
-    found = compute(touched(marks, fresh))
     one, two = new.select(F.col("id").alias("a"), F.lit(True).alias("na")), new.select(F.col("id").alias("b"), F.lit(True).alias("nb"))
     mine = found.join(one, "a", "left").join(two, "b", "left").where("na or nb").select(*stored.columns)
     return old.select(*stored.columns).union(mine)

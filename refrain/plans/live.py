@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from refrain.operators import catalog, incremental, sequences
+from refrain.operators import alignment, catalog, incremental, sequences
 from refrain.plans import registry
 from refrain.session import Scratch, table
 from refrain.sources import feeds, files, streams
@@ -96,11 +96,11 @@ def stored_streams(spark, sf_dir):
 
 def recomputed_offsets(spark, sf_dir):
     """Offset clusters of all documents after those with a label came last: only pairs with one of them are computed again."""
-    scratch = Scratch(spark, "recomputed")
-    marks = scratch.save(registry._quads(spark, sf_dir), "marks")
+    docs = registry._docs(spark, sf_dir)
     fresh = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
-    stored = scratch.save(sequences.votes_once(marks.join(fresh, "id", "left_anti")), "stored")
-    return sequences.offsets(incremental.updated_pairs(stored, marks, fresh, sequences.votes_once), once=True)
+    stored = alignment.text_offsets(docs.join(fresh, "id", "left_anti"))
+    flagged = docs.join(fresh.withColumn("fresh", F.lit(True)), "id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    return incremental.merged_pairs(stored, alignment.text_offsets(flagged), fresh)
 
 
 def home_page(spark, sf_dir):
